@@ -193,7 +193,8 @@ def histogram(
     filled = _bin_edges(rows, first, width, bins).join(F.broadcast(counts), "bin", "left")
     n = F.coalesce("n", F.lit(0))
     total = counts.agg(F.sum("n").alias("n")).scalar()
-    return filled.select("bin", "bin_low", "bin_high", n.alias("n"), (n / (total * width)).alias("density"))
+    density = n / (total * width)
+    return filled.select("bin", "bin_low", "bin_high", n.alias("n"), density.alias("density"))
 
 
 def distribution_shift(rows: DataFrame, before: str, after: str) -> DataFrame:
@@ -290,12 +291,12 @@ def kernel_density(
         F.sequence(F.lit(0), F.lit(points - 1)),
         lambda i: F.exp(-F.pow((i * step + low - F.col("v")) / width, 2) / 2),
     )
-    summed = weights.select(array_to_vector(height).alias("height"), "n").select(
-        Summarizer.metrics("sum", "weightSum").summary(F.col("height"), F.col("n")).alias("s")
+    summed = weights.select(array_to_vector(height).alias("height"), "n").agg(
+        Summarizer.sum(F.col("height"), F.col("n")).alias("heights"),
+        (F.sum("n") * width * math.sqrt(2 * math.pi)).alias("scale"),
     )
-    scale = F.lit(width * math.sqrt(2 * math.pi)) * F.col("s.weightSum")
     return summed.select(
-        scale.alias("scale"), F.posexplode(vector_to_array("s.sum")).alias("i", "height")
+        "scale", F.posexplode(vector_to_array("heights")).alias("i", "height")
     ).select(
         F.col("i").alias("point"),
         (F.col("i") * step + low).alias("x"),

@@ -51,15 +51,8 @@ def boxplot_stats(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def boxplot_outliers(spark: SparkSession, folder: str) -> DataFrame:
-    # Squaring skews the prices, so that there are outliers to find.
-    lineitem = read_table(spark, folder, "lineitem").select(
-        "l_orderkey",
-        "l_linenumber",
-        "l_returnflag",
-        "l_linestatus",
-        (F.col("l_extendedprice") * F.col("l_extendedprice")).alias("squared_price"),
-    )
-    return box_outliers(lineitem, "squared_price", ["l_returnflag", "l_linestatus"])
+    events = read_table(spark, folder, "events").select("event_id", "event_type", "value")
+    return box_outliers(events, "value", ["event_type"])
 
 
 def histogram_density(spark: SparkSession, folder: str) -> DataFrame:
@@ -224,12 +217,14 @@ ORACLE = {
                round(1.58 * (any_value(upper) - any_value(lower)) / sqrt(count(*)), 4) as notch
         from series join boxes using (l_returnflag, l_linestatus)
         group by l_returnflag, l_linestatus""",
-    "boxplot_outliers": f"""
-        with series as (
-            select *, l_extendedprice * l_extendedprice as v from lineitem),
-        boxes as ({_BOXES})
-        select l_orderkey, l_linenumber, l_returnflag, l_linestatus, v as squared_price
-        from series join boxes using (l_returnflag, l_linestatus) where not {_INSIDE}""",
+    "boxplot_outliers": """
+        with boxes as (
+            select event_type, quantile_cont(value, 0.25) as lower,
+                   quantile_cont(value, 0.75) as upper
+            from events group by event_type)
+        select event_id, event_type, value
+        from events join boxes using (event_type)
+        where value < lower - 1.5 * (upper - lower) or value > upper + 1.5 * (upper - lower)""",
     "histogram_density": _histogram("l_quantity", 9),
     "histogram_price": _histogram("l_extendedprice", 12),
     "kde_grid": f"""
