@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -19,45 +21,61 @@ def score_label_pairs(predictions: DataFrame, label: str = "label", *keep: str)
     )
 
 
-def _running(rows: DataFrame, score: str, label: str, values_per_range: int) -> DataFrame:
+def _running(
+    rows: DataFrame, score: str, label: str, by: Sequence[str], values_per_range: int
+) -> DataFrame:
     positive = F.when(F.col(label) == 1, 1).otherwise(0)
     counts = {"pos": positive, "neg": 1 - positive}
     labelled = rows.where(F.col(label).isNotNull())
-    return running_counts(
-        labelled, score, counts, descending=True, values_per_range=values_per_range
-    )
+    return running_counts(labelled, score, counts, by, True, values_per_range)
 
 
 def roc_points(
-    rows: DataFrame, score: str, label: str, values_per_range: int = VALUES_PER_RANGE
+    rows: DataFrame,
+    score: str,
+    label: str,
+    by: Sequence[str] = (),
+    values_per_range: int = VALUES_PER_RANGE,
 ) -> DataFrame:
-    """One point per distinct score, highest first, and the origin with a null threshold."""
-    running = _running(rows, score, label, values_per_range)
-    points = running.select(
+    """One point per distinct score, highest first, and the origin with a null threshold.
+
+    With ``by`` there is one curve per group, all from one pass.
+    """
+    running = _running(rows, score, label, by, values_per_range)
+    point = F.struct(
         F.col(score).alias("threshold"),
         F.col("cum_neg").alias("fp"),
         F.col("cum_pos").alias("tp"),
         F.try_divide("cum_neg", "total_neg").alias("fpr"),
         F.try_divide("cum_pos", "total_pos").alias("tpr"),
     )
-    origin = rows.sparkSession.range(1).select(
+    none = F.lit(0).cast("bigint")
+    origin = F.struct(
         F.lit(None).cast("double").alias("threshold"),
-        F.lit(0).cast("bigint").alias("fp"),
-        F.lit(0).cast("bigint").alias("tp"),
+        none.alias("fp"),
+        none.alias("tp"),
         F.lit(0.0).alias("fpr"),
         F.lit(0.0).alias("tpr"),
     )
-    return points.unionByName(origin)
+    is_first = F.col("cum_pos") + F.col("cum_neg") == F.col("pos") + F.col("neg")
+    return running.select(
+        *by, F.inline(F.when(is_first, F.array(origin, point)).otherwise(F.array(point)))
+    )
 
 
 def trapezoid_area(
-    rows: DataFrame, score: str, label: str, values_per_range: int = VALUES_PER_RANGE
+    rows: DataFrame,
+    score: str,
+    label: str,
+    by: Sequence[str] = (),
+    values_per_range: int = VALUES_PER_RANGE,
 ) -> DataFrame:
-    """Area under the ROC points as one row; each point's predecessor is its own counts back."""
-    running = _running(rows, score, label, values_per_range)
+    """Area under the ROC points, a row per group; each point's predecessor is its own counts
+    back, so no row needs its neighbour."""
+    running = _running(rows, score, label, by, values_per_range)
     strip = F.col("neg").cast("double") * (2 * F.col("cum_pos") - F.col("pos")) / 2
     whole = F.max("total_pos").cast("double") * F.max("total_neg")
-    return running.agg(F.try_divide(F.sum(strip), whole).alias("auc"))
+    return running.groupBy(*by).agg(F.try_divide(F.sum(strip), whole).alias("auc"))
 
 
 def area_under_roc(predictions: DataFrame, score: str, label: str) -> float:

@@ -28,6 +28,7 @@ from ledgerline.operators.features import (
     slot_names,
     split_by_key,
 )
+from ledgerline.session import settle
 
 
 def random_forest(seed: int, trees: int = 10, features: str = "features") -> Estimator:
@@ -70,6 +71,9 @@ def prepare(
     categories: Sequence[str],
     seed: int = 42,
 ) -> Prepared:
+    """Split and encode. The model columns are settled first: encoders, fits and scores all read
+    them, and none goes back to the source."""
+    rows = settle(rows.select(key, label, *numbers, *categories))
     if categories:
         check_levels(rows, categories)
     train, test = split_by_key(rows, key, seed=seed)
@@ -98,12 +102,39 @@ def fit(estimator: Estimator, train: DataFrame) -> Model:
 
 
 def score(model: Model, rows: DataFrame, key: str) -> DataFrame:
-    """Key, label, probability of class 1 and predicted class."""
+    """Key, label, raw score and probability of class 1, and predicted class."""
     return model.transform(rows).select(
-        key, "label", positive_probability().alias("probability"), "prediction"
+        key,
+        "label",
+        vector_to_array("rawPrediction")[1].alias("raw"),
+        positive_probability().alias("probability"),
+        "prediction",
     )
 
 
+def score_all(models: Mapping[str, Model], rows: DataFrame, key: str) -> DataFrame:
+    """The same rows scored by several models in one pass, told apart by a column ``model``."""
+    scored = rows
+    results = []
+    for i, (name, model) in enumerate(models.items()):
+        raw, probability, prediction = f"raw_{i}", f"probability_{i}", f"prediction_{i}"
+        columns = {
+            model.rawPredictionCol: raw,
+            model.probabilityCol: probability,
+            model.predictionCol: prediction,
+        }
+        scored = model.transform(scored, columns)
+        results.append(
+            F.struct(
+                F.lit(name).alias("model"),
+                vector_to_array(raw)[1].alias("raw"),
+                positive_probability(probability).alias("probability"),
+                F.col(prediction).alias("prediction"),
+            )
+        )
+    return scored.select(key, "label", F.inline(F.array(*results)))
+
+
 def feature_importances(model: Model, names: Sequence[str]) -> DataFrame:
     """One row per slot; the model holds one number per slot on the driver already."""
     rows = [(i, names[i], float(v)) for i, v in enumerate(model.featureImportances.toArray())]

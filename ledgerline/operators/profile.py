@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -178,6 +178,13 @@ def _bin_edges(rows: DataFrame, first: float, width: float, bins: int) -> DataFr
     )
 
 
+def _heights(count: str, density: str, width: float) -> list[Column]:
+    """Bin counts, zero where a bin has none, and densities; the window spans the few bins."""
+    n = F.coalesce(count, F.lit(0))
+    total = F.sum(count).over(Window.partitionBy(F.lit(0)))
+    return [n.alias(count), F.try_divide(n, total * width).alias(density)]
+
+
 def histogram(
     rows: DataFrame, value: str, breaks: tuple[float, float, int] | None = None
 ) -> DataFrame:
@@ -191,10 +198,7 @@ def histogram(
     )
     # At most one row per bin, and the number of bins grows with the logarithm of the rows.
     filled = _bin_edges(rows, first, width, bins).join(F.broadcast(counts), "bin", "left")
-    n = F.coalesce("n", F.lit(0))
-    total = counts.agg(F.sum("n").alias("n")).scalar()
-    density = n / (total * width)
-    return filled.select("bin", "bin_low", "bin_high", n.alias("n"), density.alias("density"))
+    return filled.select("bin", "bin_low", "bin_high", *_heights("n", "density", width))
 
 
 def distribution_shift(rows: DataFrame, before: str, after: str) -> DataFrame:
@@ -214,9 +218,6 @@ def distribution_shift(rows: DataFrame, before: str, after: str) -> DataFrame:
     counts = long.groupBy(_bin("v", first, width).alias("bin")).agg(
         F.sum("is_before").alias("n_before"), F.sum(1 - F.col("is_before")).alias("n_after")
     )
-    totals = counts.agg(F.sum("n_before").alias("before"), F.sum("n_after").alias("after"))
-    n_before = F.coalesce("n_before", F.lit(0))
-    n_after = F.coalesce("n_after", F.lit(0))
     return (
         _bin_edges(rows, first, width, bins)
         .join(F.broadcast(counts), "bin", "left")
@@ -224,12 +225,8 @@ def distribution_shift(rows: DataFrame, before: str, after: str) -> DataFrame:
             "bin",
             "bin_low",
             "bin_high",
-            n_before.alias("n_before"),
-            n_after.alias("n_after"),
-            F.try_divide(n_before, totals.select("before").scalar() * width).alias(
-                "density_before"
-            ),
-            F.try_divide(n_after, totals.select("after").scalar() * width).alias("density_after"),
+            *_heights("n_before", "density_before", width),
+            *_heights("n_after", "density_after", width),
         )
     )
 

@@ -6,9 +6,10 @@ from pyspark.ml import Estimator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.operators.evaluate import score_label_pairs
+from ledgerline.operators.evaluate import roc_points, score_label_pairs
 from ledgerline.operators.models import (
     Prepared,
+    cached,
     coefficients,
     compare,
     decision_tree,
@@ -22,6 +23,7 @@ from ledgerline.operators.models import (
     random_forest,
     refit_on_top,
     score,
+    score_all,
 )
 from ledgerline.plans.features import CATEGORIES, NUMBERS, document_columns
 from ledgerline.sources import read_table
@@ -55,7 +57,8 @@ def tree(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def bayes(spark: SparkSession, folder: str) -> DataFrame:
-    return _scored(spark, folder, naive_bayes())
+    scored = _scored(spark, folder, naive_bayes())
+    return scored.withColumns({"raw": F.round("raw", 5), "probability": F.round("probability", 7)})
 
 
 def penalised(spark: SparkSession, folder: str) -> DataFrame:
@@ -84,8 +87,23 @@ def selected(spark: SparkSession, folder: str) -> DataFrame:
 
 def pairs(spark: SparkSession, folder: str) -> DataFrame:
     data = _data(spark, folder)
-    model = fit(random_forest(SEED), data.train)
-    return score_label_pairs(model.transform(data.test), "label", "doc_id")
+    model = fit(naive_bayes(), data.train)
+    found = score_label_pairs(model.transform(data.test), "label", "doc_id")
+    return found.withColumn("score", F.round("score", 7))
+
+
+def curves(spark: SparkSession, folder: str) -> DataFrame:
+    """One ROC curve per model, each from its own predictions."""
+    data = _data(spark, folder)
+    estimators = {
+        "random_forest": random_forest(SEED),
+        "decision_tree": decision_tree(SEED),
+        "naive_bayes": naive_bayes(),
+        "logistic_regression": logistic(LIGHT_PENALTY),
+    }
+    with cached(data.train):
+        models = {name: estimator.fit(data.train) for name, estimator in estimators.items()}
+    return roc_points(score_all(models, data.test, "doc_id"), "probability", "label", ["model"])
 
 
 def comparison(spark: SparkSession, folder: str) -> DataFrame:
@@ -119,6 +137,7 @@ QUERIES = {
     "model_selected_features": selected,
     "model_comparison": comparison,
     "score_label_pairs": pairs,
+    "model_roc_points": curves,
 }
 
 # The training rows' slots and classes in long form: numbers first, then one slot per level.
@@ -158,10 +177,32 @@ _LONG = """
                ln(total + 1) - ln(sum(total + 1) over (partition by label)) as log_theta
         from totals)"""
 
+_SCORED = f"""
+    {_LONG},
+    raws as (
+        select doc_id, quality, label, any_value(log_prior) + sum(x * log_theta) as raw
+        from cells join thetas using (slot) where not is_train
+        group by doc_id, quality, label),
+    scored as (
+        select doc_id, c.label, max(raw) filter (r.label = 0) as raw_0,
+               max(raw) filter (r.label = 1) as raw_1
+        from raws r join classes c using (quality) group by doc_id, c.label)"""
+
 ORACLE = {
     "naive_bayes_theta": f"""
         {_LONG}
         select cast(label as double) as label, cast(slot as integer) as slot,
                round(log_prior, 9) as log_prior, round(log_theta, 9) as log_theta
         from thetas""",
+    "model_naive_bayes": f"""
+        {_SCORED}
+        select doc_id, cast(label as double) as label, round(raw_1, 5) as raw,
+               round(1 / (1 + exp(raw_0 - raw_1)), 7) as probability,
+               case when raw_1 > raw_0 then 1.0::double else 0.0::double end as prediction
+        from scored""",
+    "score_label_pairs": f"""
+        {_SCORED}
+        select doc_id, round(1 / (1 + exp(raw_1 - raw_0)), 7) as score,
+               1 - cast(label as double) as label
+        from scored""",
 }

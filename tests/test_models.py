@@ -59,7 +59,7 @@ def test_three_areas_agree(data):
     scored = score(model, data.test, "id")
     area = area_under_roc(scored, "probability", "label")
     for per_range in (10, 50_000):
-        ours = trapezoid_area(scored, "probability", "label", per_range).first().auc
+        ours = trapezoid_area(scored, "probability", "label", (), per_range).first().auc
         assert ours == pytest.approx(area)
     pairs = score_label_pairs(model.transform(data.test), "label")
     assert trapezoid_area(pairs, "score", "label").first().auc == pytest.approx(area)
@@ -72,7 +72,7 @@ def test_three_areas_agree(data):
 
 def test_roc_points_start_at_the_origin_and_end_at_one(data):
     scored = score(fit(decision_tree(1), data.train), data.test, "id")
-    points = roc_points(scored, "probability", "label", 2).orderBy("fp", "tp").collect()
+    points = roc_points(scored, "probability", "label", (), 2).orderBy("fp", "tp").collect()
     assert (points[0].threshold, points[0].fpr, points[0].tpr) == (None, 0, 0)
     assert (points[-1].fpr, points[-1].tpr) == (1, 1)
     area = np.trapezoid([p.tpr for p in points], [p.fpr for p in points])
