@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler, VectorSlicer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions import split_bucket
@@ -76,9 +76,14 @@ def slice_features(
     return VectorSlicer(inputCol=features, outputCol=out, names=list(names)).transform(frame)
 
 
+def split_part(key: str, train_tenths: int = 7, seed: int = 42) -> Column:
+    """``train`` or ``test`` by the key's hash, the same however the table is partitioned."""
+    return F.when(split_bucket(key, seed) < train_tenths, "train").otherwise("test")
+
+
 def split_by_key(
     rows: DataFrame, key: str, train_tenths: int = 7, seed: int = 42
 ) -> tuple[DataFrame, DataFrame]:
-    """Disjoint training and test rows, the same however the table is partitioned."""
-    bucket = split_bucket(key, seed)
-    return rows.where(bucket < train_tenths), rows.where(bucket >= train_tenths)
+    """Disjoint training and test rows that together are all rows."""
+    part = split_part(key, train_tenths, seed)
+    return rows.where(part == "train"), rows.where(part == "test")

@@ -62,15 +62,20 @@ def _range_heads(
     )
 
 
+def _tallies(
+    ranged: DataFrame, value: str, by: Sequence[str], counts: Sequence[str]
+) -> DataFrame:
+    return ranged.groupBy(*by, _RANGE, value).agg(*[F.sum(c).alias(c) for c in counts])
+
+
 def _accumulate(
-    ranged: DataFrame,
+    tallies: DataFrame,
     heads: DataFrame,
     value: str,
     by: Sequence[str],
     counts: Sequence[str],
     descending: bool,
 ) -> DataFrame:
-    tallies = ranged.groupBy(*by, _RANGE, value).agg(*[F.sum(c).alias(c) for c in counts])
     head_rows = heads.select(
         *by,
         _RANGE,
@@ -106,12 +111,13 @@ def running_counts(
     by: Sequence[str] = (),
     descending: bool = False,
     values_per_range: int = VALUES_PER_RANGE,
+    distinct: bool = False,
 ) -> DataFrame:
     """One row per distinct value and group, with own, running and total counts.
 
     ``counts`` maps a name to a whole-number expression that is added up. Columns out: ``by``,
     the value, and for each name ``name``, ``cum_name`` (through this value) and ``total_name``.
-    Missing values are left out.
+    Missing values are left out. ``distinct`` says that no value comes twice in a group.
     """
     present = rows.select(
         *by,
@@ -121,7 +127,8 @@ def running_counts(
     ranged = _with_range(present, value, _range_cuts(present, value, values_per_range))
     names = list(counts)
     heads = _range_heads(ranged, by, names, descending)
-    return _accumulate(ranged, heads, value, by, names, descending)
+    tallies = ranged if distinct else _tallies(ranged, value, by, names)
+    return _accumulate(tallies, heads, value, by, names, descending)
 
 
 def percentiles(
@@ -162,7 +169,8 @@ def percentiles(
     if fits:
         needed = heads.select(*by, _RANGE)
         ranged = null_safe_join(ranged, F.broadcast(needed), [*by, _RANGE], "left_semi")
-    counted = _accumulate(ranged, heads, "v", by, ["n"], descending=False).where(
+    tallies = _tallies(ranged, "v", by, ["n"])
+    counted = _accumulate(tallies, heads, "v", by, ["n"], descending=False).where(
         F.col("total_n").isNotNull()
     )
 

@@ -15,7 +15,7 @@ from ledgerline.operators.features import (
     index_strings,
     slice_features,
     slot_names,
-    split_by_key,
+    split_part,
 )
 from ledgerline.operators.models import label_index
 from ledgerline.sources import read_table
@@ -73,10 +73,8 @@ def labels(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def hash_split(spark: SparkSession, folder: str) -> DataFrame:
-    train, test = split_by_key(read_table(spark, folder, "orders").select("o_orderkey"), "o_orderkey")
-    return train.withColumn("part", F.lit("train")).unionByName(
-        test.withColumn("part", F.lit("test"))
-    )
+    orders = read_table(spark, folder, "orders")
+    return orders.select("o_orderkey", split_part("o_orderkey").alias("part"))
 
 
 QUERIES = {

@@ -39,3 +39,14 @@ def sql_rows(connection, text: str) -> tuple[list[str], list[tuple]]:
     result = connection.execute(text)
     columns = [d[0] for d in result.description]
     return sorted(columns), normal_rows(columns, result.fetchall())
+
+
+SQL_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR"}
+
+
+def spark_types(frame) -> dict[str, str]:
+    return {f.name: SQL_TYPES[f.dataType.simpleString()] for f in frame.schema.fields}
+
+
+def sql_types(connection, text: str) -> dict[str, str]:
+    return {d[0]: str(d[1]) for d in connection.execute(text).description}

@@ -3,7 +3,7 @@
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
-from compare import open_tables, spark_rows, sql_rows
+from compare import open_tables, spark_rows, spark_types, sql_rows, sql_types
 
 FOLDER = "/root/testdata/sf0.01"
 SLOW = {"impute_chained_rf"}
@@ -16,7 +16,9 @@ def tables():
 
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_matches_sql(spark, tables, name):
-    assert spark_rows(queries()[name](spark, FOLDER)) == sql_rows(tables, oracle_sql()[name])
+    frame = queries()[name](spark, FOLDER)
+    assert spark_types(frame) == sql_types(tables, oracle_sql()[name])
+    assert spark_rows(frame) == sql_rows(tables, oracle_sql()[name])
 
 
 @pytest.mark.parametrize("name", sorted(set(queries()) - set(oracle_sql()) - SLOW))
