@@ -24,7 +24,9 @@ _RANGE = "__range"
 _HEAD = "__head"
 
 
-def _range_cuts(rows: DataFrame, value: str, values_per_range: int) -> list[float]:
+def range_cuts(
+    rows: DataFrame, value: str, values_per_range: int = VALUES_PER_RANGE
+) -> list[float]:
     """Cut points giving about ``values_per_range`` distinct values each; none if few values."""
     distinct = rows.agg(F.approx_count_distinct(value)).first()[0]
     ranges = min(MAX_RANGES, math.ceil(distinct / values_per_range))
@@ -111,20 +113,24 @@ def running_counts(
     by: Sequence[str] = (),
     descending: bool = False,
     values_per_range: int = VALUES_PER_RANGE,
+    cuts: Sequence[float] | None = None,
     distinct: bool = False,
 ) -> DataFrame:
     """One row per distinct value and group, with own, running and total counts.
 
     ``counts`` maps a name to a whole-number expression that is added up. Columns out: ``by``,
     the value, and for each name ``name``, ``cum_name`` (through this value) and ``total_name``.
-    Missing values are left out. ``distinct`` says that no value comes twice in a group.
+    Missing values are left out. ``cuts`` may be known from before, and ``distinct`` says that
+    no value comes twice in a group.
     """
     present = rows.select(
         *by,
         F.col(value).cast("double").alias(value),
         *[c.cast("bigint").alias(name) for name, c in counts.items()],
     ).where(F.col(value).isNotNull() & ~F.isnan(value))
-    ranged = _with_range(present, value, _range_cuts(present, value, values_per_range))
+    if cuts is None:
+        cuts = range_cuts(present, value, values_per_range)
+    ranged = _with_range(present, value, cuts)
     names = list(counts)
     heads = _range_heads(ranged, by, names, descending)
     tallies = ranged if distinct else _tallies(ranged, value, by, names)
@@ -146,7 +152,7 @@ def percentiles(
     present = rows.select(*by, F.col(value).cast("double").alias("v")).where(
         F.col("v").isNotNull() & ~F.isnan("v")
     )
-    cuts = _range_cuts(present, "v", values_per_range)
+    cuts = range_cuts(present, "v", values_per_range)
     if not cuts:
         tallies = present.groupBy(*by, "v").agg(F.count(F.lit(1)).alias("n"))
         return tallies.groupBy(*by).agg(

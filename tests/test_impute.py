@@ -68,10 +68,10 @@ def leaves(spark):
     return wanted, donors
 
 
-@pytest.mark.parametrize("per_block, per_range", [(7, 2), (1, 50_000), (100_000, 50_000)])
-def test_draws_follow_the_pooled_donors(leaves, per_block, per_range):
+@pytest.mark.parametrize("per_block, cuts", [(7, [2.0, 7.0]), (1, []), (100_000, None)])
+def test_draws_follow_the_pooled_donors(leaves, per_block, cuts):
     wanted, donors = leaves
-    drawn = draw_donors(wanted, donors, "x", "id", [1, "x"], 6000, per_block, per_range).collect()
+    drawn = draw_donors(wanted, donors, "x", "id", [1, "x"], 6000, per_block, cuts).collect()
     assert len(drawn) == 6000 and all(r.x is not None for r in drawn)
 
     def shares(low, high):
@@ -90,7 +90,7 @@ def test_draws_depend_on_key_and_salt_only(leaves):
     wanted, donors = leaves
 
     def draw(rows, *salts, per_block=50):
-        return {r.id: r.x for r in draw_donors(rows, donors, "x", "id", salts, 6000, per_block).collect()}
+        return {r.id: r.x for r in draw_donors(rows, donors, "x", "id", salts, None, per_block).collect()}
 
     first = draw(wanted, 1)
     assert first == draw(wanted.repartition(9), 1) == draw(wanted, 1, per_block=3)
