@@ -21,6 +21,8 @@ def measured(side: DataFrame, max_bytes: int = MAX_BROADCAST_BYTES) -> tuple[Dat
 
 def null_safe_join(rows: DataFrame, side: DataFrame, on: Sequence[str], how: str) -> DataFrame:
     """Equi-join in which a null key meets a null key; the keys come from ``rows``."""
+    if not on:
+        raise ValueError("a join needs a key")
     renamed = side.withColumnsRenamed({k: f"__side_{k}" for k in on})
     condition = F.lit(True)
     for k in on:

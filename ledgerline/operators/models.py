@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
 from contextlib import contextmanager
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark import StorageLevel
 from pyspark.ml import Estimator, Model, Pipeline
@@ -20,7 +20,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerline.operators.evaluate import area_under_roc, positive_probability
+from ledgerline.operators.evaluate import positive_probability, trapezoid_area
 from ledgerline.operators.features import (
     check_levels,
     feature_stages,
@@ -86,13 +86,17 @@ def prepare(
 
 @contextmanager
 def cached(*frames: DataFrame) -> Iterator[None]:
-    """Keep frames that several passes read in memory, or on disk where they do not fit."""
-    for frame in frames:
+    """Keep frames that several passes read in memory, or on disk where they do not fit.
+
+    A frame that is cached already is left to whoever cached it.
+    """
+    fresh = [frame for frame in frames if frame.storageLevel == StorageLevel.NONE]
+    for frame in fresh:
         frame.persist(StorageLevel.MEMORY_AND_DISK)
     try:
         yield
     finally:
-        for frame in frames:
+        for frame in fresh:
             frame.unpersist()
 
 
@@ -112,8 +116,11 @@ def score(model: Model, rows: DataFrame, key: str) -> DataFrame:
     )
 
 
-def score_all(models: Mapping[str, Model], rows: DataFrame, key: str) -> DataFrame:
-    """The same rows scored by several models in one pass, told apart by a column ``model``."""
+def score_all(models: Mapping[str, Model], rows: DataFrame, *keep: str) -> DataFrame:
+    """The same rows scored by several models in one pass, told apart by a column ``model``.
+
+    The scores are settled: what ranks them reads them more than once.
+    """
     scored = rows
     results = []
     for i, (name, model) in enumerate(models.items()):
@@ -132,7 +139,7 @@ def score_all(models: Mapping[str, Model], rows: DataFrame, key: str) -> DataFra
                 F.col(prediction).alias("prediction"),
             )
         )
-    return scored.select(key, "label", F.inline(F.array(*results)))
+    return settle(scored.select(*keep, "label", F.inline(F.array(*results))))
 
 
 def feature_importances(model: Model, names: Sequence[str]) -> DataFrame:
@@ -163,13 +170,20 @@ def top_slots(model: Model, names: Sequence[str], k: int) -> list[str]:
     return [names[i] for i, _ in ranked[:k]]
 
 
-def refit_on_top(data: Prepared, k: int, seed: int) -> tuple[Model, DataFrame, list[str]]:
-    """Fit a forest, keep its ``k`` best slots, and fit a second forest on those only."""
+def refit_on_top(
+    data: Prepared, k: int, seed: int, full: Model | None = None
+) -> tuple[Model, DataFrame, list[str]]:
+    """A forest on the ``k`` best slots of the forest ``full``, which is fitted if not given.
+
+    Returns the model, the test rows with the sliced vector ``top_k``, and the slots' names.
+    """
     with cached(data.train):
-        chosen = top_slots(random_forest(seed).fit(data.train), data.names, k)
-        train = slice_features(data.train, chosen)
-        model = random_forest(seed, features="selected").fit(train)
-    return model, slice_features(data.test, chosen), chosen
+        full = full or random_forest(seed).fit(data.train)
+        chosen = top_slots(full, data.names, k)
+        out = f"top_{k}"
+        train = slice_features(data.train, chosen, out=out)
+        model = random_forest(seed, features=out).fit(train)
+    return model, slice_features(data.test, chosen, out=out), chosen
 
 
 def compare(
@@ -177,31 +191,36 @@ def compare(
 ) -> DataFrame:
     """Area under ROC of each model on one split, and of forests on the best ``keep`` slots.
 
-    ``auc`` ranks by probability, ``auc_raw`` by the raw prediction. They differ for naive
-    Bayes only, whose raw score of one class is not a monotone function of its probability.
+    All models score the test rows in one pass, and all areas come from the scores together. ``auc`` ranks
+    by probability, ``auc_raw`` by the raw prediction. They differ for naive Bayes only, whose
+    raw score of one class is not a monotone function of its probability.
     """
-    results = []
-
-    def add(name: str, slots: int, model: Model, test: DataFrame) -> None:
-        scored = model.transform(test).select(
-            "label", "rawPrediction", positive_probability().alias("p")
-        )
-        results.append(
-            (
-                name,
-                slots,
-                area_under_roc(scored, "p", "label"),
-                area_under_roc(scored, "rawPrediction", "label"),
-            )
-        )
-
-    with cached(data.train, data.test):
-        for name, estimator in estimators.items():
-            add(name, len(data.names), estimator.fit(data.train), data.test)
+    with cached(data.train):
+        models = {name: estimator.fit(data.train) for name, estimator in estimators.items()}
+        sizes = dict.fromkeys(models, len(data.names))
+        full = random_forest(seed).fit(data.train) if keep else None
+        test = data.test
         for k in keep:
-            model, test, chosen = refit_on_top(data, k, seed)
-            add(f"random_forest_top_{k}", len(chosen), model, test)
-    return _rows(results, "model string, n_features int, auc double, auc_raw double")
+            name = f"random_forest_top_{k}"
+            model, test, chosen = refit_on_top(replace(data, test=test), k, seed, full)
+            models[name], sizes[name] = model, len(chosen)
+    scores = score_all(models, test).select(
+        "model",
+        "label",
+        F.inline(
+            F.array(
+                F.struct(F.lit("auc").alias("kind"), F.col("probability").alias("score")),
+                F.struct(F.lit("auc_raw").alias("kind"), F.col("raw").alias("score")),
+            )
+        ),
+    )
+    areas = trapezoid_area(scores, "score", "label", ["model", "kind"])
+    features = F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair])
+    return areas.groupBy("model").agg(
+        F.max(features[F.col("model")]).alias("n_features"),
+        F.max(F.when(F.col("kind") == "auc", F.col("auc"))).alias("auc"),
+        F.max(F.when(F.col("kind") == "auc_raw", F.col("auc"))).alias("auc_raw"),
+    )
 
 
 def naive_bayes_parameters(

@@ -192,7 +192,11 @@ def histogram(
     present = rows.select(F.col(value).cast("double").alias("v")).where(
         F.col("v").isNotNull() & ~F.isnan("v")
     )
-    first, width, bins = breaks or _shared_breaks(present, ["v"])
+    if breaks is None:
+        breaks = _shared_breaks(present, ["v"])
+    elif present.where(~F.col("v").between(breaks[0], breaks[0] + breaks[1] * breaks[2])).take(1):
+        raise ValueError("the breaks do not cover all values")
+    first, width, bins = breaks
     counts = present.groupBy(_bin("v", first, width).alias("bin")).agg(
         F.count(F.lit(1)).alias("n")
     )

@@ -37,8 +37,6 @@ def range_cuts(
 
 
 def _with_range(rows: DataFrame, value: str, cuts: Sequence[float]) -> DataFrame:
-    if not cuts:
-        return rows.withColumn(_RANGE, F.lit(0))
     splits = [-math.inf, *cuts, math.inf]
     ranged = Bucketizer(splits=splits, inputCol=value, outputCol=_RANGE).transform(rows)
     return ranged.withColumn(_RANGE, F.col(_RANGE).cast("int"))
@@ -106,6 +104,30 @@ def _accumulate(
     )
 
 
+def _accumulate_whole(
+    rows: DataFrame,
+    value: str,
+    by: Sequence[str],
+    counts: Sequence[str],
+    descending: bool,
+    distinct: bool,
+) -> DataFrame:
+    """With few distinct values a group is small once equal values are added up."""
+    tallies = rows
+    if not distinct:
+        tallies = rows.groupBy(*by, value).agg(*[F.sum(c).alias(c) for c in counts])
+    groups = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    running = groups.orderBy(F.col(value).desc() if descending else F.col(value).asc())
+    running = running.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return tallies.select(
+        *by,
+        value,
+        *counts,
+        *[F.sum(c).over(running).alias(f"cum_{c}") for c in counts],
+        *[F.sum(c).over(groups).alias(f"total_{c}") for c in counts],
+    )
+
+
 def running_counts(
     rows: DataFrame,
     value: str,
@@ -130,8 +152,10 @@ def running_counts(
     ).where(F.col(value).isNotNull() & ~F.isnan(value))
     if cuts is None:
         cuts = range_cuts(present, value, values_per_range)
-    ranged = _with_range(present, value, cuts)
     names = list(counts)
+    if not cuts:
+        return _accumulate_whole(present, value, by, names, descending, distinct)
+    ranged = _with_range(present, value, cuts)
     heads = _range_heads(ranged, by, names, descending)
     tallies = ranged if distinct else _tallies(ranged, value, by, names)
     return _accumulate(tallies, heads, value, by, names, descending)

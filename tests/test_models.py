@@ -8,6 +8,7 @@ from ledgerline.operators.evaluate import (
     trapezoid_area,
 )
 from ledgerline.operators.models import (
+    cached,
     coefficients,
     compare,
     decision_tree,
@@ -112,6 +113,16 @@ def test_refit_and_comparison(data):
     table = compare(data, {"forest": random_forest(1), "bayes": naive_bayes()}, [2], 1).collect()
     got = {r.model: r for r in table}
     assert set(got) == {"forest", "bayes", "random_forest_top_2"}
-    assert got["forest"].auc == got["forest"].auc_raw > 0.75
+    assert got["forest"].auc == pytest.approx(got["forest"].auc_raw)
+    forest = score(fit(random_forest(1), data.train), data.test, "id")
+    assert got["forest"].auc == pytest.approx(area_under_roc(forest, "probability", "label"))
     assert got["forest"].n_features == len(data.names)
     assert not data.train.is_cached
+
+
+def test_cached_leaves_a_cached_frame_cached(spark):
+    frame = spark.range(5).cache()
+    with cached(frame):
+        pass
+    assert frame.is_cached
+    frame.unpersist()

@@ -82,6 +82,12 @@ def test_histogram_is_right_closed_and_sums_to_one(spark):
     assert sum(b.density * (b.bin_high - b.bin_low) for b in bins.values()) == pytest.approx(1)
 
 
+def test_breaks_must_cover_the_values(spark):
+    frame = spark.createDataFrame([(1.0,), (21.0,)], "v double")
+    with pytest.raises(ValueError, match="cover"):
+        histogram(frame, "v", (0.0, 5.0, 4))
+
+
 def test_histogram_of_nothing(spark):
     assert histogram(spark.createDataFrame([(None,)], "v double"), "v").count() == 0
 
