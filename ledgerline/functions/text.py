@@ -7,10 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+PATTERN_CHARACTERS = set(r"\^$.|?*+()[]{}")
 
-def _split(column: Column | str, delimiter: str) -> Column:
-    # F.split takes a pattern, so the delimiter is quoted.
-    return F.split(column, rf"\Q{delimiter}\E")
+
+def _split(column: Column | str, delimiter: str, pieces: int = -1) -> Column:
+    # F.split takes a pattern. Plain delimiters stay as they are, which Java splits faster.
+    if PATTERN_CHARACTERS & set(delimiter):
+        delimiter = rf"\Q{delimiter}\E"
+    return F.split(column, delimiter, pieces)
 
 
 def last_segment(column: Column | str, outer: str = "/", inner: str = ",") -> Column:
@@ -26,8 +30,8 @@ def segment_count(column: Column | str, delimiter: str) -> Column:
 
 
 def array_item(column: Column | str, delimiter: str, index: int) -> Column:
-    """The 0-based ``index``-th piece, null when there is none."""
-    return F.get(_split(column, delimiter), index)
+    """The 0-based ``index``-th piece, null when there is none; later pieces are not split."""
+    return F.get(_split(column, delimiter, index + 2), index)
 
 
 def token_after_comma(column: Column | str) -> Column:

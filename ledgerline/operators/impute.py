@@ -49,7 +49,9 @@ def fill_nearest_group(
     nearest = F.array_min(
         F.transform(
             "__medians",
-            lambda m: F.struct(F.abs(m["median"] - value).alias("gap"), m["category"].alias("category")),
+            lambda m: F.struct(
+                F.abs(m["median"] - value).alias("gap"), m["category"].alias("category")
+            ),
         )
     )["category"]
     filled = attach(rows, medians, [within])

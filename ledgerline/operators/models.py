@@ -28,7 +28,7 @@ from ledgerline.operators.features import (
     slot_names,
     split_by_key,
 )
-from ledgerline.session import settle
+from ledgerline.session import settle, spread
 
 
 def random_forest(seed: int, trees: int = 10, features: str = "features") -> Estimator:
@@ -73,7 +73,7 @@ def prepare(
 ) -> Prepared:
     """Split and encode. The model columns are settled first: encoders, fits and scores all read
     them, and none goes back to the source."""
-    rows = settle(rows.select(key, label, *numbers, *categories))
+    rows = settle(spread(rows.select(key, label, *numbers, *categories), key))
     if categories:
         check_levels(rows, categories)
     train, test = split_by_key(rows, key, seed=seed)
@@ -187,22 +187,28 @@ def refit_on_top(
 
 
 def compare(
-    data: Prepared, estimators: Mapping[str, Estimator], keep: Sequence[int], seed: int
+    data: Prepared,
+    estimators: Mapping[str, Estimator],
+    keep: Sequence[int],
+    seed: int,
+    ranker: str = "random_forest",
 ) -> DataFrame:
-    """Area under ROC of each model on one split, and of forests on the best ``keep`` slots.
+    """Area under ROC of each model on one split, and of forests on the best ``keep`` slots by
+    the importances of the model ``ranker``.
 
-    All models score the test rows in one pass, and all areas come from the scores together. ``auc`` ranks
-    by probability, ``auc_raw`` by the raw prediction. They differ for naive Bayes only, whose
-    raw score of one class is not a monotone function of its probability.
+    All models score the test rows in one pass, and all areas come from the scores together.
+    ``auc`` ranks by probability, ``auc_raw`` by the raw prediction. They differ for naive Bayes
+    only, whose raw score of one class is not a monotone function of its probability.
     """
     with cached(data.train):
         models = {name: estimator.fit(data.train) for name, estimator in estimators.items()}
         sizes = dict.fromkeys(models, len(data.names))
-        full = random_forest(seed).fit(data.train) if keep else None
         test = data.test
         for k in keep:
             name = f"random_forest_top_{k}"
-            model, test, chosen = refit_on_top(replace(data, test=test), k, seed, full)
+            model, test, chosen = refit_on_top(
+                replace(data, test=test), k, seed, models[ranker]
+            )
             models[name], sizes[name] = model, len(chosen)
     scores = score_all(models, test).select(
         "model",

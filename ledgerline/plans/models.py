@@ -30,6 +30,7 @@ from ledgerline.sources import read_table
 
 SEED = 42
 LIGHT_PENALTY = 0.01
+LINE_NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
 
 
 def labelled_documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -117,6 +118,24 @@ def comparison(spark: SparkSession, folder: str) -> DataFrame:
     return compare(_data(spark, folder), estimators, keep=[4, 5], seed=SEED)
 
 
+def line_comparison(spark: SparkSession, folder: str) -> DataFrame:
+    """The same comparison on the largest table: which lines were returned."""
+    key = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    lines = read_table(spark, folder, "lineitem").select(
+        key.alias("line"),
+        (F.col("l_returnflag") == "R").cast("int").alias("returned"),
+        *LINE_NUMBERS,
+        "l_linestatus",
+    )
+    data = prepare(lines, "line", "returned", LINE_NUMBERS, ["l_linestatus"], SEED)
+    estimators = {
+        "random_forest": random_forest(SEED),
+        "naive_bayes": naive_bayes(),
+        "logistic_regression": logistic(LIGHT_PENALTY),
+    }
+    return compare(data, estimators, keep=[4], seed=SEED)
+
+
 def bayes_parameters(spark: SparkSession, folder: str) -> DataFrame:
     data = _data(spark, folder)
     found = naive_bayes_parameters(data.train, "label", "features")
@@ -136,6 +155,7 @@ QUERIES = {
     "objective_history": objectives,
     "model_selected_features": selected,
     "model_comparison": comparison,
+    "model_comparison_lines": line_comparison,
     "score_label_pairs": pairs,
     "model_roc_points": curves,
 }

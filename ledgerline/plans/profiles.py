@@ -79,7 +79,7 @@ def kde_nodes(spark: SparkSession, folder: str) -> DataFrame:
     curve = kernel_density(
         _open_returned(spark, folder), "l_extendedprice", points=128, nodes=1024
     )
-    return curve.select("point", F.round("x", 4).alias("x"), F.round("density", 12).alias("density"))
+    return curve.withColumns({"x": F.round("x", 4), "density": F.round("density", 12)})
 
 
 def distribution_before_after(spark: SparkSession, folder: str) -> DataFrame:

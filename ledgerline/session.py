@@ -45,6 +45,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/ledgerline-{uuid.uuid4().hex}/{name}"
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give iterative work a task per core where the input comes in fewer pieces, as one small
+    file does; larger inputs are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Compute ``df`` once into reliable storage and cut its lineage."""
     spark = df.sparkSession

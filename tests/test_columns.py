@@ -64,7 +64,9 @@ def test_delimiters_are_not_patterns(spark):
     frame = texts(spark, ["a.b.c", None])
     assert one_column(frame, segment_count("t", ".")) == [3, None]
     assert one_column(frame, array_item("t", ".", 2)) == ["c", None]
+    assert one_column(frame, array_item("t", ".", 1)) == ["b", None]
     assert one_column(frame, array_item("t", ".", 9)) == [None, None]
+    assert one_column(frame, array_item("t", ".b.", 1)) == ["c", None]
 
 
 def test_typed_projection(spark):

@@ -13,7 +13,12 @@ from ledgerline.operators.features import (
 
 @pytest.fixture(scope="module")
 def people(spark):
-    rows = [(1, 22.0, "male", "Mr."), (2, 38.0, "female", "Mrs."), (3, 26.0, "female", "Miss."), (4, 35.0, "male", "Mr.")]
+    rows = [
+        (1, 22.0, "male", "Mr."),
+        (2, 38.0, "female", "Mrs."),
+        (3, 26.0, "female", "Miss."),
+        (4, 35.0, "male", "Mr."),
+    ]
     return spark.createDataFrame(rows, "id int, age double, sex string, title string").coalesce(1)
 
 

@@ -46,8 +46,9 @@ def test_nearest_group_takes_the_port_with_the_nearest_median(spark):
 
 
 def test_replace_column_takes_one_column_only(spark):
-    frame = spark.createDataFrame([(1, None, "a"), (2, 5.0, "b")], "id int, age double, x string")
-    imputed = spark.createDataFrame([(1, 30.0, "z"), (2, 99.0, "z")], "id int, age double, x string")
+    schema = "id int, age double, x string"
+    frame = spark.createDataFrame([(1, None, "a"), (2, 5.0, "b")], schema)
+    imputed = spark.createDataFrame([(1, 30.0, "z"), (2, 99.0, "z")], schema)
     got = replace_column(frame, imputed, "id", "age").collect()
     assert {tuple(r) for r in got} == {(1, 30.0, "a"), (2, 5.0, "b")}
 
@@ -90,7 +91,8 @@ def test_draws_depend_on_key_and_salt_only(leaves):
     wanted, donors = leaves
 
     def draw(rows, *salts, per_block=50):
-        return {r.id: r.x for r in draw_donors(rows, donors, "x", "id", salts, None, per_block).collect()}
+        drawn = draw_donors(rows, donors, "x", "id", salts, None, per_block)
+        return {r.id: r.x for r in drawn.collect()}
 
     first = draw(wanted, 1)
     assert first == draw(wanted.repartition(9), 1) == draw(wanted, 1, per_block=3)
@@ -124,9 +126,10 @@ def test_chained_forests(passengers):
     assert imputed.schema == frame.schema
     got = {r.id: r for r in imputed.collect()}
     assert len(got) == len(holed)
-    observed = {c: {r[i] for r in holed} - {None} for i, c in ((2, "age"), (3, "embarked"), (4, "sibsp"))}
+    places = ((2, "age"), (3, "embarked"), (4, "sibsp"))
+    observed = {c: {r[i] for r in holed} - {None} for i, c in places}
     for row in holed:
-        for i, c in ((2, "age"), (3, "embarked"), (4, "sibsp")):
+        for i, c in places:
             value = got[row[0]][c]
             assert value is not None
             assert value == row[i] if row[i] is not None else value in observed[c]

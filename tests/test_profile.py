@@ -40,7 +40,7 @@ def test_describe_agrees_with_spark(fares):
 def test_missing_profile(spark):
     rows = [(1, None, math.nan), (2, "x", 1.0), (None, None, None), (4, "y", 2.0)]
     frame = spark.createDataFrame(rows, "a int, b string, c double")
-    got = {r.column_name: (r.n_rows, r.n_missing, r.share_missing) for r in missing_profile(frame).collect()}
+    got = {r[0]: tuple(r[1:]) for r in missing_profile(frame).collect()}
     assert got == {"a": (4, 1, 0.25), "b": (4, 2, 0.5), "c": (4, 2, 0.5)}
 
 
