@@ -26,7 +26,7 @@ def last_segment(column: Column | str, outer: str = "/", inner: str = ",") -> Co
 
 
 def segment_count(column: Column | str, delimiter: str) -> Column:
-    return F.size(_split(column, delimiter))
+    return F.array_size(_split(column, delimiter))
 
 
 def array_item(column: Column | str, delimiter: str, index: int) -> Column:

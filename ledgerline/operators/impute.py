@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions import complete_with
+from ledgerline.operators.features import MAX_LEVELS
 from ledgerline.operators.lookups import attach
 from ledgerline.operators.ranks import VALUES_PER_RANGE, percentiles
+from ledgerline.session import settle
 
 
 def fill_constant(
@@ -41,10 +43,14 @@ def fill_nearest_group(
     whose median ``measure`` is nearest ``value``; the first by name if two are as near."""
     value = F.col(value) if isinstance(value, str) else value
     known = rows.where(F.col(column).isNotNull())
-    medians = (
+    medians = settle(
         percentiles(known, measure, {"median": 0.5}, [within, column], values_per_range)
-        .groupBy(within)
-        .agg(F.collect_list(F.struct("median", F.col(column).alias("category"))).alias("__medians"))
+    )
+    widest = medians.groupBy(within).count().agg(F.max("count")).first()[0] or 0
+    if widest > MAX_LEVELS:
+        raise ValueError(f"more than {MAX_LEVELS} levels in {column}: bucket the rare ones first")
+    boxes = medians.groupBy(within).agg(
+        F.collect_list(F.struct("median", F.col(column).alias("category"))).alias("__medians")
     )
     nearest = F.array_min(
         F.transform(
@@ -54,7 +60,7 @@ def fill_nearest_group(
             ),
         )
     )["category"]
-    filled = attach(rows, medians, [within])
+    filled = attach(rows, boxes, [within])
     return filled.withColumn(column, F.coalesce(F.col(column), nearest)).select(*rows.columns)
 
 

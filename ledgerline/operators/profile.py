@@ -5,8 +5,6 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +21,8 @@ IQR_TO_SD = 1.34
 ROUND_STEPS = (2, 5, 10)
 ROUND_BIAS = 1.5
 BREAK_TOLERANCE = 1e-7
+# exp(-x*x/2) is zero in double precision beyond this x.
+KERNEL_REACH = 39.0
 
 
 def _stack(row: DataFrame, columns: Sequence[str], fields: Sequence[str]) -> DataFrame:
@@ -110,9 +110,9 @@ def box_stats(
             F.count(F.lit(1)).alias("n"),
             F.count_if(~_inside(value)).alias("n_outliers"),
             F.min(F.when(_inside(value), F.col(value))).alias("whisker_low"),
-            F.first("lower").alias("lower"),
-            F.first("middle").alias("middle"),
-            F.first("upper").alias("upper"),
+            F.max("lower").alias("lower"),
+            F.max("middle").alias("middle"),
+            F.max("upper").alias("upper"),
             F.max(F.when(_inside(value), F.col(value))).alias("whisker_high"),
         )
         .withColumn(
@@ -257,15 +257,18 @@ def kernel_density(
 ) -> DataFrame:
     """Gaussian kernel density on an even grid, by default from the least to the largest value.
 
-    Equal values are counted first; then each distinct value gives one vector of kernel heights
-    and the vectors are added up per task. With ``nodes`` each value is shared out between its
-    two neighbours among that many even nodes first, which bounds the work for continuous data.
+    Equal values are counted first. Each distinct value then meets only the grid points where its
+    kernel is not zero in double precision, and heights are added up per task. The bandwidth
+    shrinks as rows are added, so these become few. With ``nodes`` each value is shared out between
+    its two neighbours among that many even nodes first, which bounds the work for continuous data.
     """
     present = rows.select(F.col(value).cast("double").alias("v")).where(
         F.col("v").isNotNull() & ~F.isnan("v")
     )
     width = bandwidth(present, "v", values_per_range) if width is None else width
-    ends = present.agg(F.min("v").alias("low"), F.max("v").alias("high")).first()
+    ends = present.agg(
+        F.min("v").alias("low"), F.max("v").alias("high"), F.count("v").alias("n")
+    ).first()
     low = ends.low if low is None else low
     high = ends.high if high is None else high
     weights = present.groupBy("v").agg(F.count(F.lit(1)).cast("double").alias("n"))
@@ -288,18 +291,22 @@ def kernel_density(
             .select((F.col("node") * gap + ends.low).alias("v"), "n")
         )
     step = (high - low) / (points - 1)
-    height = F.transform(
-        F.sequence(F.lit(0), F.lit(points - 1)),
-        lambda i: F.exp(-F.pow((i * step + low - F.col("v")) / width, 2) / 2),
-    )
-    summed = weights.select(array_to_vector(height).alias("height"), "n").agg(
-        Summarizer.sum(F.col("height"), F.col("n")).alias("heights"),
-        (F.sum("n") * width * math.sqrt(2 * math.pi)).alias("scale"),
+    reach = math.ceil(KERNEL_REACH * width / step) if step > 0 else points
+    place = F.floor((F.col("v") - low) / (step or 1.0))
+    first = F.greatest(place - reach, F.lit(0))
+    last = F.least(place + reach + 1, F.lit(points - 1))
+    distance = (F.col("point") * step + low - F.col("v")) / width
+    heights = (
+        weights.where(first <= last)
+        .select("v", "n", F.explode(F.sequence(first, last)).alias("point"))
+        .groupBy("point")
+        .agg(F.sum(F.col("n") * F.exp(-F.pow(distance, 2) / 2)).alias("height"))
     )
-    return summed.select(
-        "scale", F.posexplode(vector_to_array("heights")).alias("i", "height")
-    ).select(
-        F.col("i").alias("point"),
-        (F.col("i") * step + low).alias("x"),
-        (F.col("height") / F.col("scale")).alias("density"),
+    scale = ends.n * width * math.sqrt(2 * math.pi)
+    grid = rows.sparkSession.range(points).withColumnRenamed("id", "point")
+    # At most one row per grid point.
+    return grid.join(F.broadcast(heights), "point", "left").select(
+        F.col("point").cast("int").alias("point"),
+        (F.col("point") * step + low).alias("x"),
+        (F.coalesce("height", F.lit(0.0)) / scale).alias("density"),
     )

@@ -140,6 +140,26 @@ def test_chained_forests(passengers):
     assert np.mean([got[i].embarked == "C" for i in first_class]) > 0.9
 
 
+def test_chained_forests_repeat(passengers):
+    frame, _, _ = passengers
+    first, second = (
+        {
+            r.id: r.age
+            for r in impute_chained_forests(
+                frame.select("id", "pclass", "age"), "id", ["age"], ["pclass"], 1, trees=3
+            ).collect()
+        }
+        for _ in range(2)
+    )
+    assert first == second
+
+
+def test_too_many_leaves(passengers):
+    frame, _, _ = passengers
+    with pytest.raises(ValueError, match="leaves"):
+        impute_chained_forests(frame, "id", ["age"], ["pclass"], max_depth=20)
+
+
 def test_chained_copies(passengers):
     frame, holed, _ = passengers
     both = impute_chained_forests(

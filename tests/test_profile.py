@@ -118,6 +118,19 @@ def test_kernel_density(fares):
     assert [r.density for r in binned] == pytest.approx(list(want), rel=1e-2, abs=1e-6)
 
 
+def test_kernel_density_far_from_the_values(spark):
+    frame = spark.createDataFrame([(0.0,), (0.0,), (1000.0,)], "v double")
+    got = kernel_density(frame, "v", points=11, width=0.5).orderBy("point").collect()
+    peak = 1 / (0.5 * math.sqrt(2 * math.pi))
+    assert [r.density for r in got] == pytest.approx([2 / 3 * peak] + [0] * 9 + [peak / 3])
+    beside = kernel_density(frame, "v", points=3, low=-1.0, high=1.0, width=0.5)
+    assert [r.density for r in beside.orderBy("point").collect()] == pytest.approx(
+        [2 / 3 * peak * math.exp(-2), 2 / 3 * peak, 2 / 3 * peak * math.exp(-2)]
+    )
+    same = spark.createDataFrame([(3.0,)] * 4, "v double")
+    assert kernel_density(same, "v", points=5).count() == 5
+
+
 def test_count_report_keeps_the_null_key(spark):
     rows = [(None, 1), (None, 1), ("x", 1), ("x", 0), ("y", None)]
     frame = spark.createDataFrame(rows, "state string, survived int")
