@@ -2,6 +2,8 @@ import math
 
 import numpy as np
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 
 from ledgerline.operators.profile import (
     bandwidth,
@@ -136,3 +138,15 @@ def test_count_report_keeps_the_null_key(spark):
     frame = spark.createDataFrame(rows, "state string, survived int")
     report = count_report(frame, ["state"], frame.survived == 1, "survivors", largest_first=True)
     assert [tuple(r) for r in report.collect()] == [(None, 2), ("x", 1)]
+
+
+@given(
+    st.floats(-1e6, 1e6, allow_nan=False), st.floats(1e-3, 1e6), st.integers(1, 40)
+)
+def test_round_breaks_cover_the_range_in_round_steps(low, spread, intervals):
+    first, width, bins = round_breaks(low, low + spread, intervals)
+    slack = width * 1e-6
+    assert first <= low + slack and low + spread <= first + width * bins + slack
+    lead = width / 10 ** math.floor(math.log10(width) + 1e-9)
+    assert min(abs(lead - step) for step in (1, 2, 5, 10)) < 1e-6
+    assert bins <= 3 * intervals + 3
