@@ -1,4 +1,4 @@
-from ledgerline.functions.columns import complete_with, select_except, typed_projection
+from ledgerline.functions.columns import is_missing, known, select_except, typed_projection
 from ledgerline.functions.hashing import hash_draw, split_bucket
 from ledgerline.functions.text import (
     array_item,
@@ -11,8 +11,9 @@ from ledgerline.functions.text import (
 __all__ = [
     "array_item",
     "bucket_other",
-    "complete_with",
     "hash_draw",
+    "is_missing",
+    "known",
     "last_segment",
     "segment_count",
     "select_except",

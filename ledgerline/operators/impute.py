@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.functions import complete_with
+from ledgerline.functions import is_missing, known
 from ledgerline.operators.features import MAX_LEVELS
 from ledgerline.operators.lookups import attach
 from ledgerline.operators.ranks import VALUES_PER_RANGE, percentiles
@@ -18,7 +18,7 @@ def fill_constant(
     rows: DataFrame, column: str, value: object, where: Column | None = None
 ) -> DataFrame:
     """Put ``value`` where the column is missing and ``where`` holds."""
-    gap = F.col(column).isNull() if where is None else F.col(column).isNull() & where
+    gap = is_missing(rows, column) if where is None else is_missing(rows, column) & where
     return rows.withColumn(column, F.when(gap, F.lit(value)).otherwise(F.col(column)))
 
 
@@ -28,7 +28,8 @@ def fill_group_median(
     """Put the exact median of the row's group where the column is missing."""
     medians = percentiles(rows, column, {"__median": 0.5}, by, values_per_range)
     filled = attach(rows, medians, by)
-    return filled.withColumn(column, complete_with(column, "__median")).select(*rows.columns)
+    value = F.coalesce(known(rows, column), "__median")
+    return filled.withColumn(column, value).select(*rows.columns)
 
 
 def fill_nearest_group(
@@ -42,9 +43,9 @@ def fill_nearest_group(
     """Where the category ``column`` is missing, put the one, among rows of the same ``within``,
     whose median ``measure`` is nearest ``value``; the first by name if two are as near."""
     value = F.col(value) if isinstance(value, str) else value
-    known = rows.where(F.col(column).isNotNull())
+    complete = rows.where(~is_missing(rows, column))
     medians = settle(
-        percentiles(known, measure, {"median": 0.5}, [within, column], values_per_range)
+        percentiles(complete, measure, {"median": 0.5}, [within, column], values_per_range)
     )
     widest = medians.groupBy(within).count().agg(F.max("count")).first()[0] or 0
     if widest > MAX_LEVELS:
@@ -61,11 +62,12 @@ def fill_nearest_group(
         )
     )["category"]
     filled = attach(rows, boxes, [within])
-    return filled.withColumn(column, F.coalesce(F.col(column), nearest)).select(*rows.columns)
+    return filled.withColumn(column, F.coalesce(known(rows, column), nearest)).select(*rows.columns)
 
 
 def replace_column(rows: DataFrame, imputed: DataFrame, key: str, column: str) -> DataFrame:
     """Take one column from an imputed copy of the table, by key; the copy's others are left."""
     taken = imputed.select(key, F.col(column).alias("__imputed"))
     joined = rows.join(taken, key, "left")
-    return joined.withColumn(column, complete_with(column, "__imputed")).select(*rows.columns)
+    value = F.coalesce(known(rows, column), "__imputed")
+    return joined.withColumn(column, value).select(*rows.columns)

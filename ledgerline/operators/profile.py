@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ledgerline.functions import is_missing
 from ledgerline.operators.lookups import attach
 from ledgerline.operators.ranks import VALUES_PER_RANGE, percentiles
 
@@ -69,9 +70,7 @@ def missing_profile(rows: DataFrame) -> DataFrame:
     """Missing values per column, in one pass; NaN counts as missing."""
     aggregates = []
     for i, f in enumerate(rows.schema.fields):
-        missing = F.col(f.name).isNull()
-        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            missing = missing | F.isnan(f.name)
+        missing = is_missing(rows, f.name)
         aggregates += [
             F.count(F.lit(1)).alias(f"n_rows__{i}"),
             F.count_if(missing).alias(f"n_missing__{i}"),

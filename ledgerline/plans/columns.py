@@ -16,7 +16,14 @@ from ledgerline.functions import (
 )
 from ledgerline.operators.reports import value_counts
 from ledgerline.session import shared_path
-from ledgerline.sources import preview, read_csv_text, read_table, write_csv, write_report
+from ledgerline.sources import (
+    preview,
+    read_csv_inferred,
+    read_csv_text,
+    read_table,
+    write_csv,
+    write_report,
+)
 
 ORDER_TYPES = {
     "o_orderkey": "bigint",
@@ -52,6 +59,20 @@ def csv_na_scan(spark: SparkSession, folder: str) -> DataFrame:
     return typed_projection(text, ORDER_TYPES)
 
 
+def csv_inferred(spark: SparkSession, folder: str) -> DataFrame:
+    """Types are found by reading; each row names the type its price was given."""
+    path = shared_path(spark, "orders-inferred")
+    write_csv(_orders_by_day(blanked_orders(spark, folder)), path, missing="NA")
+    inferred = read_csv_inferred(spark, path)
+    return inferred.select(
+        F.col("o_orderkey").cast("bigint").alias("o_orderkey"),
+        "o_orderpriority",
+        "o_totalprice",
+        F.typeof("o_totalprice").alias("price_type"),
+        F.typeof("o_orderpriority").alias("priority_type"),
+    )
+
+
 def report_export(spark: SparkSession, folder: str) -> DataFrame:
     pages = read_table(spark, folder, "pages").select(
         last_segment("url", "/", "&").alias("segment")
@@ -157,6 +178,7 @@ def null_skipping(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "csv_roundtrip": csv_roundtrip,
     "csv_na_scan": csv_na_scan,
+    "csv_inferred": csv_inferred,
     "report_export": report_export,
     "preview_rows": preview_rows,
     "typed_projection": typed_columns,
@@ -183,6 +205,10 @@ _SEGMENT = "string_split(string_split(url, '/')[-1], '&')[-1]"
 ORACLE = {
     "csv_roundtrip": _BY_DAY.format(price="o_totalprice"),
     "csv_na_scan": _BY_DAY.format(price=BLANKED_PRICE),
+    "csv_inferred": f"""
+        select o_orderkey, o_orderpriority, {BLANKED_PRICE} as o_totalprice,
+               'double' as price_type, 'string' as priority_type
+        from orders""",
     "report_export": f"""
         select nullif({_SEGMENT}, '') as segment, count(*) as n
         from pages group by {_SEGMENT}""",

@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -23,13 +25,13 @@ def test_constant_by_predicate(spark):
 @pytest.mark.parametrize("per_range", [2, 50_000])
 def test_group_median(spark, per_range):
     fares = [7.0, 8.05, 8.05, 9.5, None]
-    rows = [(i, "3", "S", f) for i, f in enumerate(fares)]
+    rows = [(i, "3", "S", f) for i, f in enumerate(fares)] + [(5, "3", "S", math.nan)]
     rows += [(10, "3", "Q", None), (11, "1", None, 80.0), (12, "1", None, None)]
     frame = spark.createDataFrame(rows, "id int, pclass string, embarked string, fare double")
     filled = fill_group_median(frame, "fare", ["pclass", "embarked"], per_range)
     assert filled.columns == frame.columns
     got = {r.id: r.fare for r in filled.collect()}
-    assert got == {0: 7.0, 1: 8.05, 2: 8.05, 3: 9.5, 4: 8.05, 10: None, 11: 80.0, 12: 80.0}
+    assert got == {0: 7.0, 1: 8.05, 2: 8.05, 3: 9.5, 4: 8.05, 5: 8.05, 10: None, 11: 80.0, 12: 80.0}
 
 
 def test_nearest_group_takes_the_port_with_the_nearest_median(spark):
@@ -47,7 +49,7 @@ def test_nearest_group_takes_the_port_with_the_nearest_median(spark):
 
 def test_replace_column_takes_one_column_only(spark):
     schema = "id int, age double, x string"
-    frame = spark.createDataFrame([(1, None, "a"), (2, 5.0, "b")], schema)
+    frame = spark.createDataFrame([(1, math.nan, "a"), (2, 5.0, "b")], schema)
     imputed = spark.createDataFrame([(1, 30.0, "z"), (2, 99.0, "z")], schema)
     got = replace_column(frame, imputed, "id", "age").collect()
     assert {tuple(r) for r in got} == {(1, 30.0, "a"), (2, 5.0, "b")}
@@ -110,12 +112,16 @@ def passengers(spark):
         siblings = int(rng.integers(0, 3))
         rows.append((i, pclass, age, port, siblings))
     truth = {r[0]: r for r in rows}
-    holed = [
-        (i, p, None if i % 6 == 0 else a, None if i % 9 == 1 else e, None if i % 11 == 2 else s)
-        for i, p, a, e, s in rows
-    ]
+    holes = []
+    for i, pclass, age, port, siblings in rows:
+        if i % 6 == 0:
+            age = math.nan if i % 12 == 0 else None
+        port = None if i % 9 == 1 else port
+        siblings = None if i % 11 == 2 else siblings
+        holes.append((i, pclass, age, port, siblings))
     schema = "id int, pclass int, age double, embarked string, sibsp int"
-    return spark.createDataFrame(holed, schema), holed, truth
+    holed = [(i, p, None if a != a else a, e, s) for i, p, a, e, s in holes]
+    return spark.createDataFrame(holes, schema), holed, truth
 
 
 def test_chained_forests(passengers):
