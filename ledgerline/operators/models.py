@@ -28,7 +28,7 @@ from ledgerline.operators.features import (
     slot_names,
     split_by_key,
 )
-from ledgerline.session import settle, spread
+from ledgerline.session import settle, settle_spread
 
 
 def random_forest(seed: int, trees: int = 10, features: str = "features") -> Estimator:
@@ -73,7 +73,7 @@ def prepare(
 ) -> Prepared:
     """Split and encode. The model columns are settled first: encoders, fits and scores all read
     them, and none goes back to the source."""
-    rows = settle(spread(rows.select(key, label, *numbers, *categories), key))
+    rows = settle_spread(rows.select(key, label, *numbers, *categories), key)
     if categories:
         check_levels(rows, categories)
     train, test = split_by_key(rows, key, seed=seed)

@@ -130,6 +130,7 @@ ORACLE = {
         from labels join ({_levels("quality", "labels")}) using (quality)""",
     "hash_split": """
         select o_orderkey,
-               case when ('0x' || substr(md5(o_orderkey || ':42'), 1, 8))::bigint % 10 < 7 then 'train' else 'test' end as part
+               case when ('0x' || substr(md5(o_orderkey || ':42'), 1, 8))::bigint % 10 < 7
+                    then 'train' else 'test' end as part
         from orders""",
 }

@@ -45,13 +45,6 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/ledgerline-{uuid.uuid4().hex}/{name}"
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give iterative work a task per core where the input comes in fewer pieces, as one small
-    file does; larger inputs are left as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
 def settle(df: DataFrame) -> DataFrame:
     """Compute ``df`` once into reliable storage and cut its lineage."""
     spark = df.sparkSession
@@ -59,3 +52,16 @@ def settle(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def settle_spread(df: DataFrame, key: str) -> DataFrame:
+    """Settle ``df`` for iterative work, with at least a partition per core.
+
+    Only inputs in fewer pieces than cores, such as one small file, are moved. Partitions are
+    counted on the settled rows, where that runs nothing.
+    """
+    stored = settle(df)
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if stored.rdd.getNumPartitions() >= cores:
+        return stored
+    return settle(stored.repartition(cores, key))

@@ -110,8 +110,8 @@ def test_refit_and_comparison(data):
     model, test, chosen = refit_on_top(data, 2, seed=1)
     assert len(chosen) == 2 and model.numFeatures == 2
     assert area_under_roc(score(model, test, "id"), "probability", "label") > 0.7
-    table = compare(data, {"forest": random_forest(1), "bayes": naive_bayes()}, [2], 1, "forest").collect()
-    got = {r.model: r for r in table}
+    estimators = {"forest": random_forest(1), "bayes": naive_bayes()}
+    got = {r.model: r for r in compare(data, estimators, [2], 1, "forest").collect()}
     assert set(got) == {"forest", "bayes", "random_forest_top_2"}
     assert got["forest"].auc == pytest.approx(got["forest"].auc_raw)
     forest = score(fit(random_forest(1), data.train), data.test, "id")
