@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerline.session import shared_path
+
 WORD_SPACE = r"[\x20\x09-\x0D]"
 
 
@@ -15,11 +15,8 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A fresh folder below the one that ``spark.checkpoint.dir`` names for all executors."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-    return f"{named.rstrip('/')}/llm-{uuid.uuid4().hex}"
+    """A fresh folder that every executor can reach."""
+    return shared_path(spark, "llm")
 
 
 def stored(df: DataFrame) -> DataFrame:
