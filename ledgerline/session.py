@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(app: str, cores: str = "*", shuffle_partitions: int = 8) -> SparkSession:
+def local_session(
+    app: str, cores: str = "*", shuffle_partitions: int = 8, checkpoints: str | None = None
+) -> SparkSession:
     """A local session for tests and benchmarks; clusters bring their own."""
+    builder = SparkSession.builder
+    if checkpoints:
+        builder = builder.config("spark.checkpoint.dir", checkpoints)
     spark = (
-        SparkSession.builder.master(f"local[{cores}]")
+        builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -28,16 +32,9 @@ def local_session(app: str, cores: str = "*", shuffle_partitions: int = 8) -> Sp
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors can reach, as named by ``spark.checkpoint.dir``."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerline-"))
-    return context.getCheckpointDir()
+    """The folder all executors can reach: ``spark.checkpoint.dir``, or one in the warehouse if unset."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return named or f"{spark.conf.get('spark.sql.warehouse.dir')}/ledgerline-checkpoints"
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
