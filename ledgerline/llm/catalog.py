@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerline.llm import sql
 from ledgerline.llm.quality_rules import op7_line_rules
+from ledgerline.llm.suffix_dedup import op8_suffix_dedup
 from ledgerline.llm.window_dedup import op10_window_dedup
 
 QUERIES = {
     "op7_line_rules": op7_line_rules,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op10_window_dedup": op10_window_dedup,
 }
 
