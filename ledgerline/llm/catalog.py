@@ -7,11 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerline.llm import sql
+from ledgerline.llm.bpe import op6_bpe
 from ledgerline.llm.quality_rules import op7_line_rules
 from ledgerline.llm.suffix_dedup import op8_suffix_dedup
+from ledgerline.llm.warc import op2_warc
 from ledgerline.llm.window_dedup import op10_window_dedup
 
 QUERIES = {
+    "op2_warc": op2_warc,
+    "op6_bpe": op6_bpe,
     "op7_line_rules": op7_line_rules,
     "op8_suffix_dedup": op8_suffix_dedup,
     "op10_window_dedup": op10_window_dedup,

@@ -2,4 +2,17 @@
 
 from __future__ import annotations
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op2_warc": """
+        with held as (
+            select page_id, strlen(coalesce(html, '')) as payload_bytes, sha1(coalesce(html, '')) as payload_digest
+            from pages
+        ), keepers as (
+            select payload_digest, max(page_id) as keeper from held where payload_bytes >= 1000 group by payload_digest
+        )
+        select page_id, payload_bytes, payload_digest,
+               case when payload_bytes >= 1000 and page_id <> keeper then 'revisit' else 'response' end as record_type,
+               case when payload_bytes >= 1000 and page_id <> keeper then keeper end as refers_to
+        from held left join keepers using (payload_digest)
+    """,
+}
