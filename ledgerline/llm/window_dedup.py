@@ -27,10 +27,10 @@ from ledgerline.llm.sketch import Repeats
 from ledgerline.llm.tables import read, stored, texts
 
 WINDOW = 35
-GRAM = 8
-SKETCH_ROWS, SKETCH_BITS = 2, 25
+GRAM = 20
+SKETCH_ROWS, SKETCH_BITS = 2, 26
 
-RUN = "anchor long, digest long, doc_id long, mark long, first int, hashes binary"
+RUN = "anchor long, digest long, doc_id long, mark long, first int, windows int, hashes binary"
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
 
 
@@ -58,9 +58,8 @@ def _anchors(size: int, gram: int):
     return anchors
 
 
-def repeated_runs(docs: DataFrame, size: int, gram: int, rows: int, bits: int) -> DataFrame:
-    """Runs of windows whose anchor the sketch takes for repeated."""
-    maybe = docs.sparkSession.sparkContext.broadcast(Repeats.of(docs.select("text"), _anchors(size, gram), rows, bits))
+def repeated_runs(docs: DataFrame, maybe, size: int, gram: int, with_hashes: bool) -> DataFrame:
+    """Runs of windows whose anchor the broadcast sketch ``maybe`` takes for repeated."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -75,8 +74,8 @@ def repeated_runs(docs: DataFrame, size: int, gram: int, rows: int, bits: int) -
                 row = np.searchsorted(words.bounds, starts, side="right") - 1
                 ends = np.cumsum(counts)
                 at = np.arange(ends[-1]) + np.repeat(starts - ends + counts, counts)
-                hashes = spans.hash(at, at + size).tobytes()
-                cuts = np.concatenate([[0], ends * 8]).astype(np.int32)
+                hashes = spans.hash(at, at + size).tobytes() if with_hashes else b""
+                cuts = np.append(0, ends * 8 if with_hashes else 0 * ends).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
                         as_longs(anchors),
@@ -84,9 +83,10 @@ def repeated_runs(docs: DataFrame, size: int, gram: int, rows: int, bits: int) -
                         batch.column("doc_id").take(pa.array(row + a)),
                         batch.column("mark").take(pa.array(row + a)),
                         pa.array((starts - words.bounds[row]).astype(np.int32)),
+                        pa.array(counts.astype(np.int32)),
                         pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(cuts), pa.py_buffer(hashes)]),
                     ],
-                    ["anchor", "digest", "doc_id", "mark", "first", "hashes"],
+                    ["anchor", "digest", "doc_id", "mark", "first", "windows", "hashes"],
                 )
 
     return docs.mapInArrow(emit, RUN)
@@ -115,16 +115,19 @@ def _single_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def repeated_spans(docs: DataFrame, size: int, gram: int, rows: int, bits: int) -> DataFrame:
     """doc_id, mark, first, n_words: spans of words that repeated windows cover, not yet merged."""
-    runs = stored(repeated_runs(docs, size, gram, rows, bits))
+    maybe = docs.sparkSession.sparkContext.broadcast(Repeats.of(docs.select("text"), _anchors(size, gram), rows, bits))
     kinds = stored(
-        runs.groupBy("anchor", "digest").agg(
+        repeated_runs(docs, maybe, size, gram, with_hashes=True)
+        .groupBy("anchor", "digest").agg(
             F.count(F.lit(1)).alias("n"),
             F.min("hashes").alias("hashes"),
             F.min(F.struct("doc_id", "mark", "first")).alias("at"),
         )
     )
+    # The runs are found again, which costs less than keeping them.
+    runs = repeated_runs(docs, maybe, size, gram, with_hashes=False)
     whole = runs.join(kinds.where("n > 1").select("anchor", "digest"), ["anchor", "digest"], "left_semi").select(
-        "doc_id", "mark", "first", (F.octet_length("hashes") / 8 + (size - 1)).cast("int").alias("n_words")
+        "doc_id", "mark", "first", (F.col("windows") + (size - 1)).alias("n_words")
     )
     contested = kinds.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("anchor")
     windows = (
