@@ -8,16 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerline.llm import sql
 from ledgerline.llm.bpe import op6_bpe
+from ledgerline.llm.ngram_join import op1_ngram_join
+from ledgerline.llm.quality_gam import op9_quality_gam
 from ledgerline.llm.quality_rules import op7_line_rules
 from ledgerline.llm.suffix_dedup import op8_suffix_dedup
 from ledgerline.llm.warc import op2_warc
 from ledgerline.llm.window_dedup import op10_window_dedup
 
 QUERIES = {
+    "op1_ngram_join": op1_ngram_join,
     "op2_warc": op2_warc,
     "op6_bpe": op6_bpe,
     "op7_line_rules": op7_line_rules,
     "op8_suffix_dedup": op8_suffix_dedup,
+    "op9_quality_gam": op9_quality_gam,
     "op10_window_dedup": op10_window_dedup,
 }
 
