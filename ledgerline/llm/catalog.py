@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerline.llm import sql
 from ledgerline.llm.bpe import op6_bpe
+from ledgerline.llm.decontaminate import op3_decontaminate
 from ledgerline.llm.ngram_join import op1_ngram_join
+from ledgerline.llm.pii import op4_pii
 from ledgerline.llm.quality_gam import op9_quality_gam
 from ledgerline.llm.quality_rules import op7_line_rules
 from ledgerline.llm.suffix_dedup import op8_suffix_dedup
@@ -18,6 +20,8 @@ from ledgerline.llm.window_dedup import op10_window_dedup
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_warc": op2_warc,
+    "op3_decontaminate": op3_decontaminate,
+    "op4_pii": op4_pii,
     "op6_bpe": op6_bpe,
     "op7_line_rules": op7_line_rules,
     "op8_suffix_dedup": op8_suffix_dedup,
