@@ -1,24 +1,62 @@
-"""Documents through quality rules, near-duplicate removal, decontamination, PII and tokens."""
+"""Documents through quality rules, near-duplicate removal, decontamination, surrogates and tokens."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm.quality_rules import judge
+from ledgerline.llm.bpe import decode, encode
+from ledgerline.llm.decontaminate import without_leaks
+from ledgerline.llm.ngram_join import one_of_each_group
+from ledgerline.llm.pii import pseudonymise
+from ledgerline.llm.quality_rules import kept_documents
 from ledgerline.llm.tables import read, stored
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line rules keep, as they came."""
-    kept = judge(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi")
+    return kept_documents(docs)
+
+
+def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, that with the smallest doc_id."""
+    return one_of_each_group(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return without_leaks(docs, read(spark, sf_dir, "benchmark"))
+
+
+def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with surrogates for personal data; n_chars follows the text."""
+    out = pseudonymise(docs)
+    if "n_chars" not in out.columns:
+        return out
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids, and digests of ids and of the text they decode to."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return decode(encode(docs, path), path).select(
+        "doc_id",
+        "n_tokens",
+        "ids",
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality_rules", quality_rules),
+    ("ngram_join", ngram_join),
+    ("decontamination", decontamination),
+    ("surrogates", surrogates),
+    ("tokens", tokens),
 ]
 
 #: SQL can't express the decontamination, surrogate and token stages; tests hold them against brute force.

@@ -13,6 +13,7 @@ from ledgerline.llm.ngram_join import op1_ngram_join
 from ledgerline.llm.pii import op4_pii
 from ledgerline.llm.quality_gam import op9_quality_gam
 from ledgerline.llm.quality_rules import op7_line_rules
+from ledgerline.llm.quote_links import op5_quote_links
 from ledgerline.llm.suffix_dedup import op8_suffix_dedup
 from ledgerline.llm.warc import op2_warc
 from ledgerline.llm.window_dedup import op10_window_dedup
@@ -22,6 +23,7 @@ QUERIES = {
     "op2_warc": op2_warc,
     "op3_decontaminate": op3_decontaminate,
     "op4_pii": op4_pii,
+    "op5_quote_links": op5_quote_links,
     "op6_bpe": op6_bpe,
     "op7_line_rules": op7_line_rules,
     "op8_suffix_dedup": op8_suffix_dedup,

@@ -17,6 +17,7 @@ searched one by one; extra columns are left alone.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -147,65 +148,84 @@ def align(item: bytes, text: bytes, low: int, budget: int) -> tuple[int, int, in
     return edits, first + end - back, first + end
 
 
+def _leaks(batch: pa.RecordBatch, index: Index) -> Iterator[tuple[int, int, int, int, int, str]]:
+    """Row, item_id, start, end, edits and passage of every place where an item lies in a text of the batch."""
+    raw, bounds = text_buffers(batch.column("text"))
+    for a, z in row_chunks(bounds):
+        data = raw[bounds[a] : bounds[z]]
+        text, origin = normalised(data)
+        edges = np.searchsorted(origin, bounds[a : z + 1] - bounds[a])
+        at, item, place = index.hits(text)
+        row = np.searchsorted(edges, at, side="right") - 1
+        inside = at + index.q <= edges[row + 1]
+        at, item, place, row = at[inside], item[inside], place[inside], row[inside]
+        found: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+        for r, k, low in index.bands(row, at - edges[row], item, place):
+            hit = align(index.items[k], text[edges[r] : edges[r + 1]].tobytes(), low, int(index.budget[k]))
+            if hit:
+                found.setdefault((r, k), []).append(hit)
+        for (r, k), hits in found.items():
+            taken: list[tuple[int, int]] = []
+            for edits, s, e in sorted(hits):
+                if all(e <= x or s >= y for x, y in taken):
+                    taken.append((s, e))
+                    first, last = int(origin[edges[r] + s]), int(origin[edges[r] + e - 1]) + 1
+                    before = data[bounds[a + r] - bounds[a] : first].tobytes().decode(errors="ignore")
+                    passage = data[first:last].tobytes().decode(errors="ignore")
+                    yield r + a, index.ids[k], len(before), len(before) + len(passage), edits, passage
+
+
 def matches(docs: DataFrame, index: Index) -> DataFrame:
     """A row per place where an item lies in a text; start and end count characters."""
     held = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = held.value
         for batch in batches:
-            raw, bounds = text_buffers(batch.column("text"))
-            for a, z in row_chunks(bounds):
-                data = raw[bounds[a] : bounds[z]]
-                text, origin = normalised(data)
-                edges = np.searchsorted(origin, bounds[a : z + 1] - bounds[a])
-                at, item, place = index.hits(text)
-                row = np.searchsorted(edges, at, side="right") - 1
-                inside = at + index.q <= edges[row + 1]
-                at, item, place, row = at[inside], item[inside], place[inside], row[inside]
-                found: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
-                for r, k, low in index.bands(row, at - edges[row], item, place):
-                    hit = align(index.items[k], text[edges[r] : edges[r + 1]].tobytes(), low, int(index.budget[k]))
-                    if hit:
-                        found.setdefault((r, k), []).append(hit)
-                out = []
-                for (r, k), hits in found.items():
-                    taken: list[tuple[int, int]] = []
-                    for edits, s, e in sorted(hits):
-                        if all(e <= x or s >= y for x, y in taken):
-                            taken.append((s, e))
-                            first, last = int(origin[edges[r] + s]), int(origin[edges[r] + e - 1]) + 1
-                            before = data[bounds[a + r] - bounds[a] : first].tobytes().decode(errors="ignore")
-                            passage = data[first:last].tobytes().decode(errors="ignore")
-                            out.append((r + a, index.ids[k], len(before), len(before) + len(passage), edits, passage))
-                if out:
-                    rows, *columns = zip(*out, strict=True)
-                    types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string())
-                    yield pa.RecordBatch.from_arrays(
-                        [batch.column("doc_id").take(pa.array(rows)), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))],
-                        ["doc_id", "item_id", "start", "end", "edits", "passage"],
-                    )
+            if out := list(_leaks(batch, held.value)):
+                rows, *columns = zip(*out, strict=True)
+                types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").take(pa.array(rows)), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))],
+                    ["doc_id", "item_id", "start", "end", "edits", "passage"],
+                )
 
     return docs.mapInArrow(run, MATCH)
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, edit_percent: int = EDIT_PERCENT, slice_bytes: int = SLICE_BYTES) -> DataFrame:
-    """doc_id, item_id, start, end, edits, passage: every place of a benchmark item in a document."""
-    docs = texts(docs)
+def index_slices(benchmark: DataFrame, q: int, edit_percent: int, slice_bytes: int) -> Iterator[Index]:
+    """The benchmark's index in slices of about ``slice_bytes``; one at least."""
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null")
-    slices, held, total = [], [], 0
+    held, total, any_ = [], 0, False
     for item_id, text in items.toLocalIterator():
         held.append((item_id, text))
         total += len(text)
         if total >= slice_bytes:
-            slices.append(matches(docs, Index(held, q, edit_percent)))
-            held, total = [], 0
-    if held or not slices:
-        slices.append(matches(docs, Index(held, q, edit_percent)))
-    out = slices[0]
-    for more in slices[1:]:
-        out = out.unionByName(more)
-    return out
+            yield Index(held, q, edit_percent)
+            held, total, any_ = [], 0, True
+    if held or not any_:
+        yield Index(held, q, edit_percent)
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, edit_percent: int = EDIT_PERCENT, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """doc_id, item_id, start, end, edits, passage: every place of a benchmark item in a document."""
+    docs = texts(docs)
+    found = [matches(docs, index) for index in index_slices(benchmark, q, edit_percent, slice_bytes)]
+    return functools.reduce(DataFrame.unionByName, found)
+
+
+def without_leaks(docs: DataFrame, benchmark: DataFrame, q: int = Q, edit_percent: int = EDIT_PERCENT, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """The rows of ``docs``, with all columns, whose text holds no benchmark item."""
+    for index in index_slices(benchmark, q, edit_percent, slice_bytes):
+        held = docs.sparkSession.sparkContext.broadcast(index)
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                clean = np.ones(batch.num_rows, bool)
+                clean[[leak[0] for leak in _leaks(batch, held.value)]] = False
+                yield batch.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
 
 
 def op3_decontaminate(spark, folder: str) -> DataFrame:

@@ -24,6 +24,7 @@ name a component that has ids. Shingles and sets are told apart by 64-bit hashes
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -338,5 +339,15 @@ def jaccard_groups(
     return joined.unionByName(alone)
 
 
+def one_of_each_group(docs: DataFrame, **settings) -> DataFrame:
+    """The rows of ``docs``, with all columns, that stand for their group; texts without words all stay."""
+    mark = "mark_" + uuid.uuid5(uuid.NAMESPACE_OID, " ".join(docs.columns)).hex[:12]  # clashes with no column
+    kept = jaccard_groups(docs, **settings).where("keeper and n_shingles > 0").select("doc_id", "mark").distinct().alias("k")
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    held = docs.where(worded).withColumn(mark, F.xxhash64(F.col("text").cast("string")))
+    same = F.col("k.doc_id").eqNullSafe(held["doc_id"].cast("long")) & (F.col("k.mark") == held[mark])
+    return held.join(kept, same, "left_semi").dropDuplicates(["doc_id", mark]).drop(mark).unionByName(docs.where(~worded))
+
+
 def op1_ngram_join(spark, folder: str) -> DataFrame:
     return jaccard_groups(read(spark, folder, "documents")).select("doc_id", "n_shingles", "component_id")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerline.llm.tables import WORD_SPACE, read, texts
+from ledgerline.llm.tables import WORD_SPACE, read
 
 WINDOW = 5
 MIN_WORDS = 10
@@ -107,19 +107,21 @@ def line_fails(line: Column) -> Column:
     return symbols | doubled | navigation | shouting | phrase
 
 
-def judge(docs: DataFrame, max_lost_percent: int = MAX_LOST_PERCENT) -> DataFrame:
-    """One row per row of ``docs``: doc_id, counts, ``base_failed``, ``lost_chars``, ``clean_text``, ``kept``.
-
-    Lines that fail, and lines that repeat an earlier one of the document, are lost.
-    """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    split = texts(docs).select("doc_id", text.alias("text")).select(
+def _judged(docs: DataFrame, max_lost_percent: int) -> DataFrame:
+    """``judge`` with each row of ``docs`` as struct ``row`` beside it."""
+    split = docs.select(
+        F.struct(*[docs[c] for c in docs.columns]).alias("row"),
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
+    ).select(
+        "row",
         "doc_id",
         "text",
         words_of(F.col("text")).alias("words"),
         F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
     )
     counted = split.select(
+        "row",
         "doc_id",
         F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
@@ -138,6 +140,7 @@ def judge(docs: DataFrame, max_lost_percent: int = MAX_LOST_PERCENT) -> DataFram
         100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")
     )
     return cleaned.select(
+        "row",
         "doc_id",
         "n_words",
         "word_chars",
@@ -150,5 +153,18 @@ def judge(docs: DataFrame, max_lost_percent: int = MAX_LOST_PERCENT) -> DataFram
     ).withColumn("kept", ~F.col("base_failed") & (100 * F.col("lost_chars") <= max_lost_percent * F.col("word_chars")))
 
 
+def judge(docs: DataFrame, max_lost_percent: int = MAX_LOST_PERCENT) -> DataFrame:
+    """One row per row of ``docs``: doc_id, counts, ``base_failed``, ``lost_chars``, ``clean_text``, ``kept``.
+
+    Lines that fail, and lines that repeat an earlier one of the document, are lost.
+    """
+    return _judged(docs, max_lost_percent).drop("row")
+
+
+def kept_documents(docs: DataFrame, max_lost_percent: int = MAX_LOST_PERCENT) -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns."""
+    return _judged(docs, max_lost_percent).where("kept").select("row.*")
+
+
 def op7_line_rules(spark, folder: str) -> DataFrame:
     return judge(read(spark, folder, "documents")).drop("clean_text")
