@@ -39,17 +39,19 @@ def fill_nearest_group(
     value: Column | str,
     measure: str,
     values_per_range: int = VALUES_PER_RANGE,
+    max_levels: int = MAX_LEVELS,
 ) -> DataFrame:
     """Where the category ``column`` is missing, put the one, among rows of the same ``within``,
-    whose median ``measure`` is nearest ``value``; the first by name if two are as near."""
+    whose median ``measure`` is nearest ``value``; the first by name if two are as near. Each row looks through the medians
+    of its ``within``, so their number is bounded by ``max_levels``."""
     value = F.col(value) if isinstance(value, str) else value
     complete = rows.where(~is_missing(rows, column))
     medians = settle(
         percentiles(complete, measure, {"median": 0.5}, [within, column], values_per_range)
     )
     widest = medians.groupBy(within).count().agg(F.max("count")).first()[0] or 0
-    if widest > MAX_LEVELS:
-        raise ValueError(f"more than {MAX_LEVELS} levels in {column}: bucket the rare ones first")
+    if widest > max_levels:
+        raise ValueError(f"more than {max_levels} levels in {column}: bucket the rare ones first")
     boxes = medians.groupBy(within).agg(
         F.collect_list(F.struct("median", F.col(column).alias("category"))).alias("__medians")
     )
@@ -66,8 +68,17 @@ def fill_nearest_group(
 
 
 def replace_column(rows: DataFrame, imputed: DataFrame, key: str, column: str) -> DataFrame:
-    """Take one column from an imputed copy of the table, by key; the copy's others are left."""
+    """Take one column from an imputed copy of the table, by key; the copy's others are left.
+
+    Only rows with a gap are joined. The key must be unique among the copy's rows that they meet.
+    """
+    gap = is_missing(rows, column)
+    open_rows = rows.where(gap)
     taken = imputed.select(key, F.col(column).alias("__imputed"))
-    joined = rows.join(taken, key, "left")
-    value = F.coalesce(known(rows, column), "__imputed")
-    return joined.withColumn(column, value).select(*rows.columns)
+    one = taken.join(open_rows.select(key), key, "left_semi").groupBy(key).agg(
+        F.first("__imputed", ignorenulls=True).alias("__imputed"), F.count(F.lit(1)).alias("__n")
+    )
+    unique = F.when(F.col("__n") > 1, F.raise_error(F.lit(f"{key} is not unique in the imputed copy")))
+    value = F.coalesce(unique.cast(rows.schema[column].dataType), F.col("__imputed")).alias("__value")
+    filled = open_rows.join(one.select(key, value), key, "left").withColumn(column, F.col("__value"))
+    return rows.where(~gap).unionByName(filled.select(*rows.columns))

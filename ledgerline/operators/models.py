@@ -12,6 +12,7 @@ from pyspark.ml.classification import (
     DecisionTreeClassifier,
     LogisticRegression,
     NaiveBayes,
+    NaiveBayesModel,
     RandomForestClassifier,
 )
 from pyspark.ml.feature import StringIndexer
@@ -22,13 +23,14 @@ from pyspark.sql import functions as F
 
 from ledgerline.operators.evaluate import positive_probability, trapezoid_area
 from ledgerline.operators.features import (
+    MAX_LEVELS,
     check_levels,
     feature_stages,
     slice_features,
     slot_names,
     split_by_key,
 )
-from ledgerline.session import settle, settle_spread
+from ledgerline.session import settle, settle_pieces
 
 
 def random_forest(seed: int, trees: int = 10, features: str = "features") -> Estimator:
@@ -54,9 +56,16 @@ def label_index(label: str) -> StringIndexer:
     return StringIndexer(inputCol=label, outputCol="label")
 
 
+#: Pieces that model rows are dealt into; forests draw by piece, so it is part of the seed.
+PIECES = 16
+
+
 @dataclass
 class Prepared:
-    """Training and test rows with ``features`` and ``label``, encoders fitted on training."""
+    """Training and test rows with ``features`` and ``label``.
+
+    The label index knows the labels of all rows; the features' encoders are fitted on training.
+    """
 
     train: DataFrame
     test: DataFrame
@@ -70,15 +79,18 @@ def prepare(
     numbers: Sequence[str],
     categories: Sequence[str],
     seed: int = 42,
+    pieces: int = PIECES,
+    max_levels: int = MAX_LEVELS,
 ) -> Prepared:
     """Split and encode. The model columns are settled first: encoders, fits and scores all read
-    them, and none goes back to the source."""
-    rows = settle_spread(rows.select(key, label, *numbers, *categories), key)
+    them, and none goes back to the source. Raise ``pieces`` with the table: 16 suit some millions
+    of rows. ``max_levels`` bounds what indexing a category brings to the driver."""
+    rows = settle_pieces(rows.select(key, label, *numbers, *categories), key, pieces)
     if categories:
-        check_levels(rows, categories)
-    train, test = split_by_key(rows, key, seed=seed)
-    encoder = Pipeline(stages=[label_index(label), *feature_stages(numbers, categories)])
-    fitted = encoder.fit(train)
+        check_levels(rows, categories, max_levels)
+    labelled = label_index(label).fit(rows).transform(rows)
+    train, test = split_by_key(labelled, key, seed=seed)
+    fitted = Pipeline(stages=feature_stages(numbers, categories)).fit(train)
     keep = [key, "label", "features"]
     encoded = fitted.transform(train).select(*keep)
     return Prepared(encoded, fitted.transform(test).select(*keep), slot_names(encoded))
@@ -186,19 +198,16 @@ def refit_on_top(
     return model, slice_features(data.test, chosen, out=out), chosen
 
 
-def compare(
+def fit_all(
     data: Prepared,
     estimators: Mapping[str, Estimator],
     keep: Sequence[int],
     seed: int,
     ranker: str = "random_forest",
-) -> DataFrame:
-    """Area under ROC of each model on one split, and of forests on the best ``keep`` slots by
-    the importances of the model ``ranker``.
+) -> tuple[dict[str, Model], dict[str, int], DataFrame]:
+    """Models by name, their numbers of slots, and the test rows with all vectors they need.
 
-    All models score the test rows in one pass, and all areas come from the scores together.
-    ``auc`` ranks by probability, ``auc_raw`` by the raw prediction. They differ for naive Bayes
-    only, whose raw score of one class is not a monotone function of its probability.
+    For each of ``keep`` there is a forest on so many best slots by the model ``ranker``.
     """
     with cached(data.train):
         models = {name: estimator.fit(data.train) for name, estimator in estimators.items()}
@@ -210,25 +219,49 @@ def compare(
                 replace(data, test=test), k, seed, models[ranker]
             )
             models[name], sizes[name] = model, len(chosen)
-    scores = score_all(models, test).select(
+    return models, sizes, test
+
+
+def areas(scored: DataFrame, models: Mapping[str, Model], sizes: Mapping[str, int]) -> DataFrame:
+    """Area under ROC of each model, from the scores of ``score_all``.
+
+    ``auc`` ranks by probability, ``auc_raw`` by the raw prediction. They differ for naive Bayes
+    only, whose raw score of one class is not a monotone function of its probability, so the
+    others are ranked once.
+    """
+    twice = [n for n, m in models.items() if isinstance(m, NaiveBayesModel)]
+    ranked = F.array(F.struct(F.lit("auc").alias("kind"), F.col("probability").alias("score")))
+    raw = F.array(F.struct(F.lit("auc_raw").alias("kind"), F.col("raw").alias("score")))
+    scores = scored.select(
         "model",
         "label",
-        F.inline(
-            F.array(
-                F.struct(F.lit("auc").alias("kind"), F.col("probability").alias("score")),
-                F.struct(F.lit("auc_raw").alias("kind"), F.col("raw").alias("score")),
-            )
-        ),
+        F.inline(F.when(F.col("model").isin(twice), F.concat(ranked, raw)).otherwise(ranked)),
     )
-    areas = trapezoid_area(scores, "score", "label", ["model", "kind"])
+    found = trapezoid_area(scores, "score", "label", ["model", "kind"])
     features = F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair])
-    return areas.groupBy("model").agg(
+    of = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("auc")))
+    return found.groupBy("model").agg(
         F.max(features[F.col("model")]).alias("n_features"),
-        F.max(F.when(F.col("kind") == "auc", F.col("auc"))).alias("auc"),
-        F.max(F.when(F.col("kind") == "auc_raw", F.col("auc"))).alias("auc_raw"),
+        of("auc").alias("auc"),
+        F.coalesce(of("auc_raw"), of("auc")).alias("auc_raw"),
     )
 
 
+def compare(
+    data: Prepared,
+    estimators: Mapping[str, Estimator],
+    keep: Sequence[int],
+    seed: int,
+    ranker: str = "random_forest",
+) -> DataFrame:
+    """Area under ROC of each model on one split, and of forests on the best ``keep`` slots.
+
+    All models score the test rows in one pass, and all areas come from the scores together.
+    """
+    models, sizes, test = fit_all(data, estimators, keep, seed, ranker)
+    return areas(score_all(models, test), models, sizes)
+
+
 def naive_bayes_parameters(
     rows: DataFrame, label: str, features: str, smoothing: float = 1.0
 ) -> DataFrame:

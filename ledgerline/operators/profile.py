@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from ledgerline.functions import is_missing
 from ledgerline.operators.lookups import attach
 from ledgerline.operators.ranks import VALUES_PER_RANGE, percentiles
+from ledgerline.session import settle
 
 # Whisker reach in box heights, notch half-width, and the constants of the
 # normal-reference bandwidth and of the round-break rule.
@@ -41,6 +42,7 @@ def describe_columns(rows: DataFrame) -> DataFrame:
     """Count, mean, sample deviation and extremes of every column, in one pass.
 
     Numbers have ``min``/``max``; text has ``min_text``/``max_text``, and a mean if it parses.
+    Whole numbers are given as text too, where all their digits are kept.
     """
     columns = [
         f.name
@@ -51,7 +53,8 @@ def describe_columns(rows: DataFrame) -> DataFrame:
     for i, c in enumerate(columns):
         is_text = isinstance(rows.schema[c].dataType, T.StringType)
         number = F.col(c).try_cast("double")
-        text = F.col(c) if is_text else F.lit(None).cast("string")
+        is_whole = isinstance(rows.schema[c].dataType, (T.IntegralType, T.DecimalType))
+        digits = lambda x, whole=is_whole: x.cast("string") if whole else F.lit(None).cast("string")
         bounded = F.lit(None).cast("double") if is_text else number
         aggregates += [
             F.count(c).alias(f"n__{i}"),
@@ -59,8 +62,8 @@ def describe_columns(rows: DataFrame) -> DataFrame:
             F.stddev_samp(number).alias(f"stddev__{i}"),
             F.min(bounded).alias(f"min__{i}"),
             F.max(bounded).alias(f"max__{i}"),
-            F.min(text).alias(f"min_text__{i}"),
-            F.max(text).alias(f"max_text__{i}"),
+            (F.min(c) if is_text else digits(F.min(c))).alias(f"min_text__{i}"),
+            (F.max(c) if is_text else digits(F.max(c))).alias(f"max_text__{i}"),
         ]
     fields = ["n", "mean", "stddev", "min", "max", "min_text", "max_text"]
     return _stack(rows.agg(*aggregates), columns, fields)
@@ -128,6 +131,11 @@ def box_outliers(
     return fenced.where(~_inside(value)).select(*rows.columns)
 
 
+def _finite(value: Column | str) -> Column:
+    value = F.col(value) if isinstance(value, str) else value
+    return value.isNotNull() & ~F.isnan(value) & (F.abs(value) < math.inf)
+
+
 def sturges_bins(n: int) -> int:
     return math.ceil(math.log2(n) + 1)
 
@@ -187,10 +195,11 @@ def _heights(count: str, density: str, width: float) -> list[Column]:
 def histogram(
     rows: DataFrame, value: str, breaks: tuple[float, float, int] | None = None
 ) -> DataFrame:
-    """Density histogram: one row per bin, empty bins included; heights times widths sum to 1."""
-    present = rows.select(F.col(value).cast("double").alias("v")).where(
-        F.col("v").isNotNull() & ~F.isnan("v")
-    )
+    """Density histogram: one row per bin, empty bins included; heights times widths sum to 1.
+
+    Infinite values have no bin and are left out, as missing ones are.
+    """
+    present = rows.select(F.col(value).cast("double").alias("v")).where(_finite("v"))
     if breaks is None:
         breaks = _shared_breaks(present, ["v"])
     elif present.where(~F.col("v").between(breaks[0], breaks[0] + breaks[1] * breaks[2])).take(1):
@@ -206,9 +215,9 @@ def histogram(
 
 def distribution_shift(rows: DataFrame, before: str, after: str) -> DataFrame:
     """Two density histograms of the same rows on shared breaks, side by side."""
-    series = rows.select(
-        F.col(before).cast("double").alias("before"), F.col(after).cast("double").alias("after")
-    )
+    finite = lambda c: F.when(_finite(F.col(c).cast("double")), F.col(c).cast("double"))
+    # Read for the breaks and again for the bins: what made the columns is not computed twice.
+    series = settle(rows.select(finite(before).alias("before"), finite(after).alias("after")))
     first, width, bins = _shared_breaks(series, ["before", "after"])
     long = series.select(
         F.inline(
@@ -217,7 +226,7 @@ def distribution_shift(rows: DataFrame, before: str, after: str) -> DataFrame:
                 F.struct(F.lit(0).alias("is_before"), F.col("after").alias("v")),
             )
         )
-    ).where(F.col("v").isNotNull() & ~F.isnan("v"))
+    ).where(F.col("v").isNotNull())
     counts = long.groupBy(_bin("v", first, width).alias("bin")).agg(
         F.sum("is_before").alias("n_before"), F.sum(1 - F.col("is_before")).alias("n_after")
     )
@@ -237,6 +246,8 @@ def distribution_shift(rows: DataFrame, before: str, after: str) -> DataFrame:
 def bandwidth(rows: DataFrame, value: str, values_per_range: int = VALUES_PER_RANGE) -> float:
     """Normal-reference bandwidth from deviation, quartile distance and count."""
     spread = rows.agg(F.stddev_samp(value).alias("sd"), F.count(value).alias("n")).first()
+    if not spread.n:
+        return 1.0
     quartiles = percentiles(rows, value, {"low": 0.25, "high": 0.75}, (), values_per_range).first()
     iqr = (quartiles.high - quartiles.low) / IQR_TO_SD
     narrow = min(x for x in (spread.sd or 0.0, iqr, math.inf) if x > 0)
@@ -260,18 +271,17 @@ def kernel_density(
     kernel is not zero in double precision, and heights are added up per task. The bandwidth
     shrinks as rows are added, so these become few. With ``nodes`` each value is shared out between
     its two neighbours among that many even nodes first, which bounds the work for continuous data.
+    Infinite values are left out; without values the density is zero, on 0 to 1 if no ends are given.
     """
-    present = rows.select(F.col(value).cast("double").alias("v")).where(
-        F.col("v").isNotNull() & ~F.isnan("v")
-    )
+    present = settle(rows.select(F.col(value).cast("double").alias("v")).where(_finite("v")))
     width = bandwidth(present, "v", values_per_range) if width is None else width
     ends = present.agg(
         F.min("v").alias("low"), F.max("v").alias("high"), F.count("v").alias("n")
     ).first()
-    low = ends.low if low is None else low
-    high = ends.high if high is None else high
+    low = (ends.low if ends.n else 0.0) if low is None else low
+    high = (ends.high if ends.n else 1.0) if high is None else high
     weights = present.groupBy("v").agg(F.count(F.lit(1)).cast("double").alias("n"))
-    if nodes is not None and ends.high > ends.low:
+    if nodes is not None and ends.n and ends.high > ends.low:
         gap = (ends.high - ends.low) / (nodes - 1)
         place = (F.col("v") - ends.low) / gap
         left = F.least(F.floor(place), F.lit(nodes - 2))
@@ -307,5 +317,5 @@ def kernel_density(
     return grid.join(F.broadcast(heights), "point", "left").select(
         F.col("point").cast("int").alias("point"),
         (F.col("point") * step + low).alias("x"),
-        (F.coalesce("height", F.lit(0.0)) / scale).alias("density"),
+        (F.coalesce("height", F.lit(0.0)) / (scale or 1.0)).alias("density"),
     )

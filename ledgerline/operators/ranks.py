@@ -18,22 +18,38 @@ from pyspark.sql import functions as F
 from ledgerline.operators.lookups import measured, null_safe_join
 
 VALUES_PER_RANGE = 50_000
+#: Ranges of one column at most; a parameter of ``range_cuts``, to follow the cluster.
 MAX_RANGES = 8192
+#: Cut points asked for along with the count; more ranges than these cost one more pass.
+FIRST_CUTS = 256
 
 _RANGE = "__range"
 _HEAD = "__head"
 
 
 def range_cuts(
-    rows: DataFrame, value: str, values_per_range: int = VALUES_PER_RANGE
+    rows: DataFrame,
+    value: str,
+    values_per_range: int = VALUES_PER_RANGE,
+    max_ranges: int = MAX_RANGES,
 ) -> list[float]:
-    """Cut points giving about ``values_per_range`` distinct values each; none if few values."""
-    distinct = rows.agg(F.approx_count_distinct(value)).first()[0]
-    ranges = min(MAX_RANGES, math.ceil(distinct / values_per_range))
+    """Cut points giving about ``values_per_range`` distinct values each; none if few values.
+
+    Each value counts once, so one that most rows have takes no more of a range than any other.
+    Infinite values lie in the outer ranges and are no cuts.
+    """
+    column = F.col(value).cast("double").alias("v")
+    values = rows.select(column).where(~F.isnan("v") & (F.abs("v") < math.inf)).distinct()
+    shares = [i / FIRST_CUTS for i in range(1, FIRST_CUTS)]
+    sketch = F.percentile_approx("v", shares, 100 * FIRST_CUTS)
+    found = values.agg(F.count(F.lit(1)).alias("n"), sketch.alias("cuts")).first()
+    ranges = min(max_ranges, math.ceil(found.n / values_per_range))
     if ranges < 2:
         return []
+    if ranges <= FIRST_CUTS:
+        return sorted({found.cuts[i * FIRST_CUTS // ranges - 1] for i in range(1, ranges)})
     shares = [i / ranges for i in range(1, ranges)]
-    return sorted(set(rows.approxQuantile(value, shares, 0.5 / ranges)))
+    return sorted(set(values.approxQuantile("v", shares, 0.25 / ranges)))
 
 
 def _with_range(rows: DataFrame, value: str, cuts: Sequence[float]) -> DataFrame:
@@ -215,11 +231,13 @@ def percentiles(
     return neighbours.select(
         *by,
         *[
-            (
+            F.when(F.col(f"low_{name}") == F.col(f"high_{name}"), F.col(f"low_{name}"))
+            .otherwise(
                 F.col(f"low_{name}")
                 + (F.col(f"high_{name}") - F.col(f"low_{name}"))
                 * (position(p) - F.floor(position(p)))
-            ).alias(name)
+            )
+            .alias(name)
             for name, p in shares.items()
         ],
     )

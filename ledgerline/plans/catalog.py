@@ -6,9 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ledgerline.plans import columns, evaluation, features, imputation, models, profiles, reports
-
-SECTIONS = [columns, reports, profiles, imputation, evaluation, features, models]
+from ledgerline.plans import (
+    columns,
+    evaluation,
+    features,
+    imputation,
+    model_properties,
+    models,
+    profiles,
+    reports,
+)
+
+SECTIONS = [columns, reports, profiles, imputation, evaluation, features, models, model_properties]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

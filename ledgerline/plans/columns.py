@@ -52,6 +52,16 @@ def csv_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     return typed_projection(read_csv_text(spark, path), ORDER_TYPES)
 
 
+def csv_text_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts with line breaks, quotes and commas, written and read back."""
+    path = shared_path(spark, "documents")
+    names = ["doc_id", "text", "lang", "source", "n_chars"]
+    write_csv(read_table(spark, folder, "documents").select(*names), path)
+    text = read_csv_text(spark, path, columns=names, multi_line=True)
+    types = {"doc_id": "bigint", "text": "string", "lang": "string", "source": "string", "n_chars": "bigint"}
+    return typed_projection(text, types)
+
+
 def csv_na_scan(spark: SparkSession, folder: str) -> DataFrame:
     path = shared_path(spark, "orders-na")
     write_csv(_orders_by_day(blanked_orders(spark, folder)), path, missing="NA")
@@ -177,6 +187,7 @@ def null_skipping(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "csv_roundtrip": csv_roundtrip,
+    "csv_text_roundtrip": csv_text_roundtrip,
     "csv_na_scan": csv_na_scan,
     "csv_inferred": csv_inferred,
     "report_export": report_export,
@@ -203,6 +214,7 @@ BLANKED_PRICE = "case when o_orderkey % 17 <> 0 then o_totalprice end"
 _SEGMENT = "string_split(string_split(url, '/')[-1], '&')[-1]"
 
 ORACLE = {
+    "csv_text_roundtrip": "select doc_id, text, lang, source, n_chars from documents",
     "csv_roundtrip": _BY_DAY.format(price="o_totalprice"),
     "csv_na_scan": _BY_DAY.format(price=BLANKED_PRICE),
     "csv_inferred": f"""

@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 from ledgerline.operators.evaluate import roc_points, score_label_pairs
 from ledgerline.operators.models import (
     Prepared,
+    areas,
     cached,
     coefficients,
-    compare,
     decision_tree,
     feature_importances,
     fit,
+    fit_all,
     logistic,
     naive_bayes,
     naive_bayes_parameters,
@@ -63,7 +64,9 @@ def bayes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def penalised(spark: SparkSession, folder: str) -> DataFrame:
-    return _scored(spark, folder, logistic())
+    """The default penalty leaves no slot a weight, so every score is the share of the training labels."""
+    scored = _scored(spark, folder, logistic())
+    return scored.withColumns({"raw": F.round("raw", 6), "probability": F.round("probability", 6)})
 
 
 def importances(spark: SparkSession, folder: str) -> DataFrame:
@@ -107,7 +110,16 @@ def curves(spark: SparkSession, folder: str) -> DataFrame:
     return roc_points(score_all(models, data.test, "doc_id"), "probability", "label", ["model"])
 
 
-def comparison(spark: SparkSession, folder: str) -> DataFrame:
+def _compared(
+    data: Prepared, estimators: dict[str, Estimator], keep: list[int]
+) -> tuple[DataFrame, DataFrame]:
+    """Areas, and the scores they come from."""
+    models, sizes, test = fit_all(data, estimators, keep, SEED)
+    scored = score_all(models, test)
+    return areas(scored, models, sizes), scored
+
+
+def compared_documents(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     estimators = {
         "random_forest": random_forest(SEED),
         "decision_tree": decision_tree(SEED),
@@ -115,10 +127,10 @@ def comparison(spark: SparkSession, folder: str) -> DataFrame:
         "logistic_regression": logistic(),
         "logistic_regression_light": logistic(LIGHT_PENALTY),
     }
-    return compare(_data(spark, folder), estimators, keep=[4, 5], seed=SEED)
+    return _compared(_data(spark, folder), estimators, [4, 5])
 
 
-def line_comparison(spark: SparkSession, folder: str) -> DataFrame:
+def compared_lines(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """The same comparison on the largest table: which lines were returned."""
     key = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     lines = read_table(spark, folder, "lineitem").select(
@@ -133,7 +145,15 @@ def line_comparison(spark: SparkSession, folder: str) -> DataFrame:
         "naive_bayes": naive_bayes(),
         "logistic_regression": logistic(LIGHT_PENALTY),
     }
-    return compare(data, estimators, keep=[4], seed=SEED)
+    return _compared(data, estimators, [4])
+
+
+def comparison(spark: SparkSession, folder: str) -> DataFrame:
+    return compared_documents(spark, folder)[0]
+
+
+def line_comparison(spark: SparkSession, folder: str) -> DataFrame:
+    return compared_lines(spark, folder)[0]
 
 
 def bayes_parameters(spark: SparkSession, folder: str) -> DataFrame:
@@ -169,8 +189,8 @@ _LONG = """
     train as (select * from docs where is_train),
     classes as (
         select quality, row_number() over (order by count(*) desc, quality) - 1 as label,
-               count(*) as members
-        from train group by quality),
+               count(*) filter (is_train) as members
+        from docs group by quality),
     langs as (
         select lang, row_number() over (order by count(*) desc, lang) + 1 as slot
         from train group by lang),
@@ -220,6 +240,14 @@ ORACLE = {
                round(1 / (1 + exp(raw_0 - raw_1)), 7) as probability,
                case when raw_1 > raw_0 then 1.0::double else 0.0::double end as prediction
         from scored""",
+    "model_logistic": f"""
+        {_LONG},
+        shares as (
+            select sum(members * label) / sum(members) as p from classes)
+        select doc_id, cast(label as double) as label, round(ln(p / (1 - p)), 6) as raw,
+               round(p, 6) as probability,
+               case when p > 0.5 then 1.0::double else 0.0::double end as prediction
+        from docs join classes using (quality), shares where not is_train""",
     "score_label_pairs": f"""
         {_SCORED}
         select doc_id, round(1 / (1 + exp(raw_1 - raw_0)), 7) as score,

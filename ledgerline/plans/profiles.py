@@ -37,6 +37,14 @@ def group_median(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(medians, 4, "median")
 
 
+def mostly_zero_percentiles(spark: SparkSession, folder: str) -> DataFrame:
+    """A column where 99 rows of 100 have one value: its ranges follow the other values."""
+    fee = F.when(F.col("l_orderkey") % 100 == 0, F.col("l_extendedprice")).otherwise(0.0)
+    lineitem = read_table(spark, folder, "lineitem").select("l_returnflag", fee.alias("fee"))
+    shares = {"p50": 0.5, "p992": 0.992, "p999": 0.999}
+    return _rounded(percentiles(lineitem, "fee", shares, ["l_returnflag"], 40), 4, *shares)
+
+
 def price_percentiles(spark: SparkSession, folder: str) -> DataFrame:
     shares = {"p01": 0.01, "p50": 0.5, "p99": 0.99}
     lineitem = read_table(spark, folder, "lineitem")
@@ -98,6 +106,7 @@ QUERIES = {
     "describe_long": describe_long,
     "group_median": group_median,
     "price_percentiles": price_percentiles,
+    "mostly_zero_percentiles": mostly_zero_percentiles,
     "boxplot_stats": boxplot_stats,
     "boxplot_outliers": boxplot_outliers,
     "histogram_density": histogram_density,
@@ -109,12 +118,13 @@ QUERIES = {
 }
 
 
-def _describe_number(column: str) -> str:
+def _describe_number(column: str, whole: bool) -> str:
+    text = "cast({}({}) as varchar)" if whole else "cast(null as varchar)"
     return f"""
         select '{column}' as column_name, count({column}) as n,
                round(avg({column}), 4) as mean, round(stddev_samp({column}), 4) as stddev,
                cast(min({column}) as double) as min, cast(max({column}) as double) as max,
-               cast(null as varchar) as min_text, cast(null as varchar) as max_text
+               {text.format("min", column)} as min_text, {text.format("max", column)} as max_text
         from customer"""
 
 
@@ -195,13 +205,21 @@ _ORDER_COLUMNS = [
 
 ORACLE = {
     "describe_long": " union all ".join(
-        [_describe_number(c) for c in ("c_custkey", "c_nationkey", "c_acctbal")]
+        [_describe_number(c, c != "c_acctbal") for c in ("c_custkey", "c_nationkey", "c_acctbal")]
         + [_describe_text(c) for c in ("c_name", "c_mktsegment")]
     ),
     "group_median": f"""
         select o_orderpriority, o_orderstatus, round(quantile_cont(p, 0.5), 4) as median
         from (select *, {BLANKED_PRICE} as p from orders)
         group by o_orderpriority, o_orderstatus""",
+    "mostly_zero_percentiles": """
+        select l_returnflag, round(quantile_cont(fee, 0.5), 4) as p50,
+               round(quantile_cont(fee, 0.992), 4) as p992,
+               round(quantile_cont(fee, 0.999), 4) as p999
+        from (select l_returnflag,
+                     case when l_orderkey % 100 = 0 then l_extendedprice else 0.0 end as fee
+              from lineitem)
+        group by l_returnflag""",
     "price_percentiles": """
         select l_returnflag, round(quantile_cont(l_extendedprice, 0.01), 4) as p01,
                round(quantile_cont(l_extendedprice, 0.5), 4) as p50,

@@ -38,10 +38,12 @@ def by_three_keys(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def by_segment(spark: SparkSession, folder: str) -> DataFrame:
+    """Secure pages by the last piece of their address; an address with a query has no such key."""
     pages = read_table(spark, folder, "pages").select(
-        last_segment("url", "/", "&").alias("segment")
+        F.when(~F.col("url").contains("?"), last_segment("url", "/", "&")).alias("segment"),
+        F.col("url").startswith("https:").alias("secure"),
     )
-    return count_report(pages, ["segment"], largest_first=True)
+    return count_report(pages, ["segment"], F.col("secure"), largest_first=True)
 
 
 def by_source(spark: SparkSession, folder: str) -> DataFrame:
@@ -78,8 +80,10 @@ ORACLE = {
         from lineitem where l_returnflag = 'R' group by l_quantity order by l_quantity""",
     "report_by_three_keys": BY_THREE_KEYS.format(table="lineitem"),
     "report_by_segment": """
-        select string_split(string_split(url, '/')[-1], '&')[-1] as segment, count(*) as n
-        from pages group by 1 order by n desc, segment""",
+        select case when not contains(url, '?')
+                    then string_split(string_split(url, '/')[-1], '&')[-1] end as segment,
+               count(*) as n
+        from pages where starts_with(url, 'https:') group by 1 order by n desc, segment""",
     "value_counts": "select source, count(*) as n from documents group by source",
     "report_by_band": """
         select cast(floor(l_quantity / 10) * 10 as integer) as quantity_band, l_linestatus,

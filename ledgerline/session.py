@@ -51,14 +51,10 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def settle_spread(df: DataFrame, key: str) -> DataFrame:
-    """Settle ``df`` for iterative work, with at least a partition per core.
+def settle_pieces(df: DataFrame, key: str, pieces: int) -> DataFrame:
+    """Settle ``df`` in a fixed number of pieces by the key's hash, each sorted by key.
 
-    Only inputs in fewer pieces than cores, such as one small file, are moved. Partitions are
-    counted on the settled rows, where that runs nothing.
+    What draws by partition, as Spark's forests do, then depends on rows and ``pieces`` only: not
+    on cores, and not on the pieces that ``df`` comes in.
     """
-    stored = settle(df)
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if stored.rdd.getNumPartitions() >= cores:
-        return stored
-    return settle(stored.repartition(cores, key))
+    return settle(df.repartition(pieces, key).sortWithinPartitions(key))

@@ -4,46 +4,59 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, DataFrameWriter, SparkSession
+
+# Quotes inside a quoted value are doubled, as R and spreadsheets write them.
+QUOTING = {"header": True, "quote": '"', "escape": '"'}
+#: Stands for null while reading; no value of a text file equals it.
+NOTHING = "\0"
+BLANKS = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
+def _reader(spark: SparkSession, missing: str | None, multi_line: bool) -> DataFrameReader:
+    # Nothing at all is null, as is the missing token; an empty value between quotes is text.
+    return spark.read.options(
+        **QUOTING, **BLANKS, multiLine=multi_line, emptyValue="", nullValue=missing or NOTHING
+    )
+
+
+def _writer(df: DataFrame) -> DataFrameWriter:
+    return df.write.options(**QUOTING, **BLANKS)
 
 
 def read_csv_text(
-    spark: SparkSession, path: str, columns: Sequence[str] | None = None, missing: str | None = None
+    spark: SparkSession,
+    path: str,
+    columns: Sequence[str] | None = None,
+    missing: str | None = None,
+    multi_line: bool = False,
 ) -> DataFrame:
     """Header CSV with every column as text; ``missing`` is the token read as null.
 
-    Naming ``columns`` saves the job that reads the header.
+    Naming ``columns`` saves the job that reads the header. Values with line breaks need
+    ``multi_line``, which reads a file as a whole instead of in splits.
     """
-    reader = spark.read.option("header", True)
-    if missing is not None:
-        reader = reader.option("nullValue", missing)
+    reader = _reader(spark, missing, multi_line)
     if columns is not None:
         reader = reader.schema(", ".join(f"`{c}` string" for c in columns))
     return reader.csv(path)
 
 
-def read_csv_inferred(spark: SparkSession, path: str, missing: str = "NA") -> DataFrame:
+def read_csv_inferred(
+    spark: SparkSession, path: str, missing: str = "NA", multi_line: bool = False
+) -> DataFrame:
     """Header CSV with types inferred by one extra pass over the file."""
-    return (
-        spark.read.option("header", True)
-        .option("inferSchema", True)
-        .option("nullValue", missing)
-        .csv(path)
-    )
+    return _reader(spark, missing, multi_line).option("inferSchema", True).csv(path)
 
 
 def write_csv(df: DataFrame, path: str, missing: str = "") -> None:
-    """Header CSV, one file per task, without a row-number column."""
-    df.write.option("header", True).option("nullValue", missing).csv(path)
+    """Header CSV, one file per task, without a row-number column.
+
+    Empty text is written as ``""``, so it differs from a null written as nothing.
+    """
+    _writer(df).option("nullValue", missing).csv(path)
 
 
 def write_report(df: DataFrame, path: str) -> None:
     """A report as CSV: blanks at the ends of a key are kept, a null or empty key is empty."""
-    (
-        df.write.option("header", True)
-        .option("ignoreLeadingWhiteSpace", False)
-        .option("ignoreTrailingWhiteSpace", False)
-        .option("nullValue", "")
-        .option("emptyValue", "")
-        .csv(path)
-    )
+    _writer(df).option("nullValue", "").option("emptyValue", "").csv(path)

@@ -2,11 +2,11 @@
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from ledgerline.plans.catalog import oracle_sql, queries
 from compare import open_tables, spark_rows, spark_types, sql_rows, sql_types
 
 FOLDER = "/root/testdata/sf0.01"
-SLOW = {"impute_chained_rf"}
 
 
 @pytest.fixture(scope="module")
@@ -21,7 +21,7 @@ def test_matches_sql(spark, tables, name):
     assert spark_rows(frame) == sql_rows(tables, oracle_sql()[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(queries()) - set(oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(queries()) - set(oracle_sql())))
 def test_has_rows(spark, name):
     assert queries()[name](spark, FOLDER).count() > 0
 

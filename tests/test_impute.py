@@ -175,3 +175,30 @@ def test_chained_copies(passengers):
     ages = {(r.imputation, r.id): r.age for r in both}
     gaps = [r[0] for r in holed if r[2] is None]
     assert any(ages[(1, i)] != ages[(2, i)] for i in gaps)
+
+
+def test_chained_forests_with_many_levels(spark):
+    rows = spark.range(3000).selectExpr(
+        "id", "cast(id % 150 as double) as x", "if(id % 11 = 0, null, concat('level ', id % 150)) as c"
+    )
+    filled = impute_chained_forests(rows, "id", ["c"], ["x"], iterations=1, trees=2)
+    assert filled.where("c is null").count() == 0 and filled.count() == 3000
+    assert filled.where("id % 11 <> 0 and c <> concat('level ', id % 150)").count() == 0
+
+
+def test_keys_must_be_unique(spark):
+    twice = spark.createDataFrame([(1, 0.5, 1.0), (1, 1.5, None), (2, 2.0, 3.0)], "id long, x double, v double")
+    with pytest.raises(ValueError, match="not unique"):
+        impute_chained_forests(twice, "id", ["v"], ["x"])
+    with pytest.raises(Exception, match="not unique"):
+        replace_column(twice, twice.na.fill({"v": 9.0}), "id", "v").collect()
+
+
+def test_imputation_does_not_depend_on_the_pieces_of_the_input(spark):
+    rows = spark.range(800).selectExpr("id", "cast(id % 13 as double) as x", "if(id % 7 = 0, null, cast(id % 29 as double)) as v")
+
+    def run(rows):
+        filled = impute_chained_forests(rows, "id", ["v"], ["x"], iterations=2, trees=3)
+        return sorted(map(tuple, filled.collect()))
+
+    assert run(rows.coalesce(1)) == run(rows.repartition(11))

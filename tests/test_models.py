@@ -126,3 +126,41 @@ def test_cached_leaves_a_cached_frame_cached(spark):
         pass
     assert frame.is_cached
     frame.unpersist()
+
+
+def _rows(spark, n=600):
+    rng = np.random.default_rng(5)
+    return spark.createDataFrame(
+        [(i, float(rng.normal()), f"c{rng.integers(0, 4)}", int(rng.random() < 0.4)) for i in range(n)],
+        "id int, x double, c string, y int",
+    )
+
+
+def test_forests_do_not_depend_on_the_pieces_of_the_input(spark):
+    def run(rows):
+        data = prepare(rows, "id", "y", ["x"], ["c"])
+        model = fit(random_forest(3), data.train)
+        scored = score(model, data.test, "id").orderBy("id").collect()
+        return model.featureImportances.toArray().tolist(), [(r.id, r.probability) for r in scored]
+
+    rows = _rows(spark)
+    assert run(rows.coalesce(1)) == run(rows.repartition(7, "x")) == run(rows.repartition(40))
+
+
+def test_label_seen_in_test_rows_only(spark):
+    from ledgerline.operators.features import split_part
+
+    rows = _rows(spark)
+    last = rows.where(split_part("id") == "test").agg({"id": "max"}).first()[0]
+    rows = rows.selectExpr("id", "x", "c", f"if(id = {last}, 7, y) as y")
+    data = prepare(rows, "id", "y", ["x"], ["c"])
+    scored = score(fit(random_forest(3), data.train), data.test, "id")
+    assert scored.where(f"id = {last}").first().label == 2.0
+
+
+def test_the_caller_sets_the_level_limit(spark):
+    rows = spark.range(21_000).selectExpr("id", "cast(id % 7 as double) as x", "cast(id as string) as c", "cast(id % 2 as int) as y")
+    with pytest.raises(ValueError, match="levels"):
+        prepare(rows, "id", "y", ["x"], ["c"])
+    data = prepare(rows, "id", "y", ["x"], ["c"], max_levels=30_000)
+    assert len(data.names) > 14_000 and data.test.count() > 6_000

@@ -150,3 +150,20 @@ def test_round_breaks_cover_the_range_in_round_steps(low, spread, intervals):
     lead = width / 10 ** math.floor(math.log10(width) + 1e-9)
     assert min(abs(lead - step) for step in (1, 2, 5, 10)) < 1e-6
     assert bins <= 3 * intervals + 3
+
+
+def test_whole_extremes_keep_their_digits(spark):
+    rows = spark.createDataFrame([(9007199254740993,), (1,)], "n long")
+    found = describe_columns(rows).first()
+    assert (found.min_text, found.max_text) == ("1", "9007199254740993")
+
+
+def test_infinite_values_have_no_bin(spark):
+    rows = spark.createDataFrame([(1.0,), (2.0,), (math.inf,), (-math.inf,), (None,)], "v double")
+    assert sum(r.n for r in histogram(rows, "v").collect()) == 2
+
+
+def test_density_of_nothing(spark):
+    nothing = spark.createDataFrame([], "v double")
+    found = kernel_density(nothing, "v", points=5).collect()
+    assert [(r.point, r.density) for r in found] == [(k, 0.0) for k in range(5)]

@@ -1,5 +1,6 @@
 """Ranks with ranges so small that every path is taken, against plain numpy."""
 
+import bisect
 import math
 
 import numpy as np
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.operators import lookups, ranks
-from ledgerline.operators.ranks import percentiles, running_counts
+from ledgerline.operators.ranks import percentiles, range_cuts, running_counts
 
 
 @pytest.fixture(scope="module")
@@ -92,3 +93,24 @@ def test_attach_matches_null_keys_both_ways(spark):
         got = lookups.attach(rows, side, ["k"], max_bytes=limit)
         assert got.columns == ["k", "i", "s"]
         assert {(r.i, r.s) for r in got.collect()} == {(1, 10), (2, 20), (3, None)}
+
+
+def test_ranges_of_a_mostly_constant_column_are_even(spark):
+    rows = spark.range(400_000).select(F.when(F.col("id") % 100 == 0, F.col("id") * 1.0).otherwise(0.0).alias("v"))
+    cuts = range_cuts(rows, "v", 40)
+    assert 90 <= len(cuts) <= 101
+    values = [100.0 * k for k in range(4000)]
+    held = [0] * (len(cuts) + 1)
+    for v in values:
+        held[bisect.bisect_right(cuts, v)] += 1
+    assert max(held) <= 2 * 40
+    assert len(range_cuts(rows, "v", 40, max_ranges=8)) == 7
+    assert len(range_cuts(rows, "v", 10)) > 300  # more than the first pass has cuts for
+
+
+def test_infinite_values(spark):
+    values = [float(k) for k in range(200)] + [math.inf] * 3 + [-math.inf] * 2
+    rows = spark.createDataFrame([(v,) for v in values], "v double")
+    for per_range in (10, 50_000):
+        found = percentiles(rows, "v", {"p0": 0.0, "p50": 0.5, "p100": 1.0}, (), per_range).first()
+        assert (found.p0, found.p50, found.p100) == (-math.inf, 100.0, math.inf)

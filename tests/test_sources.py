@@ -33,3 +33,30 @@ def test_register_and_preview(spark):
     register(spark.range(100).repartition(5), "hundred")
     first = preview(spark.table("hundred"), "id", 3)
     assert [r.id for r in first.collect()] == [0, 1, 2]
+
+
+def test_csv_keeps_every_value(spark):
+    path = shared_path(spark, "odd")
+    rows = [("a\nb", 1), (" lead ", 2), ("", 3), (None, 4), ('say ""x"", "y"', 5), ("a,b;c\\", 6), ('"', 7), ("\t", 8)]
+    write_csv(spark.createDataFrame(rows, "t string, n long"), path)
+    back = read_csv_text(spark, path, columns=["t", "n"], multi_line=True)
+    assert sorted((r.t, int(r.n)) for r in back.collect() if r.t is not None) == sorted(r for r in rows if r[0] is not None)
+    assert [r.n for r in back.where("t is null").collect()] == ["4"]
+
+
+def test_lines_as_r_writes_them(spark, tmp_path):
+    """Quoted names with commas and doubled quotes, NA without quotes, row names first."""
+    path = tmp_path / "r.csv"
+    path.write_text('"","Name","Age"\n"1","Rheims, Mr. George ""Lucien, X""",NA\n"2","Dean, Miss. Ann",0.5\n')
+    text = read_csv_text(spark, str(path), missing="NA").collect()
+    assert [(r.Name, r.Age) for r in text] == [('Rheims, Mr. George "Lucien, X"', None), ("Dean, Miss. Ann", "0.5")]
+    assert read_csv_inferred(spark, str(path)).select("Age").dtypes == [("Age", "double")]
+
+
+def test_numbers_are_trimmed_and_cut(spark):
+    from ledgerline.functions import typed_projection
+
+    texts = [" 28.5 ", "28.5 ", ".5", "-.5", "7.", "-3.9", "x", ".", "", None, "1e3", " 12"]
+    rows = spark.createDataFrame([(t,) for t in texts], "a string")
+    found = [r.a for r in typed_projection(rows, {"a": "int"}).collect()]
+    assert found == [28, 28, 0, 0, 7, -3, None, None, None, None, None, 12]
