@@ -41,7 +41,7 @@ def sql_rows(connection, text: str) -> tuple[list[str], list[tuple]]:
     return sorted(columns), normal_rows(columns, result.fetchall())
 
 
-SQL_TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR"}
+SQL_TYPES = {"boolean": "BOOLEAN", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR"}
 
 
 def spark_types(frame) -> dict[str, str]:
