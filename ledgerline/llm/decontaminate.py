@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from ledgerline.llm.hashing import BYTE_CODES, BYTE_POWERS, LOWER, Spans, row_chunks, text_buffers
 from ledgerline.llm.tables import read, texts
 
-Q = 12
-EDIT_PERCENT = 5
+Q = 10
+EDIT_PERCENT = 8
 SLICE_BYTES = 8 << 20
 FILTER_BITS = 22
 
