@@ -37,9 +37,26 @@ def shared_dir(spark: SparkSession) -> str:
     return named or f"{spark.conf.get('spark.sql.warehouse.dir')}/ledgerline-checkpoints"
 
 
+_written: list[str] = []
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/ledgerline-{uuid.uuid4().hex}/{name}"
+    """A fresh path below the shared folder; ``clear_shared`` removes what was written there."""
+    folder = f"{shared_dir(spark)}/ledgerline-{uuid.uuid4().hex}"
+    _written.append(folder)
+    return f"{folder}/{name}"
+
+
+def clear_shared(spark: SparkSession) -> None:
+    """Remove tables and files that this process has written below the shared folder.
+
+    Frames that read them can't be computed any more, so call it when their results are stored.
+    Checkpoints are Spark's to remove (``spark.cleaner.referenceTracking.cleanCheckpoints``).
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)
 
 
 def settle(df: DataFrame) -> DataFrame:

@@ -60,3 +60,16 @@ def test_numbers_are_trimmed_and_cut(spark):
     rows = spark.createDataFrame([(t,) for t in texts], "a string")
     found = [r.a for r in typed_projection(rows, {"a": "int"}).collect()]
     assert found == [28, 28, 0, 0, 7, -3, None, None, None, None, None, 12]
+
+
+def test_written_files_are_removed(spark, monkeypatch):
+    import os
+
+    from ledgerline import session
+
+    monkeypatch.setattr(session, "_written", [])
+    path = shared_path(spark, "gone")
+    write_csv(spark.range(3), path)
+    assert os.path.isdir(path)
+    session.clear_shared(spark)
+    assert not os.path.exists(os.path.dirname(path))
