@@ -4,17 +4,20 @@ A document is the set of its distinct word shingles. Documents with equal sets a
 shingles of a set are hashed into groups; the group counts make a point, and two sets share at most
 the sum of the smaller counts. An R-tree of such points rules out whole boxes by that bound.
 
-Points meet under the rare shingles that two sets above the threshold must share: of every set
-ordered by corpus frequency, the first ``n - ceil(t * n) + 1``. Frequencies come from a count sketch
-of fixed size; a bad estimate costs time, never a link. Only components are asked for, so:
+Points meet under the rare shingles that two sets above the threshold must share: of every set in
+one order of all shingles, the first ``n - ceil(t * n) + 1``. The order puts first what a merged
+sketch of fixed size takes for unique in the corpus; a bad estimate costs time, never a link. Only
+components are asked for, so:
 
 1. each point is held against the leader of the shingle it shares, pairs under the bound go, the
    rest is verified on the sets, and components are formed;
-2. under every shingle whose points lie in several components, the points outside the leader's
-   component search R-trees of blocks of all its points; pairs within one component are not
-   looked at, the others that pass the bound are verified.
+2. where the points of a shingle lie in several components, each point is held against the leaders
+   of a few small random parts of its shingles, and components are formed again;
+3. under every shingle whose points still lie in several components, the points outside the
+   leader's component search R-trees of blocks of all its points; pairs within one component are
+   not looked at, the others that pass the bound are verified.
 
-Every linked pair shares a shingle of step 2 or lies in one component already, so no link between
+Every linked pair shares a shingle of step 3 or lies in one component already, so no link between
 components is lost, while a third of all rows being near copies of one text costs a few pairs a row.
 
 Texts without words and nulls have no shingles and are linked with nothing; texts of fewer words
@@ -29,20 +32,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerline.llm.components import components
 from ledgerline.llm.hashing import WORD_POWERS, Spans, Words, mix, row_chunks, text_buffers
-from ledgerline.llm.sketch import Cells, merged
+from ledgerline.llm.sketch import Cells, Repeats, merged
 from ledgerline.llm.tables import read, stored
 from ledgerline.llm.window_dedup import as_longs, marked
 
 SHINGLE = 5
 PERCENT = 80
-GROUP_BITS = 6
-FREQUENCY_BITS = 20
+GROUP_BITS = 7
+#: Cells of the sketch that tells unique shingles; it follows the half of them with an even hash.
+ORDER_ROWS, ORDER_BITS = 2, 27
 FILTER_BITS = 26
+#: In step 2: shingles a point, and points a part; smaller groups were one part in step 1 already.
+TRIES = 16
+PART = 8
+#: Rows whose sets or vectors are unpacked at once.
+ROWS = 256
 LEAF = 32
 BLOCK = 4096
 
@@ -80,25 +89,33 @@ def members(docs: DataFrame, size: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [s for _, part in shingle_rows(batch, size) for s in part]
-            digests = np.array([digest_of(s) for s in sets], np.uint64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("mark"), pa.array([len(s) for s in sets], pa.int64()), as_longs(digests)],
-                ["doc_id", "mark", "n_shingles", "digest"],
-            )
+            for a, sets in shingle_rows(batch, size):
+                part = batch.slice(a, len(sets))
+                digests = np.array([digest_of(s) for s in sets], np.uint64)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), part.column("mark"), pa.array([len(s) for s in sets], pa.int64()), as_longs(digests)],
+                    ["doc_id", "mark", "n_shingles", "digest"],
+                )
 
     return docs.mapInArrow(run, MEMBER)
 
 
-def prefix_keys(docs: DataFrame, size: int, percent: int, bits: int) -> DataFrame:
+def prefix_keys(docs: DataFrame, size: int, percent: int, rows: int, bits: int) -> DataFrame:
     """(key, digest): the rare shingles under which a set meets others."""
 
     def hashes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         for _, sets in shingle_rows(batch, size):
-            yield np.concatenate(sets)
+            found = np.concatenate(sets)
+            yield found[found & np.uint64(1) == 0]
 
-    counts = docs.sparkSession.sparkContext.broadcast(merged(docs.select("text"), hashes, 1, bits, np.uint32)[0])
-    cells = Cells(1, bits)
+    repeats = docs.sparkSession.sparkContext.broadcast(Repeats.of(docs.select("text"), hashes, rows, bits))
+
+    def order(shingles: np.ndarray) -> np.ndarray:
+        """0: followed and unique so far as the sketch tells, 1: not followed, 2: repeated."""
+        place = np.ones(len(shingles), np.int8)
+        even = np.flatnonzero(shingles & np.uint64(1) == 0)
+        place[even] = 2 * repeats.value(shingles[even])
+        return place
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,10 +123,10 @@ def prefix_keys(docs: DataFrame, size: int, percent: int, bits: int) -> DataFram
                 sets = [s for s in sets if len(s)]
                 if not sets:
                     continue
-                often = counts.value[cells.of(np.concatenate(sets), 0)]
+                place = order(np.concatenate(sets))
                 keys, at = [], 0
                 for s in sets:
-                    rare = np.argsort(often[at : at + len(s)], kind="stable")  # sets are sorted: ties go by hash
+                    rare = np.argsort(place[at : at + len(s)], kind="stable")  # sets are sorted: ties go by hash
                     keys.append(s[rare[: prefix_length(len(s), percent)]])
                     at += len(s)
                 digests = np.repeat(np.array([digest_of(s) for s in sets], np.uint64), [len(k) for k in keys])
@@ -246,7 +263,7 @@ def tree_join(percent: int, leaf: int):
 
 def _verified(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(a, ROWS) for b in batches for a in range(0, b.num_rows, ROWS)):
             kept = []
             for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
@@ -260,7 +277,7 @@ def _verified(percent: int):
 
 def _bounded(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(a, ROWS) for b in batches for a in range(0, b.num_rows, ROWS)):
             shared = np.minimum(_vectors(batch.column("x")), _vectors(batch.column("y"))).sum(axis=1)
             total = batch.column("n").to_numpy(zero_copy_only=False)
             yield batch.select(["a", "b"]).filter(pa.array(may_link(shared, total, percent)))
@@ -276,7 +293,7 @@ def _with(pairs: DataFrame, held: DataFrame, value: str) -> DataFrame:
 
 def links_of(docs: DataFrame, size: int, percent: int, group_bits: int, leaf: int, block: int) -> DataFrame:
     """(a, b): links between classes, enough of them to connect every component."""
-    keys = prefix_keys(docs, size, percent, FREQUENCY_BITS)
+    keys = prefix_keys(docs, size, percent, ORDER_ROWS, ORDER_BITS)
     met = keys.groupBy("key").agg(F.min("digest").alias("leader"), F.max("digest").alias("last")).where("leader < last")
     shared = stored(keys.join(met.select("key", "leader"), "key").distinct())
     held = stored(points(docs, shared.select("digest").distinct(), size, group_bits, FILTER_BITS))
@@ -284,23 +301,41 @@ def links_of(docs: DataFrame, size: int, percent: int, group_bits: int, leaf: in
     def verified(pairs: DataFrame) -> DataFrame:
         return _with(pairs, held, "shingles").select("a", "b", "x", "y").mapInArrow(_verified(percent), "a long, b long")
 
-    star = shared.where("digest <> leader").select(F.col("leader").alias("a"), F.col("digest").alias("b")).distinct()
-    bounded = _with(star, held, "counts").mapInArrow(_bounded(percent), "a long, b long")
-    first = stored(verified(bounded))
-
-    roots = components(first)
-    placed = stored(
-        shared.join(roots.withColumnRenamed("node", "digest"), "digest", "left").select(
-            "key", "digest", "leader", F.coalesce("root", "digest").alias("component")
+    def linked(pairs: DataFrame) -> DataFrame:
+        return stored(verified(_with(pairs, held, "counts").mapInArrow(_bounded(percent), "a long, b long")))
+
+    def still_apart(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Links from points to their roots; points of the shingles that lie in several components."""
+        found = components(links)
+        roots = found.withColumnRenamed("node", "digest")
+        placed = stored(shared.join(roots, "digest", "left").select("key", "digest", F.coalesce("root", "digest").alias("component")))
+        mixed = (
+            placed.groupBy("key")
+            .agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n_points"), F.min_by("component", "digest").alias("main"))
+            .where("low < high")
         )
+        stars = found.select(F.col("root").alias("a"), F.col("node").alias("b"))
+        return stars, placed.join(mixed.select("key", "n_points", "main"), "key")
+
+    star = shared.where("digest <> leader").select(F.col("leader").alias("a"), F.col("digest").alias("b")).distinct()
+    stars, apart = still_apart(linked(star))
+
+    own = Window.partitionBy("digest").orderBy(F.xxhash64("key", "digest"))  # the shingles of one set
+    tried = apart.where(F.col("n_points") > PART).withColumn("try", F.row_number().over(own)).where(F.col("try") <= TRIES)
+    parted = tried.withColumn("part", F.pmod(F.xxhash64("digest", "key"), F.ceil(F.col("n_points") / PART)))
+    heads = parted.groupBy("key", "part").agg(F.min(F.struct("digest", "component")).alias("head"))
+    second = (
+        parted.join(heads, ["key", "part"])
+        .where(F.col("component") != F.col("head.component"))
+        .select(F.least("digest", "head.digest").alias("a"), F.greatest("digest", "head.digest").alias("b"))
+        .distinct()
+        .join(star, ["a", "b"], "left_anti")
     )
-    mixed = (
-        placed.groupBy("key")
-        .agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n_points"), F.min_by("component", "digest").alias("main"))
-        .where("low < high")
-    )
+    second = stored(second)
+    stars, apart = still_apart(stars.unionByName(linked(second)))
+
     blocks = F.ceil(F.col("n_points") / block)
-    rows = placed.join(mixed, "key").select("key", "digest", "component", "main", blocks.alias("blocks"))
+    rows = stored(apart.select("key", "digest", "component", "main", blocks.alias("blocks")))
     as_points = rows.select("key", "digest", "component", F.pmod(F.xxhash64("digest"), "blocks").alias("block"), F.lit(0).alias("probe"))
     probes = rows.where("component <> main").select(
         "key", "digest", "component", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("probe")
@@ -313,9 +348,9 @@ def links_of(docs: DataFrame, size: int, percent: int, group_bits: int, leaf: in
         .sortWithinPartitions("key", "block", "probe")
         .mapInArrow(tree_join(percent, leaf), "a long, b long")
         .distinct()
-        .join(star, ["a", "b"], "left_anti")
+        .join(star.unionByName(second), ["a", "b"], "left_anti")
     )
-    return first.unionByName(verified(stored(pairs)))
+    return stars.unionByName(verified(stored(pairs)))
 
 
 def jaccard_groups(

@@ -11,11 +11,16 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 
 from ledgerline.llm.hashing import mix
 
 SLICE_BITS = 19
+#: New cells of a partition that are gathered before they are added to its sketch.
+PENDING = 1 << 20
+#: Tasks that add up slices; each holds its share of the sketch.
+MERGERS = 32
 PART = "part int, cells binary, counts binary"
 
 
@@ -30,6 +35,17 @@ class Cells:
         return (seeded >> np.uint64(64 - self.bits)).astype(np.int64)
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """Small numbers, compressed byte plane by byte plane."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1)
+    return zstandard.compress(planes.T.tobytes(), 1)
+
+
+def _unpacked(packed: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(packed), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
 def merged(
     docs: DataFrame,
     hashes: Callable[[pa.RecordBatch], Iterable[np.ndarray]],
@@ -50,34 +66,46 @@ def merged(
     def record(part: int, at: bytes, counts: bytes) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([at]), pa.array([counts])], ["part", "cells", "counts"])
 
-    def add(held: np.ndarray, at: np.ndarray, n: np.ndarray) -> None:
-        held[at] = np.minimum(held[at].astype(np.int64) + n, most)
+    def filled(pending: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct cells in order and their counts."""
+        at, n = (np.concatenate(x) for x in zip(*pending, strict=True))
+        order = np.argsort(at, kind="stable")
+        at, n = at[order], n[order]
+        heads = np.flatnonzero(np.append(True, at[1:] != at[:-1])) if len(at) else order
+        sums = np.add.reduceat(n.astype(np.int64), heads) if len(at) else n
+        return at[heads], np.minimum(sums, most).astype(kind)
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((rows, 1 << bits), kind)
+        """Filled cells only, at most ``rows * 2**bits`` however large the partition is."""
+        pending = [[(np.zeros(0, np.uint32), np.zeros(0, kind))] for _ in range(rows)]
         for batch in batches:
             for found in hashes(batch):
                 for row in range(rows):
-                    add(counts[row], *np.unique(cells.of(found, row), return_counts=True))
-        for part in range(rows * slices):
-            held = counts[part // slices, part % slices * width : (part % slices + 1) * width]
-            at = np.flatnonzero(held).astype(np.uint32)
-            if len(at):
-                yield record(part, at.tobytes(), held[at].tobytes())
+                    at = cells.of(found, row).astype(np.uint32)
+                    pending[row].append((at, np.ones(len(at), kind)))
+                    if sum(len(x) for x, _ in pending[row][1:]) > max(PENDING, len(pending[row][0][0])):
+                        pending[row] = [filled(pending[row])]
+        for row in range(rows):
+            at, counts = filled(pending[row])
+            cuts = np.searchsorted(at, np.arange(slices + 1, dtype=np.int64) * width)
+            for k, (s, e) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+                if e > s:
+                    yield record(row * slices + k, _packed(np.diff(at[s:e].astype(np.int64) - k * width, prepend=0).astype(np.uint32)), _packed(counts[s:e]))
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for part, at, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 held = sums.setdefault(part, np.zeros(width, kind))
-                add(held, np.frombuffer(at, np.uint32), np.frombuffer(n, kind))
+                at = np.cumsum(_unpacked(at, np.uint32), dtype=np.int64)
+                held[at] = np.minimum(held[at].astype(np.int64) + _unpacked(n, kind), most)
         for part, held in sums.items():
             yield record(part, b"", finish(held).tobytes())
 
-    parts = docs.mapInArrow(partial, PART).repartition(rows * slices, "part").mapInArrow(total, PART)
+    parts = docs.mapInArrow(partial, PART).repartition(min(MERGERS, rows * slices), "part").mapInArrow(total, PART)
     blank = finish(np.zeros(width, kind))
     out = [np.zeros(slices * len(blank), blank.dtype) for _ in range(rows)]
-    for found in parts.toLocalIterator():  # rows * slices rows of fixed size
+    for found in parts.collect():  # rows * slices rows of fixed size
         row, k = divmod(found["part"], slices)
         out[row][k * len(blank) : (k + 1) * len(blank)] = np.frombuffer(found["counts"], blank.dtype)
     return out
