@@ -14,6 +14,7 @@ import functools
 import heapq
 import json
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -26,7 +27,8 @@ from pyspark.sql import functions as F
 
 from ledgerline.llm.tables import read, texts
 
-CACHED_WORDS = 1 << 18
+#: Words, and pieces of words, that a worker remembers; their ids are held as packed bytes.
+CACHED_WORDS = 1 << 17
 WORD_END = "</w>"
 
 # White space of the vocabulary's patterns, and its pattern for pieces of words.
@@ -59,7 +61,7 @@ class Codec:
         self.word = functools.lru_cache(CACHED_WORDS)(self._word)
         self.piece = functools.lru_cache(CACHED_WORDS)(self._piece)
 
-    def _piece(self, piece: str) -> tuple[int, ...]:
+    def _piece(self, piece: str) -> bytes:
         symbols = [self.letters[b] for b in piece.encode()]
         symbols[-1] += WORD_END
         ids = [self.vocab[s] for s in symbols if s in self.vocab]
@@ -84,19 +86,22 @@ class Codec:
             h = before[i]
             if h >= 0 and (found := self.merges.get((ids[h], made))):
                 heapq.heappush(heap, (found[0], h, found[1]))
-        return tuple(i for i in ids if i >= 0)
+        return array("i", [i for i in ids if i >= 0]).tobytes()
 
-    def _word(self, word: str) -> tuple[int, ...]:
-        return tuple(chain.from_iterable(map(self.piece, self.pieces(word))))
+    def _word(self, word: str) -> bytes:
+        return b"".join(map(self.piece, self.pieces(word)))
 
-    def encode(self, text: str) -> Iterator[int]:
+    def encode(self, text: str) -> np.ndarray:
+        """The ids of a text."""
+        out = []
         for part in self.parts(text):
             if part in self.special:
-                yield self.special[part]
+                out.append(array("i", [self.special[part]]).tobytes())
             else:
                 # Letter by letter: the end of a word changes no sigma.
                 lower = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-                yield from chain.from_iterable(map(self.word, self.words(lower)))
+                out += map(self.word, self.words(lower))
+        return np.frombuffer(b"".join(out), np.int32)
 
 
 @functools.lru_cache(2)
@@ -119,7 +124,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             for a in range(0, batch.num_rows, 1000):
                 part = batch.slice(a, 1000)
-                ids = [np.fromiter(codec.encode(t or ""), np.int32) for t in part.column("text").to_pylist()]
+                ids = [codec.encode(t or "") for t in part.column("text").to_pylist()]
                 cuts = np.cumsum([0, *map(len, ids)])
                 lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(cuts), pa.int64()), lists], ["doc_id", "n_tokens", "ids"])
