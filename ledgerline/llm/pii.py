@@ -70,33 +70,128 @@ _SECRET = re.compile(
 )
 _IBAN = re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b")
 _IP = re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)")
-_NUMBER = re.compile(r"(?<![\w.+-])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?)?\d(?:[ .-]?\d){6,18}(?![\w]|[.,]\d)")
-_SSN = re.compile(r"\d{3}-\d{2}-\d{4}$")
+#: Digits that stand close together, 7 and more: one number or several side by side.
+_RUN = re.compile(r"(?<![\w.+-])[+(]?\d(?:(?:[ .,/-]|[ .,/-]?\(|\)[ .,/-]?|\)[ .,/-]?\(|[ ,/]?\+)?\d){6,}\)?(?!\w)")
+_UNIT = re.compile(r"\+?\d+|\(\d{1,4}\)")
+_SOLID = re.compile(r"\d{1,3}(?:(?:\.\d{3})+(?:,\d+)?|(?:,\d{3})+(?:\.\d+)?)|\d{1,12}\.\d+|\d+\.\d{1,12}|\d{1,3},\d+")  # decimals, marks for thousands
+_DATE = re.compile(
+    r"(?:19|20)\d\d([./-])(?:0?[1-9]|1[0-2])\1(?:0?[1-9]|[12]\d|3[01])|(?:0?[1-9]|[12]\d|3[01])([./-])(?:0?[1-9]|[12]\d|3[01])\2(?:19|20)\d\d"
+)
+_SSN = re.compile(r"\d{3}-\d{2}-\d{4}")
+_CARD = re.compile(r"\d{13,19}|\d{4}(?:[ -]\d{4}){2,3}(?:[ -]\d{1,3})?")
+_DIALLED = re.compile(r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{1,4}\)[ .-]?)?\d(?:[ .-]?\d)*")
+_NATIONAL = re.compile(r"0?\d{2,4}[ .-]\d{3,4}[ .-]\d{3,4}")
+_USUAL = re.compile(r"(?:\+1[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]?\d{4}|\+1[ .-]?\d{10}")
+_THOUSANDS = re.compile(r"\d{1,3}(?:\.\d{3})+")
 
 
 def _luhn(digits: str) -> bool:
     return sum(sum(divmod(int(d) * (1 + i % 2), 10)) for i, d in enumerate(reversed(digits))) % 10 == 0
 
 
+def _iban_end(text: str, start: int, end: int) -> int:
+    """Where an account number ends: where its check digits fit, or else before a number next to it."""
+    ends = [e for e in range(start + 15, end + 1) if e == end or not text[e].isalnum()]
+    for e in reversed(ends):
+        part = text[start:e].replace(" ", "")
+        if 15 <= len(part) <= 34 and part.isascii() and part.isalnum() and int("".join(str(int(c, 36)) for c in part[4:] + part[:4])) % 97 == 1:
+            return e
+    blank = text.find(" ", start, end)
+    return blank if blank - start >= 15 else end
+
+
 def _script(word: str) -> str:
     first = word[:1].lower()
     return "cyrillic" if "а" <= first <= "я" or first == "ё" else "greek" if "α" <= first <= "ώ" or first == "ά" else "latin"
 
 
-def _number_kind(text: str) -> str | None:
+def _number_kind(text: str) -> tuple[str, int] | None:
+    """The kind of a number, and how sure its form makes it: 4 to 1 a digit."""
     digits = re.sub(r"\D", "", text)
-    if _SSN.match(text):
-        return "ssn"
-    if re.fullmatch(r"\d+|\d{4}(?:[ -]\d{4}){2,3}(?:[ -]\d{1,3})?", text) and (len(digits) in (15, 16) or 13 <= len(digits) <= 19 and _luhn(digits)):
-        return "card"
-    if re.fullmatch(r"\d{1,3}(?:\.\d{3})+", text):
-        return None  # a number with marks for thousands
-    separated = re.search(r"\d[ .-]\d", text)
-    if text.startswith("+") and 8 <= len(digits) <= 15 or "(" in text and 9 <= len(digits) <= 15 or separated and re.fullmatch(r"0?\d{2,4}[ .-]\d{3,4}[ .-]\d{3,4}", text):
-        return "phone"
+    n = len(digits)
+    if n < 7 or n > 19:
+        return None
+    if _SSN.fullmatch(text):
+        return "ssn", 4
+    if n >= 13 and _CARD.fullmatch(text):
+        if _luhn(digits):
+            return "card", 4
+        if n in (15, 16):
+            return "card", 2
+    if n > 15 or _THOUSANDS.fullmatch(text):
+        return None
+    if text[0] in "+(":
+        if n < (8 if text[0] == "+" else 9) or not _DIALLED.fullmatch(text):
+            return None
+        if _USUAL.fullmatch(text):
+            return "phone", 4
+        return "phone", 1 if text.startswith("+1") and n > 11 else 2
+    if _NATIONAL.fullmatch(text):
+        return "phone", 2 if _USUAL.fullmatch(text) else 1
     return None
 
 
+def _numbers(text: str, start: int, end: int, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int, str]]:
+    """Start, end and kind of the numbers in a run of digits, outside the spans already taken.
+
+    Numbers end at blanks and commas where they can; what is left over is tried again with ends at any mark.
+    Of all ways to cut the run, the one with the most and surest digits counts.
+    """
+    units = [m.span() for m in _UNIT.finditer(text, start, end)]
+    n = len(units)
+    size = [sum(map(str.isdigit, text[s:e])) for s, e in units]
+    blank = [k == 0 or text[units[k][0]] == "+" or not set(text[units[k - 1][1] : units[k][0]]).isdisjoint(" ()") for k in range(n)] + [True]
+    free, shut = [True] * (n + 1), [any(s < y and x < e for x, y in taken) for s, e in units]
+    first = 0
+    for k in range(1, n + 1):
+        if blank[k]:  # a stretch between blanks
+            stretch = text[units[first][0] : units[k - 1][1]]
+            if _SOLID.fullmatch(stretch):
+                free[first + 1 : k] = [False] * (k - first - 1)
+            else:
+                if _DATE.fullmatch(stretch):
+                    shut[first:k] = [True] * (k - first)
+                for i in range(first + 1, k):
+                    blank[i] = "," in text[units[i - 1][1] : units[i][0]]
+            first = k
+
+    def best(low: int, high: int, ends: list[bool]) -> list[tuple[int, int, str]]:
+        score, step = [(0, 0)] * (high + 1), [None] * (high + 1)
+        for i in range(high - 1, low - 1, -1):
+            score[i] = score[i + 1]
+            if shut[i] or i > low and not ends[i]:
+                continue
+            digits = 0
+            for j in range(i + 1, high + 1):
+                digits += size[j - 1]
+                if shut[j - 1] or digits > 19:
+                    break
+                if digits < 7 or j < high and not ends[j]:
+                    continue
+                if kind := _number_kind(text[units[i][0] : units[j - 1][1]]):
+                    found = score[j][0] + digits * kind[1], score[j][1] - 1
+                    if found > score[i] or found == score[i] and step[i] is None:
+                        score[i], step[i] = found, (j, kind[0])
+        cuts, i = [], low
+        while i < high:
+            if step[i]:
+                cuts.append((i, step[i][0], step[i][1]))
+                i = step[i][0]
+            else:
+                i += 1
+        return cuts
+
+    last, cuts = 0, []
+    for i, j, kind in [*best(0, n, blank), (n, n, "")]:
+        if i > last:
+            cuts += best(last, i, free)
+        if kind:
+            cuts.append((i, j, kind))
+        last = j
+    for i, j, kind in cuts:
+        yield units[i][0], units[j - 1][1], kind
+
+
 def detect(text: str) -> list[tuple[int, int, str, str]]:
     """Start, end, kind and normal form of the entities of a text, none overlapping, in order."""
     found: list[tuple[int, int, str, str]] = []
@@ -112,13 +207,17 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
     for m in _SECRET.finditer(text):
         name = m.lastgroup
         found.append((*m.span(name), "secret", m.group(name)))
-    for m in _IBAN.finditer(text):
-        found.append((*m.span(), "iban", m.group().replace(" ", "")))
+    at = 0
+    while m := _IBAN.search(text, at):
+        at = _iban_end(text, *m.span())
+        found.append((m.start(), at, "iban", text[m.start() : at].replace(" ", "")))
     for m in _IP.finditer(text):
         found.append((*m.span(), "ip", m.group()))
-    for m in _NUMBER.finditer(text):
-        if kind := _number_kind(m.group()):
-            found.append((*m.span(), kind, re.sub(r"\D", "", m.group())))
+    taken = sorted(x[:2] for x in found)
+    for m in _RUN.finditer(text):
+        near = [x for x in taken if x[0] < m.end() and m.start() < x[1]]
+        for s, e, kind in _numbers(text, *m.span(), near):
+            found.append((s, e, kind, re.sub(r"\D", "", text[s:e])))
     for start in _PERSON_START.finditer(text):
         m = _PERSON_RE.match(text, start.start())
         if m and m["surname"][0].isupper() and (m["title"] or m["given"]):

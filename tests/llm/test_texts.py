@@ -182,3 +182,24 @@ def test_pair_tables_learn_an_interaction():
     y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.5)).astype(float)
     model = fit(x, y)
     assert (0, 1) in model.pairs and np.mean((model.scores(x) >= 0.5) == y) > 0.9
+
+
+SIDE_BY_SIDE = [
+    ("123-45-6789 987-65-4321", ["123-45-6789", "987-65-4321"]),
+    ("2024-01-02 555-123-4567", ["555-123-4567"]),
+    ("12 555-123-4567", ["555-123-4567"]),
+    ("12 555 123 4567", ["555 123 4567"]),
+    ("7 4111111111111111", ["4111111111111111"]),
+    ("555-123-4567 555-987-6543", ["555-123-4567", "555-987-6543"]),
+    ("123-45-6789-987-65-4321.", ["123-45-6789", "987-65-4321"]),
+    ("555-123-4567,4111 1111 1111 1111,5", ["555-123-4567", "4111 1111 1111 1111"]),
+    ("12 2024 4111 1111 1111 1111", ["4111 1111 1111 1111"]),
+    ("+1 (826) 555-4081 190.137.223.204", ["+1 (826) 555-4081", "190.137.223.204"]),
+    ("DE89370400440532013000 555-123-4567", ["DE89370400440532013000", "555-123-4567"]),
+    ("05.06.2024 12:00, 1,234,567,890 of 0.1234567890123456 and 100,200 300 400,500", []),
+]
+
+
+@pytest.mark.parametrize("text, numbers", SIDE_BY_SIDE)
+def test_numbers_side_by_side(text, numbers):
+    assert [text[s:e] for s, e, *_ in pii.detect(text)] == numbers
