@@ -54,14 +54,16 @@ ENDINGS = {"latin": "son er ini ez".split(), "cyrillic": "ов ин ский".sp
 
 _GENDER = {name: g for (_, g), names in GIVEN.items() for name in names}
 _TITLE = {title: g for g, titles in TITLES.items() for title in titles}
-_CAPITAL = r"\p{Lu}[\p{Ll}\p{Lu}'’-]+"
-_PERSON = rf"(?:{'|'.join(_TITLE)})\.? {_CAPITAL}|(?:{'|'.join(_GENDER)}) {_CAPITAL}"
-#: What a text must hold before it is looked at closely.
-_MAYBE = rf"[0-9@]|\b(?:{_PERSON})"
+#: What a text must hold before it is looked at closely: something of every entity that ``detect`` finds.
+#: Without word borders, which Arrow knows of ASCII letters only, and with the letters that Python takes for an i.
+_MAYBE = (
+    r"[\p{Nd}@]|(?i:token|secret|passw|ap[iıİ][_-]?key|access[_-]?key|ak[iıİ]a|gh[pousr]_)"
+    rf"|(?:{'|'.join([*_TITLE, *_GENDER])})[. ]"
+)
 
 _NAME = r"[^\W\d_][\w'’-]+"
 _PERSON_RE = re.compile(rf"\b(?:(?P<title>{'|'.join(_TITLE)})\.? )?(?:(?P<given>{'|'.join(_GENDER)}) )?(?P<surname>{_NAME})")
-_PERSON_START = re.compile(rf"\b(?:{'|'.join([*_TITLE, *_GENDER])})(?=[. ])")
+_PERSON_START = re.compile(rf"(?:{'|'.join([*_TITLE, *_GENDER])})(?=[. ])")
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}")
 _SECRET = re.compile(
     r"\b(?P<aws>AKIA[0-9A-Z]{16})\b|\b(?P<host>gh[pousr]_[A-Za-z0-9]{36})\b"
