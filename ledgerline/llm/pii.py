@@ -6,8 +6,8 @@ Numbers keep their lengths and check digits, addresses their parts, names their
 A table of all distinct entities checks the draws: two entities of a kind never share a surrogate, and
 no surrogate is an entity of the corpus; losers draw again until none is left.
 
-Surnames and given names are entities of their own, so "Mr Smith" and "John Smith" stay one family;
-given names come from short lists and may coincide, surnames do not. Null texts stay null. Rows
+Surnames and given names are entities of their own, so "Mr Smith" and "John Smith" stay one family.
+Given names become stand-ins by a keyed order, made-up names where those run out. Null texts stay null. Rows
 without entities are passed on as they are; repeated rows get the same text. All columns are kept.
 """
 
@@ -18,6 +18,7 @@ import hmac
 import re
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -40,6 +41,15 @@ GIVEN = {
     ("greek", "f"): "Αγγελική Δήμητρα Ελένη Κατερίνα Μαρία Σοφία".split(),
     ("greek", "m"): "Αλέξανδρος Γιώργος Δημήτρης Ιωάννης Κώστας Νίκος".split(),
 }
+#: Names that stand for those above, at least as many, and none of them; found in texts like those.
+STAND_INS = {
+    ("latin", "f"): "Adele Agnes Bianca Brigitte Carla Cecilia Charlotte Cornelia Daniela Diana Edith Eleonora Eva Francesca Frieda Greta Helena Irene Johanna Josefina Katharina Lena Lidia Magdalena Margaret Monica Natalia Patricia Silvia Teresa Valeria Veronica".split(),
+    ("latin", "m"): "Adrian Alfred Arthur Benjamin Bernard Bruno Charles Daniel Dominik Edward Felix Fernando Francis Frederik Gabriel Gregory Harold Ignacio Jakob Joseph Julian Konrad Leonard Lorenzo Lukas Manuel Nicolas Philip Rafael Richard Roberto Simon Stefan Tobias Walter William".split(),
+    ("cyrillic", "f"): "Алла Валентина Дарья Екатерина Зоя Кира Лариса Людмила Маргарита Нина Полина Раиса Тамара Юлия".split(),
+    ("cyrillic", "m"): "Алексей Андрей Антон Василий Владимир Геннадий Денис Евгений Игорь Кирилл Леонид Максим Павел Степан Юрий".split(),
+    ("greek", "f"): "Αθηνά Άννα Βασιλική Ευαγγελία Θεοδώρα Ιωάννα Κωνσταντίνα Φωτεινή Χριστίνα".split(),
+    ("greek", "m"): "Αντώνης Βασίλης Γεράσιμος Ηλίας Θανάσης Μιχάλης Παναγιώτης Σπύρος Στέλιος".split(),
+}
 TITLES = {
     "f": "Mrs Ms Miss Madam Frau Madame Mme Mademoiselle Señora Doña Sra Госпожа Κυρία".split(),
     "m": "Mr Sir Herr Monsieur Señor Don Господин Κύριος".split(),
@@ -51,8 +61,9 @@ SYLLABLES = {
     "greek": "βαλ γορ δαν καλ λεν μαρ νικ παλ ροσ σολ ταν".split(),
 }
 ENDINGS = {"latin": "son er ini ez".split(), "cyrillic": "ов ин ский".split(), "greek": "ος ης ίδης".split()}
+GIVEN_ENDINGS = {"latin": {"f": "a", "m": "o"}, "cyrillic": {"f": "а", "m": "ий"}, "greek": {"f": "α", "m": "ος"}}
 
-_GENDER = {name: g for (_, g), names in GIVEN.items() for name in names}
+_GENDER = {name: g for lists in (GIVEN, STAND_INS) for (_, g), names in lists.items() for name in names}
 _TITLE = {title: g for g, titles in TITLES.items() for title in titles}
 #: What a text must hold before it is looked at closely: something of every entity that ``detect`` finds.
 #: Without word borders, which Arrow knows of ASCII letters only, and with the letters that Python takes for an i.
@@ -261,6 +272,17 @@ class _Draws:
         return "".join(map(self.letter, like))
 
 
+@lru_cache
+def _stand_ins(key: bytes, script: str, gender: str) -> tuple[list[str], list[str]]:
+    """All known given names, and those that stand for them, both in a keyed order."""
+
+    def ordered(names: list[str]) -> list[str]:
+        return sorted((x.lower() for x in names), key=lambda x: hmac.new(key, f"given\0{x}".encode(), hashlib.sha256).digest())
+
+    stand_ins = ordered(STAND_INS[script, gender])
+    return ordered(GIVEN[script, gender]) + stand_ins, stand_ins
+
+
 def surrogate(key: bytes, kind: str, normal: str, draw: int) -> str:
     """The ``draw``-th surrogate of an entity, in normal form."""
     draws = _Draws(key, kind, normal, draw)
@@ -296,8 +318,11 @@ def surrogate(key: bytes, kind: str, normal: str, draw: int) -> str:
         return keep + draws.letters(rest)
     if kind == "given":
         script, gender, name = normal.split(":", 2)
-        names = [x for x in GIVEN[script, gender] if x.lower() != name]
-        return f"{script}:{gender}:{names[draws.below(len(names))].lower()}"
+        if draw < SHAPED_DRAWS:
+            known, stand_ins = _stand_ins(key, script, gender)
+            return f"{script}:{gender}:{stand_ins[(known.index(name) + draw) % len(stand_ins)]}"
+        drawn = "".join(SYLLABLES[script][draws.below(len(SYLLABLES[script]))] for _ in range(1 + draw // SHAPED_DRAWS))
+        return f"{script}:{gender}:{drawn}{GIVEN_ENDINGS[script][gender]}"
     script, name = normal.split(":", 1)
     drawn = "".join(SYLLABLES[script][draws.below(len(SYLLABLES[script]))] for _ in range(2 + draw // SHAPED_DRAWS + (len(name) > 8)))
     return f"{script}:{drawn}{ENDINGS[script][draws.below(len(ENDINGS[script]))]}"
@@ -348,7 +373,7 @@ def surrogates(entities: DataFrame, key: bytes = KEY) -> DataFrame:
         # The smallest entity of those that drew one surrogate keeps it, unless it is a real entity.
         first = drawn.groupBy("kind", "surrogate").agg(F.min(F.struct("draw", "normal")).alias("first"))
         checked = drawn.join(first, ["kind", "surrogate"]).join(real, ["kind", "surrogate"], "left")
-        loses = (F.col("kind") != "given") & (F.col("real").isNotNull() | (F.struct("draw", "normal") != F.col("first")))
+        loses = F.col("real").isNotNull() | (F.struct("draw", "normal") != F.col("first"))
         checked = stored(checked.select("kind", "normal", "draw", "surrogate", loses.alias("loses")))
         if checked.where("loses").isEmpty():
             return checked.select("kind", "normal", "surrogate")

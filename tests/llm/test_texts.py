@@ -226,3 +226,14 @@ def test_texts_with_one_entity_and_nothing_else(table):
 def test_prefilter_holds_every_digit():
     digits = [c for c in map(chr, range(0x110000)) if re.match(r"\d", c)]
     assert pc.all(pc.match_substring_regex(pa.array(digits), pii._MAYBE)).as_py()
+
+
+def test_given_names_stay_distinct(table):
+    of = {(k, len(set(names) & set(pii.STAND_INS[k]))): len(pii.STAND_INS[k]) - len(names) for k, names in pii.GIVEN.items()}
+    assert all(shared == 0 and more >= 0 for (_, shared), more in of.items())
+    assert len(pii._GENDER) == sum(len(names) for lists in (pii.GIVEN, pii.STAND_INS) for names in lists.values())
+    few = [x for names in pii.GIVEN.values() for x in names]
+    for names in (few, list(pii._GENDER)):  # with all stand-ins in the corpus, names are made up
+        made = [r.text for r in pii.pseudonymise(table([(k, f"{x} Smith") for k, x in enumerate(names)])).collect()]
+        drawn = {t.split()[0] for t in made}
+        assert len(drawn) == len(names) and not drawn & set(names) and len({t.split()[1] for t in made}) == 1
