@@ -7,7 +7,8 @@ A table of all distinct entities checks the draws: two entities of a kind never
 no surrogate is an entity of the corpus; losers draw again until none is left.
 
 Surnames and given names are entities of their own, so "Mr Smith" and "John Smith" stay one family.
-Given names become stand-ins by a keyed order, made-up names where those run out. Null texts stay null. Rows
+Given names become stand-ins by a keyed order, made-up names where those run out. Initials become
+other letters, and as the one exception those may be letters of the corpus. Null texts stay null. Rows
 without entities are passed on as they are; repeated rows get the same text. All columns are kept.
 """
 
@@ -61,6 +62,7 @@ SYLLABLES = {
     "greek": "βαλ γορ δαν καλ λεν μαρ νικ παλ ροσ σολ ταν".split(),
 }
 ENDINGS = {"latin": "son er ini ez".split(), "cyrillic": "ов ин ский".split(), "greek": "ος ης ίδης".split()}
+ALPHABETS = {"latin": "abcdefghijklmnopqrstuvwxyz", "cyrillic": "абвгдежзийклмнопрстуфхцчшщэюя", "greek": "αβγδεζηθικλμνξοπρστυφχψω"}
 GIVEN_ENDINGS = {"latin": {"f": "a", "m": "o"}, "cyrillic": {"f": "а", "m": "ий"}, "greek": {"f": "α", "m": "ος"}}
 
 _GENDER = {name: g for lists in (GIVEN, STAND_INS) for (_, g), names in lists.items() for name in names}
@@ -73,7 +75,11 @@ _MAYBE = (
 )
 
 _NAME = r"[^\W\d_][\w'’-]+"
-_PERSON_RE = re.compile(rf"\b(?:(?P<title>{'|'.join(_TITLE)})\.? )?(?:(?P<given>{'|'.join(_GENDER)}) )?(?P<surname>{_NAME})")
+_PARTICLES = set("al bin da de del della den der di do dos du e el ibn la le ten ter van von y zu zum zur".split())
+_TITLED = re.compile(rf"(?:(?:{'|'.join(_TITLE)})\.? )+")
+_TITLE_WORD = re.compile(rf"(?:{'|'.join(_TITLE)})(?=\.? )")
+_WORD = re.compile(_NAME)
+_INITIAL = re.compile(r"([^\W\d_])(?:\.[ -]?| )(?=\w)")
 _PERSON_START = re.compile(rf"(?:{'|'.join([*_TITLE, *_GENDER])})(?=[. ])")
 _EMAIL = re.compile(r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,24}")
 _SECRET = re.compile(
@@ -94,6 +100,8 @@ _SSN = re.compile(r"\d{3}-\d{2}-\d{4}")
 _CARD = re.compile(r"\d{13,19}|\d{4}(?:[ -]\d{4}){2,3}(?:[ -]\d{1,3})?")
 _DIALLED = re.compile(r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{1,4}\)[ .-]?)?\d(?:[ .-]?\d)*")
 _NATIONAL = re.compile(r"0?\d{2,4}[ .-]\d{3,4}[ .-]\d{3,4}")
+#: National forms after a leading 0 in two, four and five parts.
+_TRUNK = re.compile(r"0\d{2,4}[ ./-]\d{5,8}|0\d{2,3}[ ./-]\d{3}([ .-])\d\d\1\d\d|0\d([ .-])\d\d(?:\2\d\d){3}")
 _USUAL = re.compile(r"(?:\+1[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]?\d{4}|\+1[ .-]?\d{10}")
 _THOUSANDS = re.compile(r"\d{1,3}(?:\.\d{3})+")
 
@@ -139,6 +147,8 @@ def _number_kind(text: str) -> tuple[str, int] | None:
         if _USUAL.fullmatch(text):
             return "phone", 4
         return "phone", 1 if text.startswith("+1") and n > 11 else 2
+    if _TRUNK.fullmatch(text):
+        return "phone", 2
     if _NATIONAL.fullmatch(text):
         return "phone", 2 if _USUAL.fullmatch(text) else 1
     return None
@@ -205,6 +215,51 @@ def _numbers(text: str, start: int, end: int, taken: list[tuple[int, int]]) -> I
         yield units[i][0], units[j - 1][1], kind
 
 
+def _is_word(letter: str) -> bool:
+    return letter.isalnum() or letter == "_"
+
+
+def _person(text: str, at: int) -> tuple[int, list[tuple[int, int, str, str]]]:
+    """End and entities of the person that a title or given name begins; none if no name follows.
+
+    A person goes on over capitalised words and initials, and over particles between them. The
+    last word is the surname; known given names before it are given names, other words count as
+    surnames too, so that a word is the same entity wherever it stands.
+    """
+    titled = _TITLED.match(text, at)
+    start = at = titled.end() if titled else at
+    words: list[tuple[int, int]] = []
+    initials: list[tuple[int, int]] = []
+    end, n_initials = start, 0
+    while not _TITLE_WORD.match(text, at) or not words:
+        if m := _WORD.match(text, at):
+            if m.group()[0].isupper():
+                words.append(m.span())
+                end, n_initials = m.end(), len(initials)
+            elif m.group() not in _PARTICLES:
+                break
+            if text[m.end() : m.end() + 1] != " ":
+                break
+            at = m.end() + 1
+        elif (m := _INITIAL.match(text, at)) and m[1].isupper():
+            initials.append(m.span(1))
+            at = m.end()
+        elif text[at : at + 2] in ("e ", "y ") and words:
+            at += 2
+        else:
+            break
+    if len(words) < (1 if titled else 2):
+        return start, []
+    found = [(s, e, "initial", f"{_script(text[s:e])}:{text[s:e].lower()}") for s, e in initials[:n_initials]]
+    for s, e in words:
+        name = text[s:e]
+        if name in _GENDER and e < end:
+            found.append((s, e, "given", f"{_script(name)}:{_GENDER[name]}:{name.lower()}"))
+        else:
+            found.append((s, e, "surname", f"{_script(name)}:{name.lower()}"))
+    return end, found
+
+
 def detect(text: str) -> list[tuple[int, int, str, str]]:
     """Start, end, kind and normal form of the entities of a text, none overlapping, in order."""
     found: list[tuple[int, int, str, str]] = []
@@ -231,14 +286,12 @@ def detect(text: str) -> list[tuple[int, int, str, str]]:
         near = [x for x in taken if x[0] < m.end() and m.start() < x[1]]
         for s, e, kind in _numbers(text, *m.span(), near):
             found.append((s, e, kind, re.sub(r"\D", "", text[s:e])))
+    end = 0
     for start in _PERSON_START.finditer(text):
-        m = _PERSON_RE.match(text, start.start())
-        if m and m["surname"][0].isupper() and (m["title"] or m["given"]):
-            script = _script(m["surname"])
-            gender = _TITLE.get(m["title"] or "") or _GENDER.get(m["given"] or "", "")
-            if m["given"]:
-                found.append((*m.span("given"), "given", f"{_script(m['given'])}:{_GENDER[m['given']] or gender}:{m['given'].lower()}"))
-            found.append((*m.span("surname"), "surname", f"{script}:{m['surname'].lower()}"))
+        at = start.start()
+        if at >= end and not (at and _is_word(text[at - 1])):
+            end, parts = _person(text, at)
+            found += parts
     kept, last = [], 0
     for x in sorted(set(found), key=lambda x: (x[0], -x[1])):
         if x[0] >= last:
@@ -316,6 +369,10 @@ def surrogate(key: bytes, kind: str, normal: str, draw: int) -> str:
             drawn = "".join("0123456789abcdef"[draws.below(16)] for _ in rest)
             return keep + (drawn.upper() if rest.isupper() else drawn)
         return keep + draws.letters(rest)
+    if kind == "initial":  # another letter by a keyed order; letters are too few to be kept apart from real ones
+        script, letter = normal.split(":", 1)
+        ordered = sorted(ALPHABETS[script], key=lambda x: hmac.new(key, f"initial\0{x}".encode(), hashlib.sha256).digest())
+        return f"{script}:{ordered[(ordered.index(letter) + 1 if letter in ordered else draws.below(len(ordered))) % len(ordered)]}"
     if kind == "given":
         script, gender, name = normal.split(":", 2)
         if draw < SHAPED_DRAWS:
@@ -330,6 +387,8 @@ def surrogate(key: bytes, kind: str, normal: str, draw: int) -> str:
 
 def written(mention: str, kind: str, drawn: str) -> str:
     """A surrogate in the punctuation and case of a mention."""
+    if kind == "initial":
+        return drawn.rpartition(":")[2].upper()
     if kind in ("given", "surname"):
         name = drawn.rpartition(":")[2]
         return name.upper() if mention.isupper() else name.title()
@@ -353,7 +412,7 @@ def _with_mentions(docs: DataFrame, name: str) -> DataFrame:
             text = batch.column("text").cast(pa.large_string()).fill_null("")
             out: list[list] = [[] for _ in range(len(text))]
             for i in pc.indices_nonzero(pc.match_substring_regex(text, _MAYBE)).to_pylist():
-                out[i] = [{"kind": k, "normal": n} for k, n in sorted({x[2:] for x in detect(text[i].as_py())})]
+                out[i] = [{"kind": k, "normal": n} for k, n in sorted({x[2:] for x in detect(text[i].as_py()) if x[2] != "initial"})]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, _MENTION_TYPE)], [*batch.schema.names, name])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, MENTIONS)]))
@@ -404,7 +463,8 @@ def pseudonymise(docs: DataFrame, key: bytes = KEY) -> DataFrame:
                 drawn = {(p["kind"], p["normal"]): p["surrogate"] for p in pairs}
                 parts, last = [], 0
                 for s, e, kind, normal in detect(text):
-                    parts += [text[last:s], written(text[s:e], kind, drawn[kind, normal])]
+                    new = surrogate(key, kind, normal, 0) if kind == "initial" else drawn[kind, normal]
+                    parts += [text[last:s], written(text[s:e], kind, new)]
                     last = e
                 out.append("".join([*parts, text[last:]]))
             yield batch.set_column(at, "text", pa.array(out, pa.string())).select(names)

@@ -237,3 +237,30 @@ def test_given_names_stay_distinct(table):
         made = [r.text for r in pii.pseudonymise(table([(k, f"{x} Smith") for k, x in enumerate(names)])).collect()]
         drawn = {t.split()[0] for t in made}
         assert len(drawn) == len(names) and not drawn & set(names) and len({t.split()[1] for t in made}) == 1
+
+
+@pytest.mark.parametrize(
+    "text, parts",
+    [
+        ("Mr Tom Baker said", ["Tom", "Baker"]),
+        ("Dr. Ada Lovelace", ["Ada", "Lovelace"]),
+        ("Prof. Dr. Ada Lovelace, Mr Smith Mrs Jones", ["Ada", "Lovelace", "Smith", "Jones"]),
+        ("Maria Elena Garcia Lopez", ["Maria", "Elena", "Garcia", "Lopez"]),
+        ("John F. Kennedy went", ["John", "F", "Kennedy"]),
+        ("Mr. J.R.R. Tolkien", ["J", "R", "R", "Tolkien"]),
+        ("Maria de la Cruz and Мария И. Петрова", ["Maria", "Cruz", "Мария", "И", "Петрова"]),
+        ("tel 01 23 45 67 89 or 0171 1234567", ["01 23 45 67 89", "0171 1234567"]),
+        ("0171/1234567, 044 668 18 00", ["0171/1234567", "044 668 18 00"]),
+        ("John went. Anna is 05.06.2024 12:00", []),
+    ],
+)
+def test_whole_persons_and_national_phones(text, parts):
+    assert [text[s:e] for s, e, *_ in pii.detect(text)] == parts
+
+
+def test_whole_persons_are_replaced(table):
+    rows = [(1, "John F. Kennedy and Mr Tom Kennedy, 0171 1234567"), (2, "Dr. Tom F. Kennedy")]
+    made = {r.doc_id: r.text for r in pii.pseudonymise(table(rows)).collect()}
+    john, f, kennedy, _, _, tom, again, trunk, phone = re.findall(r"\w+", made[1])
+    assert again == kennedy and re.findall(r"\w+", made[2]) == ["Dr", tom, f, kennedy] and trunk[0] == "0"
+    assert all(a != b for a, b in zip((john, f, kennedy, tom, phone), ("John", "F", "Kennedy", "Tom", "1234567")))
