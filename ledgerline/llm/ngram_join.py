@@ -358,17 +358,17 @@ def jaccard_groups(
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, mark, n_shingles, component_id, keeper.
 
-    ``keeper`` marks the document of a component that has its smallest doc_id; of rows with one
-    doc_id, that of the smaller mark. Rows equal in both are all marked.
+    ``keeper`` marks the document of a component that has its smallest doc_id, rows without one
+    last; of rows with one doc_id or none, that of the smaller mark. Rows equal in both are all marked.
     """
     docs = marked(docs)
     all_ = stored(members(docs, size))
     roots = components(links_of(docs, size, percent, group_bits, leaf, block))
     placed = all_.where("n_shingles > 0").join(roots.withColumnRenamed("node", "digest"), "digest", "left").withColumn("root", F.coalesce("root", "digest"))
-    place = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "mark"))
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "mark")
     first = placed.groupBy("root").agg(F.min(place).alias("first"))
     joined = placed.join(first, "root").select(
-        "doc_id", "mark", "n_shingles", F.col("first.doc_id").alias("component_id"), F.coalesce(place == F.col("first"), F.col("first").isNull()).alias("keeper")
+        "doc_id", "mark", "n_shingles", F.col("first.doc_id").alias("component_id"), place.eqNullSafe(F.col("first")).alias("keeper")
     )
     alone = all_.where("n_shingles = 0").select("doc_id", "mark", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("keeper"))
     return joined.unionByName(alone)

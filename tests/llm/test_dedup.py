@@ -53,6 +53,15 @@ def test_one_document_of_each_group_stays(spark, table, odd_rows):
     assert left == [(False, d) for d in (1, 2, 3, 4, 5, 7, 11, 12, 14)] + [(True, 0)] * 2
 
 
+def test_one_document_of_a_group_without_ids_stays(table, prose):
+    words = prose(7, 100).split()
+    near = [" ".join([*words[:k], "changed", *words[k + 1 :]]) for k in (10, 50, 90)]
+    kept = one_of_each_group(table([(None, t) for t in near] + [(None, near[0]), (None, prose(8, 50))])).collect()
+    assert len(kept) == 2 and len({r.text for r in kept} & set(near)) == 1
+    kept = one_of_each_group(table([(None, near[0]), (3, near[1]), (2, near[2])])).collect()
+    assert [(r.doc_id, r.text) for r in kept] == [(2, near[2])]
+
+
 def test_jaccard_groups_of_nothing(table):
     assert jaccard_groups(table([])).collect() == []
 
