@@ -12,7 +12,6 @@ from pyspark.ml.classification import (
     DecisionTreeClassifier,
     LogisticRegression,
     NaiveBayes,
-    NaiveBayesModel,
     RandomForestClassifier,
 )
 from pyspark.ml.feature import StringIndexer
@@ -222,28 +221,25 @@ def fit_all(
     return models, sizes, test
 
 
-def areas(scored: DataFrame, models: Mapping[str, Model], sizes: Mapping[str, int]) -> DataFrame:
+def areas(scored: DataFrame, sizes: Mapping[str, int]) -> DataFrame:
     """Area under ROC of each model, from the scores of ``score_all``.
 
-    ``auc`` ranks by probability, ``auc_raw`` by the raw prediction. They differ for naive Bayes
-    only, whose raw score of one class is not a monotone function of its probability, so the
-    others are ranked once.
+    ``auc`` ranks by probability, ``auc_raw`` by the raw prediction. Where the raw scores of both
+    classes don't add up to the same number in every row (naive Bayes, or a single tree, whose raw
+    score counts the rows of its leaf) one is no function of the other, so both are ranked.
     """
-    twice = [n for n, m in models.items() if isinstance(m, NaiveBayesModel)]
-    ranked = F.array(F.struct(F.lit("auc").alias("kind"), F.col("probability").alias("score")))
-    raw = F.array(F.struct(F.lit("auc_raw").alias("kind"), F.col("raw").alias("score")))
-    scores = scored.select(
-        "model",
-        "label",
-        F.inline(F.when(F.col("model").isin(twice), F.concat(ranked, raw)).otherwise(ranked)),
+    kinds = F.array(
+        F.struct(F.lit("auc").alias("kind"), F.col("probability").alias("score")),
+        F.struct(F.lit("auc_raw").alias("kind"), F.col("raw").alias("score")),
     )
+    scores = scored.select("model", "label", F.inline(kinds))
     found = trapezoid_area(scores, "score", "label", ["model", "kind"])
     features = F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair])
     of = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("auc")))
     return found.groupBy("model").agg(
         F.max(features[F.col("model")]).alias("n_features"),
         of("auc").alias("auc"),
-        F.coalesce(of("auc_raw"), of("auc")).alias("auc_raw"),
+        of("auc_raw").alias("auc_raw"),
     )
 
 
@@ -259,7 +255,7 @@ def compare(
     All models score the test rows in one pass, and all areas come from the scores together.
     """
     models, sizes, test = fit_all(data, estimators, keep, seed, ranker)
-    return areas(score_all(models, test), models, sizes)
+    return areas(score_all(models, test), sizes)
 
 
 def naive_bayes_parameters(

@@ -58,8 +58,8 @@ def optimum(spark: SparkSession, folder: str) -> DataFrame:
     data = models._data(spark, folder)
     model = fit(logistic(models.LIGHT_PENALTY), data.train)
     found = coefficients(model, data.names).agg(
-        F.count_if("slot >= 0").alias("n_slots"),
-        F.count_if("slot = -1").alias("n_intercepts"),
+        F.count_if(F.col("slot") >= 0).alias("n_slots"),
+        F.count_if(F.col("slot") == -1).alias("n_intercepts"),
         F.count_distinct("name").alias("n_names"),
     )
     fitted = model.transform(data.train).agg(

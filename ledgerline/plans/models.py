@@ -116,7 +116,7 @@ def _compared(
     """Areas, and the scores they come from."""
     models, sizes, test = fit_all(data, estimators, keep, SEED)
     scored = score_all(models, test)
-    return areas(scored, models, sizes), scored
+    return areas(scored, sizes), scored
 
 
 def compared_documents(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:

@@ -55,6 +55,17 @@ def test_forest_and_importances(data):
     assert area_under_roc(scored, "probability", "label") > 0.75
 
 
+def test_a_tree_ranks_differently_by_its_raw_scores(data):
+    """Raw scores count the rows of a leaf, and leaves differ in size."""
+    estimators = {"random_forest": random_forest(1), "decision_tree": decision_tree(1)}
+    found = {r.model: r for r in compare(data, estimators, [], 1).collect()}
+    scored = score(fit(decision_tree(1), data.train), data.test, "id")
+    assert found["decision_tree"].auc == pytest.approx(area_under_roc(scored, "probability", "label"))
+    assert found["decision_tree"].auc_raw == pytest.approx(area_under_roc(scored, "raw", "label"))
+    assert found["decision_tree"].auc != pytest.approx(found["decision_tree"].auc_raw)
+    assert found["random_forest"].auc == pytest.approx(found["random_forest"].auc_raw)
+
+
 def test_three_areas_agree(data):
     model = fit(random_forest(1), data.train)
     scored = score(model, data.test, "id")
