@@ -23,10 +23,12 @@ _LINE_RULES = r"""
         select doc_id, count(distinct i + k) as n from repeated, unnest(range(5)) as t(k) group by doc_id),
     lines as (
         select doc_id, line, count(*) as n,
-               length(regexp_replace(line, '[ 	-]+', '', 'g')) as chars,
+               length(regexp_replace(line, '[ 	-
+]+', '', 'g')) as chars,
                {n_bars} as bars, {n_words} as n_words
         from (select doc_id, unnest(string_split(text, chr(10))) as line from words)
-        where regexp_matches(line, '[^ 	-]') group by doc_id, line),
+        where regexp_matches(line, '[^ 	-
+]') group by doc_id, line),
     judged as (
         select *, {n_symbols} * 10 > chars or {n_doubled} >= 3
                   or (bars >= 2 and bars * 5 >= n_words - bars)
@@ -107,6 +109,45 @@ _SUBSTRING_DEDUP = """
            cast(coalesce(spans.n, 0) as bigint) as n_spans, sha256(unhex(coalesce(kept.h, ''))) as kept_sha256
     from bytes left join kept using (doc_id) left join spans using (doc_id)"""
 
+def _vector_codes(rounds: int = 2) -> str:
+    """Codebooks refined round by round, every part held against every entry."""
+    steps = ""
+    for r in range(rounds + 1):
+        steps += f"""
+    pairs{r} as (
+        select id, p, x, e, cast(list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - y[i]) * (x[i] - y[i]))) as bigint) as d
+        from parts join book{r} using (p)),
+    near{r} as materialized (
+        select id, p, any_value(x) as x, arg_min(e, (d, e)) as e, min(d) as d from pairs{r} group by id, p),"""
+        if r < rounds:
+            steps += f"""
+    sums{r} as (
+        select p, e, i, sum(x[i]) as total, count(*) as n
+        from near{r}, unnest(range(1, len(x) + 1)) as t(i) group by p, e, i),
+    means{r} as (
+        select p, e, list(cast(floor(cast(total as double) / n) as bigint) order by i) as y from sums{r} group by p, e),
+    book{r + 1} as materialized (
+        select p, e, coalesce(m.y, b.y) as y from book{r} b left join means{r} m using (p, e)),"""
+    return f"""
+    with kept as (
+        select vec_id, label, row_number() over (order by vec_id) as id,
+               list_transform(embedding, lambda v: cast(floor(256 * cast(v as double)) as bigint)) as v
+        from embeddings
+        where len(embedding) > 0 and len(list_filter(embedding, lambda v: v is null or not isfinite(v))) = 0),
+    parts as materialized (
+        select id, p, v[p * (len(v) // 16) + 1 : (p + 1) * (len(v) // 16)] as x
+        from kept, unnest(range(16)) as t(p)),
+    book0 as materialized (select p, id - 1 as e, x as y from parts where id <= 64),{steps}
+    sha as (
+        select sha256(string_agg(array_to_string(y, ','), ',' order by p, e)) as codebooks_sha256 from book{rounds}),
+    coded as (
+        select id, string_agg(format('{{:02x}}', e), '' order by p) as code, cast(sum(d) as bigint) as error
+        from near{rounds} group by id)
+    select vec_id, code, error,
+           cast(sum(error) over (partition by label) as bigint) as label_error, codebooks_sha256
+    from coded join kept using (id), sha"""
+
+
 ORACLE: dict[str, str] = {
     "op1_ngram_join": _GROUPS,
     "op7_line_rules": _LINE_RULES,
@@ -124,4 +165,5 @@ ORACLE: dict[str, str] = {
                case when payload_bytes >= 1000 and page_id <> keeper then keeper end as refers_to
         from held left join keepers using (payload_digest)
     """,
+    "op11_vector_codes": _vector_codes(),
 }
