@@ -15,6 +15,7 @@ from ledgerline.llm.quality_gam import op9_quality_gam
 from ledgerline.llm.quality_rules import op7_line_rules
 from ledgerline.llm.quote_links import op5_quote_links
 from ledgerline.llm.suffix_dedup import op8_suffix_dedup
+from ledgerline.llm.token_align import op13_token_align
 from ledgerline.llm.vector_codes import op11_vector_codes
 from ledgerline.llm.warc import op2_warc
 from ledgerline.llm.window_dedup import op10_window_dedup
@@ -31,6 +32,7 @@ QUERIES = {
     "op9_quality_gam": op9_quality_gam,
     "op10_window_dedup": op10_window_dedup,
     "op11_vector_codes": op11_vector_codes,
+    "op13_token_align": op13_token_align,
 }
 
 

@@ -35,14 +35,15 @@ class Cells:
         return (seeded >> np.uint64(64 - self.bits)).astype(np.int64)
 
 
-def _packed(values: np.ndarray) -> bytes:
+def packed(values: np.ndarray) -> bytes:
     """Small numbers, compressed byte plane by byte plane."""
-    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1)
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(len(values), values.dtype.itemsize)
     return zstandard.compress(planes.T.tobytes(), 1)
 
 
-def _unpacked(packed: bytes, kind: type) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(packed), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+def unpacked(packed: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(packed), np.uint8)
+    planes = planes.reshape(np.dtype(kind).itemsize, len(planes) // np.dtype(kind).itemsize)
     return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
@@ -90,15 +91,15 @@ def merged(
             cuts = np.searchsorted(at, np.arange(slices + 1, dtype=np.int64) * width)
             for k, (s, e) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
                 if e > s:
-                    yield record(row * slices + k, _packed(np.diff(at[s:e].astype(np.int64) - k * width, prepend=0).astype(np.uint32)), _packed(counts[s:e]))
+                    yield record(row * slices + k, packed(np.diff(at[s:e].astype(np.int64) - k * width, prepend=0).astype(np.uint32)), packed(counts[s:e]))
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for part, at, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 held = sums.setdefault(part, np.zeros(width, kind))
-                at = np.cumsum(_unpacked(at, np.uint32), dtype=np.int64)
-                held[at] = np.minimum(held[at].astype(np.int64) + _unpacked(n, kind), most)
+                at = np.cumsum(unpacked(at, np.uint32), dtype=np.int64)
+                held[at] = np.minimum(held[at].astype(np.int64) + unpacked(n, kind), most)
         for part, held in sums.items():
             yield record(part, b"", finish(held).tobytes())
 
