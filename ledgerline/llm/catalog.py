@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerline.llm import sql
 from ledgerline.llm.bpe import op6_bpe
+from ledgerline.llm.context_mixing import op12_context_mixing
 from ledgerline.llm.decontaminate import op3_decontaminate
 from ledgerline.llm.ngram_join import op1_ngram_join
 from ledgerline.llm.pii import op4_pii
@@ -32,6 +33,7 @@ QUERIES = {
     "op9_quality_gam": op9_quality_gam,
     "op10_window_dedup": op10_window_dedup,
     "op11_vector_codes": op11_vector_codes,
+    "op12_context_mixing": op12_context_mixing,
     "op13_token_align": op13_token_align,
 }
 
