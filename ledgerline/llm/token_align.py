@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
-import os
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,41 +38,65 @@ from ledgerline.llm.tallies import counted, head_and_tail
 #: Id pairs whose counts are sent to all tasks; 17 bytes each.
 FREQUENT = 1 << 20
 #: Texts that are cut at once, in characters; a longer one is cut on its own.
-CUT_CHARS = 1 << 18
+CUT_CHARS = 1 << 20
 #: Links of a group that are listed one by one.
 LISTED = 1 << 12
 
+#: Matching tokens that are compared one by one before stretches are.
+SINGLE = 8
+# Fixed value: how the byte vocabulary cuts texts before it merges.
+PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
 ALIGNED = (
     "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs binary, times binary"
 )
 
 
 class ByteTokenizer:
-    """Byte-level BPE from its JSON file: ids of ``space + text``."""
+    """Byte-level BPE from its JSON file: ids of ``space + text``, special tokens as plain text.
 
-    def __init__(self, text: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
-        from tokenizers import Tokenizer
+    Where every merge makes the next id, ids are ranks, and a faster library gives the same ids.
+    """
 
-        self.tokenizer = Tokenizer.from_str(text)
-        self.tokenizer.encode_special_tokens = True
-        self.tokenizer.no_padding()
-        self.tokenizer.no_truncation()
+    def __init__(self, text: str):
+        model = json.loads(text)
+        vocabulary = model["model"]["vocab"] | {x["content"]: x["id"] for x in model["added_tokens"]}
+        special = {x["content"] for x in model["added_tokens"]}
         letters = {letter: byte for byte, letter in enumerate(byte_letters())}
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.size = max(vocabulary.values()) + 1
         self.bytes = [b""] * self.size
         for token, i in vocabulary.items():
-            self.bytes[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
+            self.bytes[i] = token.encode() if token in special else bytes(letters[c] for c in token)
+        merges = (m if isinstance(m, str) else " ".join(m) for m in model["model"]["merges"])
+        in_order = all(vocabulary.get(m.replace(" ", "")) == i for i, m in enumerate(merges, len(letters)))
+        kind = model["pre_tokenizer"] or {}
+        usual = not model["normalizer"] and kind.get("type") == "ByteLevel" and kind.get("use_regex", True) and not kind.get("add_prefix_space")
+        if in_order and usual:
+            import tiktoken
+
+            ranks = {self.bytes[i]: i for token, i in vocabulary.items() if token not in special}
+            encoding = tiktoken.Encoding("ranks", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
+            self.encode_one = encoding.encode_ordinary
+            self.exact = len(letters) == 256 and all(letter in vocabulary for letter in letters)  # no byte is lost
+        else:
+            from tokenizers import Tokenizer
+
+            tokenizer = Tokenizer.from_str(text)
+            tokenizer.encode_special_tokens = True
+            tokenizer.no_padding()
+            tokenizer.no_truncation()
+            self.encode_one = lambda data: tokenizer.encode(data, add_special_tokens=False).ids
+            self.exact = False
 
     def encode(self, batch: list[str]) -> list[list[int]]:
-        found = self.tokenizer.encode_batch_fast([" " + text for text in batch], add_special_tokens=False)
-        return [x.ids for x in found]
+        return [self.encode_one(" " + text) for text in batch]
 
 
 class PieceTokenizer:
     """Piece BPE from its model file, which puts the space before a text itself."""
 
+    exact = False
+
     def __init__(self, model: bytes):
         import sentencepiece
 
@@ -90,29 +114,35 @@ class PieceTokenizer:
         return self.processor.encode(batch, num_threads=1)
 
 
-def group_ends(x: list[int], y: list[int]) -> tuple[list[int], list[int]]:
+def group_ends(x: list[int], y: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """How many tokens of each side lie before the end of every group.
 
     ``x`` and ``y`` are the byte offsets where tokens end, rising, and with the same last one.
     """
-    a: list[int] = []
-    b: list[int] = []
     i, shift, n = 0, 0, len(x)
+    # Tokens of the groups with several tokens on a side: first and last of either side.
+    several: list[int] = []
     while i < n:
         if x[i] == y[i + shift]:
-            start, step = i, 1
-            while step:
-                stretch = x[i : i + step]
-                if stretch and stretch == y[i + shift : i + shift + step]:
-                    i += len(stretch)
-                    step *= 2
-                else:
-                    step //= 2  # one of the stretch parts: what lies before it is found by halving
-            a.extend(range(start + 1, i + 1))
-            b.extend(range(start + shift + 1, i + shift + 1))
+            i += 1
+            stop = min(n, i + SINGLE)
+            while i < stop and x[i] == y[i + shift]:
+                i += 1
+            if i == stop:
+                step = 1
+                while step:
+                    stretch = x[i : i + step]
+                    if stretch and stretch == y[i + shift : i + shift + step]:
+                        i += len(stretch)
+                        step *= 2
+                    else:
+                        step //= 2  # one of the stretch parts: what lies before it is found by halving
             if i == n:
                 break
+            if x[i] == y[i + shift]:
+                continue
         j = i + shift
+        first = (i, j)
         p, q = x[i], y[j]
         while p != q:
             if p < q:
@@ -121,11 +151,19 @@ def group_ends(x: list[int], y: list[int]) -> tuple[list[int], list[int]]:
             else:
                 j += 1
                 q = y[j]
+        several += (first[0], i, first[1], j)
         i += 1
-        a.append(i)
-        b.append(j + 1)
         shift = j + 1 - i
-    return a, b
+    edges = np.array(several, np.int64).reshape(-1, 4).T
+    return _last_tokens(n, edges[0], edges[1]), _last_tokens(len(y), edges[2], edges[3])
+
+
+def _last_tokens(n: int, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Tokens up to each one that ends a group: all but those from ``first`` on and before ``last``."""
+    inside = np.zeros(n + 1, np.int8)
+    inside[first] += 1
+    inside[last] -= 1
+    return np.flatnonzero(np.cumsum(inside[:n], dtype=np.int8) == 0) + 1
 
 
 def link_pairs(x: np.ndarray, y: np.ndarray, a: np.ndarray, b: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -162,30 +200,31 @@ class Aligner:
         self.sides = ByteTokenizer(json_text), PieceTokenizer(model)
         self.lengths = [np.array([len(t) for t in side.bytes], np.int64) for side in self.sides]
         # An id and the sign after it: "," within a side, "|" after the first, ";" after the second.
-        self.names = [[f"{i}{sign}" for i in range(side.size) for sign in ("," + end)] for side, end in zip(self.sides, "|;", strict=True)]
+        self.names = [f"{i}{sign}" for side, end in zip(self.sides, "|;", strict=True) for i in range(side.size) for sign in ("," + end)]
 
     @property
     def width(self) -> int:
         return self.sides[1].size
 
-    def aligned(self, text: str, ids: list[list[int]]) -> tuple[int, int, int, int, str, np.ndarray, np.ndarray] | None:
-        """Sizes, digest, and linked pairs of a text; None if its tokens don't give its bytes."""
-        data = b" " + text.encode()
-        for side, found in zip(self.sides, ids, strict=True):
-            if b"".join(map(side.bytes.__getitem__, found)) != data:
-                return None
-        x, y = (np.array(found, np.int64) for found in ids)
+    def cut(self, batch: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
+        """Ids of both sides for each text; None if they don't give its bytes."""
+        out = []
+        for text, *ids in zip(batch, *(side.encode(batch) for side in self.sides), strict=True):
+            data = b" " + text.encode()
+            whole = all(side.exact or b"".join(map(side.bytes.__getitem__, found)) == data for side, found in zip(self.sides, ids, strict=True))
+            out.append(tuple(np.array(found, np.int64) for found in ids) if whole else None)
+        return out
+
+    def aligned(self, x: np.ndarray, y: np.ndarray) -> tuple[int, int, int, int, str, np.ndarray, np.ndarray]:
+        """Sizes, digest, and linked pairs of a text's tokens."""
         a, b = group_ends(*(np.cumsum(of[found]).tolist() for of, found in zip(self.lengths, (x, y), strict=True)))
-        a, b = np.array(a, np.int64), np.array(b, np.int64)
+        named = np.empty(len(x) + len(y), np.int64)
         # Token i of a side stands after all tokens of the other side's earlier groups.
-        place_x = np.arange(len(x)) + np.repeat(np.append(0, b[:-1]), np.diff(a, prepend=0))
-        place_y = np.arange(len(y)) + np.repeat(a, np.diff(b, prepend=0))
-        named = np.empty(len(x) + len(y), object)
-        for place, found, ends, names in ((place_x, x, a, self.names[0]), (place_y, y, b, self.names[1])):
-            code = 2 * found
+        for found, ends, before, first in ((x, a, np.append(0, b[:-1]), 0), (y, b, a, self.sides[0].size)):
+            code = 2 * (found + first)
             code[ends - 1] += 1
-            named[place] = list(map(names.__getitem__, code.tolist()))
-        digest = hashlib.sha256("".join(named.tolist())[:-1].encode()).hexdigest()
+            named[np.arange(len(found)) + np.repeat(before, np.diff(ends, prepend=0))] = code
+        digest = hashlib.sha256("".join(map(self.names.__getitem__, named.tolist()))[:-1].encode()).hexdigest()
         keys, times = link_pairs(x, y, a, b, self.width)
         return len(x), len(y), len(a), int(times.sum()), digest, keys, times
 
@@ -226,15 +265,15 @@ def align(docs: DataFrame, shared) -> DataFrame:
     """Sizes, digest of the groups, and packed linked pairs of every row of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = shared.value.aligner()
+        aligner, none = shared.value.aligner(), np.zeros(0, np.int64)
         for batch in batches:
             doc_ids, column = batch.column("doc_id"), batch.column("text").fill_null("").to_pylist()
             for s, e in _chunks(column):
                 part = column[s:e]
                 out = []
-                for text, *ids in zip(part, *(side.encode(part) for side in aligner.sides), strict=True):
-                    found = aligner.aligned(text, ids) if text else None
-                    *sizes, digest, keys, times = found or (0, 0, 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int64))
+                for text, ids in zip(part, aligner.cut(part), strict=True):
+                    found = aligner.aligned(*ids) if text and ids else (0, 0, 0, 0, "", none, none)
+                    *sizes, digest, keys, times = found
                     out.append((*sizes, digest, packed(np.diff(keys, prepend=0)), packed(times)))
                 *sizes, digests, pairs, times = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays(

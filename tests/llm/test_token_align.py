@@ -10,6 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from ledgerline.llm import token_align
 from ledgerline.llm.token_align import Aligner, Vocabularies, alignments, group_ends, link_pairs, op13_token_align
 
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -116,14 +117,12 @@ def test_groups_end_where_both_sides_end(x, y):
     last = max(x + y) + 1
     x, y = sorted({*x, last}), sorted({*y, last})
     common = sorted(set(x) & set(y))
-    assert group_ends(x, y) == ([x.index(c) + 1 for c in common], [y.index(c) + 1 for c in common])
+    assert [e.tolist() for e in group_ends(x, y)] == [[x.index(c) + 1 for c in common], [y.index(c) + 1 for c in common]]
 
 
 def test_a_group_of_many_tokens_is_not_listed_link_by_link(monkeypatch):
     import numpy as np
 
-    from ledgerline.llm import token_align
-
     pick = random.Random(4)
     x, y = (np.array([pick.randrange(9) for _ in range(50)]) for _ in range(2))
     a, b = np.array([3, 40, 50]), np.array([2, 45, 50])
@@ -132,12 +131,32 @@ def test_a_group_of_many_tokens_is_not_listed_link_by_link(monkeypatch):
     assert [c.tolist() for c in link_pairs(x, y, a, b, 100)] == expected
 
 
-def test_tokens_that_lose_bytes_are_none():
-    vocabularies = Vocabularies.of(A, B)
-    aligner: Aligner = vocabularies.aligner()
-    ids = [side.encode(["one two"])[0] for side in aligner.sides]
-    assert aligner.aligned("one two", ids) is not None
-    assert aligner.aligned("one  two", ids) is None
+def test_ids_by_ranks_are_those_of_the_vocabulary(tokenizers, prose):
+    """Signs of all kinds, gaps of all kinds, and the vocabulary's own entries side by side."""
+    aligner: Aligner = Vocabularies.of(A, B).aligner()
+    pick = random.Random(8)
+    signs = ["a", "Word", "don't", "naïve", "日本", "😀", "7", "42", ".", ",", "--", "x" * 50, "▁", "é", "<|endoftext|>"]
+    gaps = [" ", " ", " ", "  ", "   ", "\n", " \n", "\n ", "\t", "\u00a0", "\u3000 ", " \u2003", "\u001c ", ""]
+    texts = ["".join(pick.choice(signs) + pick.choice(gaps) for _ in range(pick.randrange(1, 30))) for _ in range(400)]
+    entries = [b.decode(errors="ignore") for b in aligner.sides[0].bytes]
+    texts += ["".join(pick.choices(entries, k=4)) for _ in range(5000)] + [prose(1, 300)]
+    texts += [f"a{chr(c)}b 1{chr(c)} {chr(c)}" for c in range(1, 0x3000)]
+    found = aligner.sides[0].encode(texts)
+    assert found == [e.ids for e in tokenizers[0].encode_batch([" " + t for t in texts], add_special_tokens=False)]
+
+
+def test_other_merge_orders_go_to_the_public_library():
+    import json
+
+    model = json.loads(open(A, encoding="utf-8").read())
+    model["model"]["merges"][5:7] = model["model"]["merges"][6:4:-1]
+    side = token_align.ByteTokenizer(json.dumps(model))
+    assert "tiktoken" not in type(side.encode_one).__module__ and side.encode(["one two"]) == Vocabularies.of(A, B).aligner().sides[0].encode(["one two"])
+
+
+def test_texts_whose_bytes_are_lost_are_none():
+    aligner: Aligner = Vocabularies.of(A, B).aligner()
+    assert [ids is None for ids in aligner.cut(["one two", "a▁b"])] == [False, True]
 
 
 def test_query_on_whole_table(spark, tokenizers):
