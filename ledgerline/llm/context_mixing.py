@@ -43,7 +43,7 @@ ORDERS = (2, 3, 5)
 #: The word so far counts at most so many bytes, its last ones.
 REACH = 8
 BITS = 22
-SLICE_BITS = 19
+SLICE_BITS = 15
 #: Added to both counts of a cell.
 SMALL = 0.4
 #: Log odds are held as whole numbers of this part, up to ``MOST``.
@@ -71,6 +71,7 @@ _LAST = np.array([2**64 - 2 ** (64 - 8 * n) for n in range(REACH + 1)], np.uint6
 _APART = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _REACHES = np.arange(REACH + 1, dtype=np.uint64) * _ODD
 _BYTES = np.arange(256, dtype=np.uint64) * _ODDS[0]
+_EIGHT = np.ones(8, np.float32)
 
 
 @dataclass
@@ -314,7 +315,9 @@ def fitted(training: DataFrame, halves: tuple[np.ndarray, np.ndarray], bits: int
             for found in gathered(batches, bits):
                 for at, cells, ones in found.parts():
                     for h in range(2):
-                        _add_sums(total, found.times[h, at], ones, *inputs(cells, shared.value[1 - h]), now.value)
+                        times = found.times[h, at]
+                        some = times > 0
+                        _add_sums(total, times[some], ones[some], *inputs(cells[some], shared.value[1 - h]), now.value)
             cells = np.arange(total.size)
             yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total.ravel())], ["cell", "value"])
 
@@ -346,7 +349,7 @@ class Scorer:
             mixed = np.einsum("dbk,dbk->db", x, self.weights[gates])
             against = np.where(ones == 1, -mixed, mixed)  # log odds of the bit that did not come
             for i, v in enumerate(VARIANTS):
-                each[at, i] = np.log(1 + np.exp(np.minimum(against * np.float32(v), 60))).sum(axis=1, dtype=np.float64)
+                each[at, i] = np.log(1 + np.exp(np.minimum(against * np.float32(v), 60))) @ _EIGHT
         # Loss of every variant on every block of every text.
         n_blocks = -(-stretch.sizes // BLOCK)
         ends = np.cumsum(n_blocks)

@@ -70,8 +70,8 @@ def plain_score(text, counts, weights):
             loss[i] += math.log(1 + math.exp(v * against))
     trust, total = [1 / len(VARIANTS)] * len(VARIANTS), 0.0
     for _, loss in sorted(blocks.items()):
-        given = [p * math.exp(-x) for p, x in zip(trust, loss, strict=True)]
-        total += math.log(sum(given))
+        given = [p * math.exp(min(loss) - x) for p, x in zip(trust, loss, strict=True)]
+        total += math.log(sum(given)) - min(loss)
         trust = [(1 - SHARE) * g / sum(given) + SHARE / len(VARIANTS) for g in given]
     return total / math.log(10)
 
