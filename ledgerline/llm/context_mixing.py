@@ -71,7 +71,6 @@ _LAST = np.array([2**64 - 2 ** (64 - 8 * n) for n in range(REACH + 1)], np.uint6
 _APART = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _REACHES = np.arange(REACH + 1, dtype=np.uint64) * _ODD
 _BYTES = np.arange(256, dtype=np.uint64) * _ODDS[0]
-_EIGHT = np.ones(8, np.float32)
 
 
 @dataclass
@@ -349,7 +348,8 @@ class Scorer:
             mixed = np.einsum("dbk,dbk->db", x, self.weights[gates])
             against = np.where(ones == 1, -mixed, mixed)  # log odds of the bit that did not come
             for i, v in enumerate(VARIANTS):
-                each[at, i] = np.log(1 + np.exp(np.minimum(against * np.float32(v), 60))) @ _EIGHT
+                loss = np.log(1 + np.exp(np.minimum(against * np.float32(v), 60)))
+                each[at, i] = np.ascontiguousarray(loss.T).sum(axis=0, dtype=np.float64)  # bit after bit, in every slice
         # Loss of every variant on every block of every text.
         n_blocks = -(-stretch.sizes // BLOCK)
         ends = np.cumsum(n_blocks)
