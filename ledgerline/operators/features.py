@@ -3,33 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler, VectorSlicer
-from pyspark.sql import Column, DataFrame
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.feature import OneHotEncoder, VectorAssembler, VectorSlicer
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.functions import split_bucket
+from ledgerline.operators.levels import LevelIndex
 
-MAX_LEVELS = 10_000
-
-
-def check_levels(rows: DataFrame, columns: Sequence[str], limit: int = MAX_LEVELS) -> None:
-    """Indexing brings the levels to the driver, so refuse columns that are not categories."""
-    counts = rows.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first()
-    wide = [c for c in columns if counts[c] > limit]
-    if wide:
-        raise ValueError(f"more than {limit} levels in {wide}: bucket the rare ones first")
-
-
-def index_strings(columns: Sequence[str], handle_invalid: str = "error") -> StringIndexer:
-    """Indices by falling frequency, ties by name; numbers are taken as text."""
-    return StringIndexer(
-        inputCols=list(columns),
-        outputCols=[f"{c}_index" for c in columns],
-        stringOrderType="frequencyDesc",
-        handleInvalid=handle_invalid,
-    )
+#: Slots that are named on the driver, which holds a number for each in every model anyway.
+MAX_NAMED = 10_000
+_UNSEEN = "__unseen"
 
 
 def encode_levels(columns: Sequence[str], keep_last: bool = True) -> OneHotEncoder:
@@ -40,26 +26,54 @@ def encode_levels(columns: Sequence[str], keep_last: bool = True) -> OneHotEncod
     )
 
 
-def feature_stages(numbers: Sequence[str], categories: Sequence[str]) -> list:
-    """Stages for one vector: the numbers, then one slot per level of each category.
+@dataclass
+class FeatureEncoder:
+    """One vector from numbers and categories: the numbers, then one slot per level of each category.
 
-    Levels not seen in fitting get a slot after the others, which the encoder drops, so such
-    rows have zeros in the block.
+    Levels not seen in fitting, and missing ones, have zeros in their block.
     """
-    assembler = VectorAssembler(
-        inputCols=[*numbers, *[f"{c}_levels" for c in categories]], outputCol="features"
-    )
-    if not categories:
-        return [assembler]
-    return [
-        index_strings(categories, handle_invalid="keep"),
-        encode_levels(categories, keep_last=False),
-        assembler,
-    ]
-
 
-def feature_pipeline(numbers: Sequence[str], categories: Sequence[str]) -> Pipeline:
-    return Pipeline(stages=feature_stages(numbers, categories))
+    numbers: list[str]
+    levels: LevelIndex | None
+    stages: PipelineModel
+    #: Levels by category, if there are few enough to name the slots.
+    named: dict[str, list[str]]
+
+    @classmethod
+    def fit(cls, rows: DataFrame, numbers: Sequence[str], categories: Sequence[str], max_named: int = MAX_NAMED) -> FeatureEncoder:
+        levels = LevelIndex.fit(rows, categories) if categories else None
+        few = bool(levels) and sum(levels.sizes.values()) <= max_named
+        named = {c: levels.names(c) for c in categories} if few else {}
+        encoder = cls(list(numbers), levels, None, named)
+        vector = [*numbers, *[f"{c}_levels" for c in categories]]
+        stages = [encode_levels(categories, keep_last=False)] if categories else []
+        stages.append(VectorAssembler(inputCols=vector, outputCol="features"))
+        encoder.stages = Pipeline(stages=stages).fit(encoder._indexed(rows))
+        return encoder
+
+    def _indexed(self, rows: DataFrame) -> DataFrame:
+        if not self.levels:
+            return rows
+        rows = self.levels.transform(rows, unseen=True)
+        for c in self.levels.columns:
+            # The last value, which the encoder drops, stands for levels not seen.
+            size = {"vals": [*self.named[c], _UNSEEN]} if c in self.named else {"num_vals": self.levels.sizes[c] + 1}
+            index = f"{c}_index"
+            rows = rows.withColumn(index, F.col(index).alias(index, metadata={"ml_attr": {"type": "nominal", "name": index} | size}))
+        return rows
+
+    def transform(self, rows: DataFrame) -> DataFrame:
+        return self.stages.transform(self._indexed(rows))
+
+    def slots(self) -> DataFrame:
+        """Number and name of every slot, as a table."""
+        spark = SparkSession.active()
+        found = spark.createDataFrame(list(enumerate(self.numbers)), "slot long, name string")
+        first = len(self.numbers)
+        for c in self.levels.columns if self.levels else []:
+            found = found.unionByName(self.levels.levels(c).select((F.col("place") + first).alias("slot"), F.concat(F.lit(f"{c}_levels_"), "level").alias("name")))
+            first += self.levels.sizes[c]
+        return found
 
 
 def slot_names(frame: DataFrame, features: str = "features") -> list[str]:

@@ -8,11 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.functions import is_missing, known
-from ledgerline.operators.features import MAX_LEVELS
 from ledgerline.operators.lookups import attach
 from ledgerline.operators.ranks import VALUES_PER_RANGE, percentiles
 from ledgerline.session import settle
 
+#: Medians that a row looks through for its nearest group.
+MAX_LEVELS = 10_000
+
 
 def fill_constant(
     rows: DataFrame, column: str, value: object, where: Column | None = None

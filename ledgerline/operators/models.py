@@ -7,28 +7,21 @@ from contextlib import contextmanager
 from dataclasses import dataclass, replace
 
 from pyspark import StorageLevel
-from pyspark.ml import Estimator, Model, Pipeline
+from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
     LogisticRegression,
     NaiveBayes,
     RandomForestClassifier,
 )
-from pyspark.ml.feature import StringIndexer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerline.operators.evaluate import positive_probability, trapezoid_area
-from ledgerline.operators.features import (
-    MAX_LEVELS,
-    check_levels,
-    feature_stages,
-    slice_features,
-    slot_names,
-    split_by_key,
-)
+from ledgerline.operators.features import FeatureEncoder, slice_features, slot_names, split_by_key
+from ledgerline.operators.levels import LevelIndex
 from ledgerline.session import settle, settle_pieces
 
 
@@ -50,9 +43,9 @@ def logistic(regularisation: float = 0.3, elastic_net: float = 0.8, steps: int =
     )
 
 
-def label_index(label: str) -> StringIndexer:
+def index_label(rows: DataFrame, label: str) -> DataFrame:
     """Labels as 0.0, 1.0, ... by falling frequency, in a column ``label``."""
-    return StringIndexer(inputCol=label, outputCol="label")
+    return LevelIndex.fit(rows, [label]).transform(rows, outputs=["label"])
 
 
 #: Pieces that model rows are dealt into; forests draw by piece, so it is part of the seed.
@@ -79,20 +72,17 @@ def prepare(
     categories: Sequence[str],
     seed: int = 42,
     pieces: int = PIECES,
-    max_levels: int = MAX_LEVELS,
 ) -> Prepared:
     """Split and encode. The model columns are settled first: encoders, fits and scores all read
     them, and none goes back to the source. Raise ``pieces`` with the table: 16 suit some millions
     of rows. ``max_levels`` bounds what indexing a category brings to the driver."""
     rows = settle_pieces(rows.select(key, label, *numbers, *categories), key, pieces)
-    if categories:
-        check_levels(rows, categories, max_levels)
-    labelled = label_index(label).fit(rows).transform(rows)
+    labelled = index_label(rows, label)
     train, test = split_by_key(labelled, key, seed=seed)
-    fitted = Pipeline(stages=feature_stages(numbers, categories)).fit(train)
+    encoder = FeatureEncoder.fit(train, numbers, categories)
     keep = [key, "label", "features"]
-    encoded = fitted.transform(train).select(*keep)
-    return Prepared(encoded, fitted.transform(test).select(*keep), slot_names(encoded))
+    encoded = encoder.transform(train).select(*keep)
+    return Prepared(encoded, encoder.transform(test).select(*keep), slot_names(encoded))
 
 
 @contextmanager

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerline.operators.positions import with_position
 
 def count_report(
     rows: DataFrame,
@@ -22,8 +23,17 @@ def count_report(
     """
     kept = rows if where is None else rows.where(where)
     counted = kept.groupBy(*keys).agg(F.count(F.lit(1)).alias(count_name))
-    first = [F.desc(count_name)] if largest_first else []
-    return counted.orderBy(*first, *[F.asc(k) for k in keys])
+    return counted.orderBy(*report_order(keys, count_name, largest_first))
+
+
+def numbered(report: DataFrame, order: Sequence[Column], name: str = "position") -> DataFrame:
+    """A report with each row's place in an order, so that the order outlives writing and joining."""
+    return with_position(report, order, name)
+
+
+def report_order(keys: Sequence[str], count_name: str = "n", largest_first: bool = False) -> list[Column]:
+    """The order of ``count_report``: null keys first."""
+    return [*([F.desc(count_name)] if largest_first else []), *[F.asc(k) for k in keys]]
 
 
 def sql_report(spark: SparkSession, text: str) -> DataFrame:

@@ -2,22 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.functions import segment_count
-from ledgerline.operators.features import (
-    check_levels,
-    encode_levels,
-    feature_pipeline,
-    index_strings,
-    slice_features,
-    slot_names,
-    split_part,
-)
-from ledgerline.operators.models import label_index
+from ledgerline.operators.features import FeatureEncoder, encode_levels, slice_features, slot_names, split_part
+from ledgerline.operators.levels import LevelIndex
+from ledgerline.operators.models import index_label
 from ledgerline.sources import read_table
 
 NUMBERS = ["n_chars", "n_words"]
@@ -37,28 +29,41 @@ def _vector_text(vector: str) -> Column:
 
 def string_index(spark: SparkSession, folder: str) -> DataFrame:
     documents = read_table(spark, folder, "documents").select("doc_id", "lang")
-    check_levels(documents, ["lang"])
-    return index_strings(["lang"]).fit(documents).transform(documents)
+    return LevelIndex.fit(documents, ["lang"]).transform(documents)
+
+
+def wide_index(spark: SparkSession, folder: str) -> DataFrame:
+    """A column with a level for almost every row."""
+    pages = read_table(spark, folder, "pages").select("page_id", "url")
+    return LevelIndex.fit(pages, ["url"], max_bytes=0).transform(pages).select("page_id", "url_index")
+
+
+def level_table(spark: SparkSession, folder: str) -> DataFrame:
+    lines = read_table(spark, folder, "lineitem").select("l_partkey", "l_shipdate")
+    return LevelIndex.fit(lines, ["l_partkey", "l_shipdate"]).table
 
 
 def one_hot(spark: SparkSession, folder: str) -> DataFrame:
     documents = read_table(spark, folder, "documents").select("doc_id", "lang")
-    check_levels(documents, ["lang"])
-    stages = Pipeline(stages=[index_strings(["lang"]), encode_levels(["lang"])])
-    encoded = stages.fit(documents).transform(documents)
+    indexed = LevelIndex.fit(documents, ["lang"]).transform(documents)
+    encoded = encode_levels(["lang"]).fit(indexed).transform(indexed)
     return encoded.select("doc_id", "lang", _vector_text("lang_levels").alias("levels"))
 
 
 def _assembled(spark: SparkSession, folder: str) -> DataFrame:
     documents = document_columns(spark, folder)
-    check_levels(documents, CATEGORIES)
-    return feature_pipeline(NUMBERS, CATEGORIES).fit(documents).transform(documents)
+    return FeatureEncoder.fit(documents, NUMBERS, CATEGORIES).transform(documents)
 
 
 def assemble(spark: SparkSession, folder: str) -> DataFrame:
     return _assembled(spark, folder).select("doc_id", _vector_text("features").alias("features"))
 
 
+def slots(spark: SparkSession, folder: str) -> DataFrame:
+    """The vector's slots by number and name, from the table of levels."""
+    return FeatureEncoder.fit(document_columns(spark, folder), NUMBERS, CATEGORIES).slots()
+
+
 def slices(spark: SparkSession, folder: str) -> DataFrame:
     """Character count and the three most frequent languages."""
     assembled = _assembled(spark, folder)
@@ -69,7 +74,7 @@ def slices(spark: SparkSession, folder: str) -> DataFrame:
 
 def labels(spark: SparkSession, folder: str) -> DataFrame:
     rows = read_table(spark, folder, "labels").select("doc_id", "quality")
-    return label_index("quality").fit(rows).transform(rows)
+    return index_label(rows, "quality")
 
 
 def hash_split(spark: SparkSession, folder: str) -> DataFrame:
@@ -79,6 +84,9 @@ def hash_split(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     "string_index": string_index,
+    "string_index_wide": wide_index,
+    "level_table": level_table,
+    "feature_slots": slots,
     "one_hot": one_hot,
     "assemble_features": assemble,
     "slice_features": slices,
@@ -111,6 +119,21 @@ ORACLE = {
     "string_index": f"""
         select doc_id, lang, cast(place as double) as lang_index
         from documents join ({_levels("lang")}) using (lang)""",
+    "string_index_wide": f"""
+        select page_id, cast(place as double) as url_index
+        from pages join ({_levels("url", "pages")}) using (url)""",
+    "level_table": """
+        with cells as (
+            select 'l_partkey' as column_name, cast(l_partkey as varchar) as level from lineitem
+            union all select 'l_shipdate', cast(l_shipdate as varchar) from lineitem)
+        select column_name, level, count(*) as n,
+               row_number() over (partition by column_name order by count(*) desc, level) - 1 as place
+        from cells where level is not null group by column_name, level""",
+    "feature_slots": f"""
+        select cast(0 as bigint) as slot, 'n_chars' as name union all select 1, 'n_words'
+        union all select 2 + place, 'lang_levels_' || lang from ({_levels("lang")})
+        union all select 2 + (select count(distinct lang) from documents) + place, 'source_levels_' || source
+        from ({_levels("source")})""",
     "one_hot": f"""
         select doc_id, lang, array_to_string({_block("place", "slots")}, ',') as levels
         from documents join ({_levels("lang")}) using (lang)""",

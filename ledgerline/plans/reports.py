@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerline.functions import last_segment
-from ledgerline.operators.reports import band, count_report, sql_report, value_counts
+from ledgerline.operators.reports import band, count_report, numbered, report_order, sql_report, value_counts
 from ledgerline.sources import read_table, register
 
 BY_THREE_KEYS = """
@@ -58,6 +58,21 @@ def by_band(spark: SparkSession, folder: str) -> DataFrame:
     return count_report(lineitem, keys, F.col("l_returnflag") == "R")
 
 
+#: Reports with an order: their keys, and whether the largest count comes first.
+ORDERED = {
+    "report_by_class": (by_class, ["o_orderpriority"], False),
+    "report_by_flag": (by_flag, ["l_linestatus"], False),
+    "report_by_numeric": (by_numeric, ["l_quantity"], False),
+    "report_by_three_keys": (by_three_keys, ["l_linestatus", "l_quantity", "l_linenumber"], True),
+    "report_by_segment": (by_segment, ["segment"], True),
+    "report_by_band": (by_band, ["quantity_band", "l_linestatus"], False),
+}
+
+
+def _numbered(report, keys: list[str], largest_first: bool):
+    return lambda spark, folder: numbered(report(spark, folder), report_order(keys, largest_first=largest_first))
+
+
 QUERIES = {
     "report_by_class": by_class,
     "report_by_flag": by_flag,
@@ -66,7 +81,7 @@ QUERIES = {
     "report_by_segment": by_segment,
     "value_counts": by_source,
     "report_by_band": by_band,
-}
+} | {f"{name}_positions": _numbered(*ordered) for name, ordered in ORDERED.items()}
 
 ORACLE = {
     "report_by_class": """
@@ -90,3 +105,7 @@ ORACLE = {
                count(*) as n
         from lineitem where l_returnflag = 'R' group by 1, 2""",
 }
+
+for _name, (_, _keys, _largest) in ORDERED.items():
+    _order = ", ".join([*(["n desc"] if _largest else []), *[f"{k} asc nulls first" for k in _keys]])
+    ORACLE[f"{_name}_positions"] = f"select *, row_number() over (order by {_order}) as position from ({ORACLE[_name]})"

@@ -1,14 +1,7 @@
 import pytest
 
-from ledgerline.operators.features import (
-    check_levels,
-    encode_levels,
-    feature_pipeline,
-    index_strings,
-    slice_features,
-    slot_names,
-    split_by_key,
-)
+from ledgerline.operators.features import FeatureEncoder, slice_features, slot_names, split_by_key
+from ledgerline.operators.levels import LevelIndex
 
 
 @pytest.fixture(scope="module")
@@ -23,19 +16,13 @@ def people(spark):
 
 
 def test_index_ties_are_alphabetical(people):
-    indexed = index_strings(["sex", "title"]).fit(people).transform(people)
+    indexed = LevelIndex.fit(people, ["sex", "title"]).transform(people)
     got = {r.id: (r.sex_index, r.title_index) for r in indexed.collect()}
     assert got == {1: (1.0, 0.0), 2: (0.0, 2.0), 3: (0.0, 1.0), 4: (1.0, 0.0)}
 
 
-def test_all_levels_are_kept(people):
-    indexed = index_strings(["sex"]).fit(people).transform(people)
-    encoded = encode_levels(["sex"]).fit(indexed).transform(indexed)
-    assert {tuple(r.sex_levels.toArray()) for r in encoded.collect()} == {(1, 0), (0, 1)}
-
-
 def test_slots_by_name_and_unseen_levels(spark, people):
-    fitted = feature_pipeline(["age"], ["sex", "title"]).fit(people)
+    fitted = FeatureEncoder.fit(people, ["age"], ["sex", "title"])
     frame = fitted.transform(people)
     names = slot_names(frame)
     assert names == [
@@ -61,9 +48,3 @@ def test_split_is_disjoint_and_complete(spark):
     assert len(left) == pytest.approx(3500, abs=150)
     again, _ = split_by_key(rows.repartition(3), "id", seed=7)
     assert left == {r.id for r in again.collect()}
-
-
-def test_too_many_levels(people):
-    check_levels(people, ["title"], limit=3)
-    with pytest.raises(ValueError, match="title"):
-        check_levels(people, ["title", "sex"], limit=2)
