@@ -10,6 +10,7 @@ from ledgerline.plans import (
     columns,
     evaluation,
     features,
+    forests,
     imputation,
     model_properties,
     models,
@@ -17,7 +18,7 @@ from ledgerline.plans import (
     reports,
 )
 
-SECTIONS = [columns, reports, profiles, imputation, evaluation, features, models, model_properties]
+SECTIONS = [columns, reports, profiles, imputation, evaluation, features, models, model_properties, forests]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
