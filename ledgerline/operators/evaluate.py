@@ -22,12 +22,12 @@ def score_label_pairs(predictions: DataFrame, label: str = "label", *keep: str)
 
 
 def _running(
-    rows: DataFrame, score: str, label: str, by: Sequence[str], values_per_range: int
+    rows: DataFrame, score: str, label: str, by: Sequence[str], values_per_range: int, following: bool = False
 ) -> DataFrame:
     positive = F.when(F.col(label) == 1, 1).otherwise(0)
     counts = {"pos": positive, "neg": 1 - positive}
     labelled = rows.where(F.col(label).isNotNull())
-    return running_counts(labelled, score, counts, by, True, values_per_range)
+    return running_counts(labelled, score, counts, by, True, values_per_range, following=following)
 
 
 def roc_points(
@@ -36,12 +36,18 @@ def roc_points(
     label: str,
     by: Sequence[str] = (),
     values_per_range: int = VALUES_PER_RANGE,
+    collinear: bool = True,
 ) -> DataFrame:
     """One point per distinct score, highest first, and the origin with a null threshold.
 
-    With ``by`` there is one curve per group, all from one pass.
+    With ``by`` there is one curve per group, all from one pass. Without ``collinear`` points, those
+    are left out whose step is that of the next point; the first and the last point always stay.
     """
-    running = _running(rows, score, label, by, values_per_range)
+    running = _running(rows, score, label, by, values_per_range, following=not collinear)
+    if not collinear:
+        turns = (F.col("pos") != F.col("next_pos")) | (F.col("neg") != F.col("next_neg"))
+        first = F.col("cum_pos") + F.col("cum_neg") == F.col("pos") + F.col("neg")
+        running = running.where(first | F.col("next_pos").isNull() | turns)
     point = F.struct(
         F.col(score).alias("threshold"),
         F.col("cum_neg").alias("fp"),

@@ -84,6 +84,18 @@ def _tallies(
     return ranged.groupBy(*by, _RANGE, value).agg(*[F.sum(c).alias(c) for c in counts])
 
 
+def _with_next(
+    heads: DataFrame, tallies: DataFrame, value: str, by: Sequence[str], counts: Sequence[str], descending: bool
+) -> DataFrame:
+    """Heads with the counts of the first value of the next range that holds any, as ``after_*``."""
+    first = F.max_by if descending else F.min_by
+    firsts = tallies.groupBy(*by, _RANGE).agg(*[first(c, value).alias(f"after_{c}") for c in counts])
+    groups = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    later = groups.orderBy(F.col(_RANGE).desc() if descending else F.col(_RANGE).asc())
+    nexts = firsts.select(*by, _RANGE, *[F.lead(f"after_{c}").over(later).alias(f"after_{c}") for c in counts])
+    return null_safe_join(heads, nexts, [*by, _RANGE], "left")
+
+
 def _accumulate(
     tallies: DataFrame,
     heads: DataFrame,
@@ -91,20 +103,22 @@ def _accumulate(
     by: Sequence[str],
     counts: Sequence[str],
     descending: bool,
+    following: bool = False,
 ) -> DataFrame:
+    after = [f"after_{c}" for c in counts] if following else []
     head_rows = heads.select(
         *by,
         _RANGE,
         F.lit(True).alias(_HEAD),
         *[F.col(f"before_{c}").alias(c) for c in counts],
         *[f"total_{c}" for c in counts],
+        *after,
     )
     order = F.col(value).desc() if descending else F.col(value).asc()
-    running = (
-        Window.partitionBy(*by, _RANGE)
-        .orderBy(F.col(_HEAD).desc_nulls_last(), order)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
+    places = Window.partitionBy(*by, _RANGE).orderBy(F.col(_HEAD).desc_nulls_last(), order)
+    running = places.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # A value's follower stands beside it, or is the first of the next range, which the head carries.
+    follower = lambda c: F.coalesce(F.lead(c).over(places), F.max(f"after_{c}").over(running)).alias(f"next_{c}")
     return (
         tallies.unionByName(head_rows, allowMissingColumns=True)
         .select(
@@ -114,6 +128,7 @@ def _accumulate(
             *counts,
             *[F.sum(c).over(running).alias(f"cum_{c}") for c in counts],
             *[F.max(f"total_{c}").over(running).alias(f"total_{c}") for c in counts],
+            *([follower(c) for c in counts] if following else []),
         )
         .where(F.col(_HEAD).isNull())
         .drop(_HEAD)
@@ -127,20 +142,22 @@ def _accumulate_whole(
     counts: Sequence[str],
     descending: bool,
     distinct: bool,
+    following: bool,
 ) -> DataFrame:
     """With few distinct values a group is small once equal values are added up."""
     tallies = rows
     if not distinct:
         tallies = rows.groupBy(*by, value).agg(*[F.sum(c).alias(c) for c in counts])
     groups = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    running = groups.orderBy(F.col(value).desc() if descending else F.col(value).asc())
-    running = running.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    places = groups.orderBy(F.col(value).desc() if descending else F.col(value).asc())
+    running = places.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return tallies.select(
         *by,
         value,
         *counts,
         *[F.sum(c).over(running).alias(f"cum_{c}") for c in counts],
         *[F.sum(c).over(groups).alias(f"total_{c}") for c in counts],
+        *([F.lead(c).over(places).alias(f"next_{c}") for c in counts] if following else []),
     )
 
 
@@ -153,12 +170,14 @@ def running_counts(
     values_per_range: int = VALUES_PER_RANGE,
     cuts: Sequence[float] | None = None,
     distinct: bool = False,
+    following: bool = False,
 ) -> DataFrame:
     """One row per distinct value and group, with own, running and total counts.
 
     ``counts`` maps a name to a whole-number expression that is added up. Columns out: ``by``,
     the value, and for each name ``name``, ``cum_name`` (through this value) and ``total_name``.
-    Missing values are left out. ``cuts`` may be known from before, and ``distinct`` says that
+    Missing values are left out. With ``following`` there is also ``next_name``, the own count of
+    the next value of the group, null at its last one. ``cuts`` may be known from before, and ``distinct`` says that
     no value comes twice in a group.
     """
     present = rows.select(
@@ -170,11 +189,13 @@ def running_counts(
         cuts = range_cuts(present, value, values_per_range)
     names = list(counts)
     if not cuts:
-        return _accumulate_whole(present, value, by, names, descending, distinct)
+        return _accumulate_whole(present, value, by, names, descending, distinct, following)
     ranged = _with_range(present, value, cuts)
     heads = _range_heads(ranged, by, names, descending)
     tallies = ranged if distinct else _tallies(ranged, value, by, names)
-    return _accumulate(tallies, heads, value, by, names, descending)
+    if following:
+        heads = _with_next(heads, tallies, value, by, names, descending)
+    return _accumulate(tallies, heads, value, by, names, descending, following)
 
 
 def percentiles(

@@ -40,8 +40,8 @@ def auc_trapezoid(spark: SparkSession, folder: str) -> DataFrame:
     return area.select(F.round("auc", 9).alias("auc"))
 
 
-def _points(rows: DataFrame, score: str) -> DataFrame:
-    points = roc_points(rows, score, "label")
+def _points(rows: DataFrame, score: str, **settings) -> DataFrame:
+    points = roc_points(rows, score, "label", **settings)
     return points.withColumns({"fpr": F.round("fpr", 9), "tpr": F.round("tpr", 9)})
 
 
@@ -53,12 +53,23 @@ def roc_price(spark: SparkSession, folder: str) -> DataFrame:
     return _points(_by_price(spark, folder), "l_extendedprice")
 
 
+def roc_quantity_corners(spark: SparkSession, folder: str) -> DataFrame:
+    return _points(_by_quantity(spark, folder), "l_quantity", collinear=False)
+
+
+def roc_price_corners(spark: SparkSession, folder: str) -> DataFrame:
+    """Small ranges, so that many points have their neighbour in another one."""
+    return _points(_by_price(spark, folder), "l_extendedprice", collinear=False, values_per_range=500)
+
+
 QUERIES = {
     "auc_exact": auc_exact,
     "auc_score_pairs": auc_score_pairs,
     "auc_trapezoid": auc_trapezoid,
     "roc_points": roc_quantity,
     "roc_points_price": roc_price,
+    "roc_points_corners": roc_quantity_corners,
+    "roc_points_price_corners": roc_price_corners,
 }
 
 _RANK_SUM = """
@@ -85,6 +96,21 @@ _POINTS = """
     from running
     union all select null, 0, 0, 0, 0"""
 
+_CORNERS = """
+    with tallies as (
+        select score, count(*) filter (label = 1) as pos, count(*) filter (label = 0) as neg
+        from ({scores}) group by score),
+    running as (
+        select score as threshold,
+               cast(sum(neg) over down as bigint) as fp, cast(sum(pos) over down as bigint) as tp,
+               pos - lead(pos) over down as pos_turn, neg - lead(neg) over down as neg_turn,
+               lag(score) over down is null as is_first
+        from tallies window down as (order by score desc))
+    select threshold, fp, tp, round(fp / (select sum(neg) from tallies), 9) as fpr,
+           round(tp / (select sum(pos) from tallies), 9) as tpr
+    from running where is_first or pos_turn is null or pos_turn <> 0 or neg_turn <> 0
+    union all select null, 0, 0, 0, 0"""
+
 _QUANTITY = """
     select l_quantity as score, case when l_returnflag = 'R' then 1 else 0 end as label
     from lineitem"""
@@ -99,4 +125,6 @@ ORACLE = {
     "auc_trapezoid": _RANK_SUM.format(scores=_QUANTITY),
     "roc_points": _POINTS.format(scores=_QUANTITY),
     "roc_points_price": _POINTS.format(scores=_PRICE),
+    "roc_points_corners": _CORNERS.format(scores=_QUANTITY),
+    "roc_points_price_corners": _CORNERS.format(scores=_PRICE),
 }

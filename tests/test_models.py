@@ -158,6 +158,24 @@ def test_forests_do_not_depend_on_the_pieces_of_the_input(spark):
     assert run(rows.coalesce(1)) == run(rows.repartition(7, "x")) == run(rows.repartition(40))
 
 
+@pytest.mark.parametrize("per_range", [3, 50_000])
+def test_curves_without_collinear_points(spark, per_range):
+    """Straight stretches keep their ends, also where these lie in different ranges."""
+    pick = np.random.default_rng(4)
+    rows = [(g, float(s), int(pick.random() < 0.5)) for g in ("a", "b", None) for s in pick.integers(0, 60, 90)]
+    rows += [("straight", float(s), 1) for s in range(40)] + [("single", 1.0, 0)]
+    frame = spark.createDataFrame(rows, "g string, s double, y int").repartition(4)
+    found = {}
+    for r in roc_points(frame, "s", "y", ["g"], per_range, collinear=False).collect():
+        found.setdefault(r.g, []).append((r.threshold, r.fp, r.tp))
+    for group in ("a", "b", None, "straight", "single"):
+        held = [(s, y) for g, s, y in rows if g == group]
+        scores = sorted({s for s, _ in held}, reverse=True)
+        points = [(s, sum(1 - y for v, y in held if v >= s), sum(y for v, y in held if v >= s)) for s in scores]
+        kept = [p for i, p in enumerate(points) if i in (0, len(points) - 1) or any(points[i + 1][k] - 2 * p[k] + points[i - 1][k] for k in (1, 2))]
+        assert sorted(found[group], key=str) == sorted([(None, 0, 0), *kept], key=str)
+
+
 def test_label_seen_in_test_rows_only(spark):
     from ledgerline.operators.features import split_part
 
