@@ -1,6 +1,6 @@
 """Exact running counts and percentiles without gathering a group in one task.
 
-Values are cut into ranges at sketched quantiles. A running count is then a window inside each
+Values are cut into ranges at quantiles of a sample of distinct values. A running count is then a window inside each
 (group, range), headed by one row that carries the count of all earlier ranges. Equal values are
 added up before any shuffle, so a hot value is one row. The quantiles only balance the ranges;
 results do not depend on them.
@@ -9,8 +9,10 @@ results do not depend on them.
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,36 +22,68 @@ from ledgerline.operators.lookups import measured, null_safe_join
 VALUES_PER_RANGE = 50_000
 #: Ranges of one column at most; a parameter of ``range_cuts``, to follow the cluster.
 MAX_RANGES = 8192
-#: Cut points asked for along with the count; more ranges than these cost one more pass.
-FIRST_CUTS = 256
+#: Distinct values in the sample that cut points are taken from; eight a range at most ranges.
+SAMPLE = 8 * MAX_RANGES
 
 _RANGE = "__range"
 _HEAD = "__head"
 
 
+def _mixed(values: np.ndarray) -> np.ndarray:
+    """64 well spread bits of each number."""
+    x = values.view(np.uint64).copy()
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x ^= x >> np.uint64(shift)
+        x *= np.uint64(factor)
+    return x ^ (x >> np.uint64(31))
+
+
+def distinct_sample(rows: DataFrame, value: str, size: int = SAMPLE) -> tuple[list[float], float]:
+    """A sample of the distinct finite values, in order, and an estimate of how many there are.
+
+    The sample holds the values of the ``size`` smallest hashes, so a value counts once however many
+    rows have it. Tasks send their own smallest hashes only, and merging keeps the smallest of
+    them. With no more than ``size`` distinct values the sample is all of them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, hashes = np.zeros(0), np.zeros(0, np.uint64)
+        for batch in batches:
+            found = batch.column("v").drop_null().to_numpy()
+            found = found[np.isfinite(found)] + 0.0  # no negative zero
+            fresh = _mixed(found)
+            if len(hashes) == size:
+                near = fresh < hashes[-1]
+                found, fresh = found[near], fresh[near]
+            hashes, first = np.unique(np.concatenate([hashes, fresh]), return_index=True)
+            held = np.concatenate([held, found])[first][:size]
+            hashes = hashes[:size]
+        order = pa.array((hashes >> np.uint64(1)).astype(np.int64))
+        yield pa.RecordBatch.from_arrays([order, pa.array(held)], ["h", "v"])
+
+    column = F.col(value).cast("double").alias("v")
+    found = rows.select(column).mapInArrow(run, "h long, v double").distinct().orderBy("h").limit(size).collect()
+    n = len(found) if len(found) < size else (size - 1) * 2.0**63 / max(found[-1].h, 1)
+    return sorted(r.v for r in found), n
+
+
 def range_cuts(
     rows: DataFrame,
     value: str,
     values_per_range: int = VALUES_PER_RANGE,
     max_ranges: int = MAX_RANGES,
+    sample: int = SAMPLE,
 ) -> list[float]:
     """Cut points giving about ``values_per_range`` distinct values each; none if few values.
 
-    Each value counts once, so one that most rows have takes no more of a range than any other.
-    Infinite values lie in the outer ranges and are no cuts.
+    They come from a sample of distinct values, so one that most rows have takes no more of a range
+    than any other. Infinite values lie in the outer ranges and are no cuts.
     """
-    column = F.col(value).cast("double").alias("v")
-    values = rows.select(column).where(~F.isnan("v") & (F.abs("v") < math.inf)).distinct()
-    shares = [i / FIRST_CUTS for i in range(1, FIRST_CUTS)]
-    sketch = F.percentile_approx("v", shares, 100 * FIRST_CUTS)
-    found = values.agg(F.count(F.lit(1)).alias("n"), sketch.alias("cuts")).first()
-    ranges = min(max_ranges, math.ceil(found.n / values_per_range))
+    values, n = distinct_sample(rows, value, sample)
+    ranges = min(max_ranges, math.ceil(n / values_per_range))
     if ranges < 2:
         return []
-    if ranges <= FIRST_CUTS:
-        return sorted({found.cuts[i * FIRST_CUTS // ranges - 1] for i in range(1, ranges)})
-    shares = [i / ranges for i in range(1, ranges)]
-    return sorted(set(values.approxQuantile("v", shares, 0.25 / ranges)))
+    return sorted({values[i * len(values) // ranges] for i in range(1, ranges)})
 
 
 def _with_range(rows: DataFrame, value: str, cuts: Sequence[float]) -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerline.operators import lookups, ranks
-from ledgerline.operators.ranks import percentiles, range_cuts, running_counts
+from ledgerline.operators.ranks import distinct_sample, percentiles, range_cuts, running_counts
 
 
 @pytest.fixture(scope="module")
@@ -108,6 +108,45 @@ def test_ranges_of_a_mostly_constant_column_are_even(spark):
     assert len(range_cuts(rows, "v", 10)) > 300  # more than the first pass has cuts for
 
 
+def test_a_bounded_sample_cuts_evenly(spark):
+    """99 % of the rows have one value; the sample is far smaller than the number of values."""
+    rows = spark.range(1_000_000).select(F.when(F.col("id") % 100 == 0, F.sqrt("id")).otherwise(0.0).alias("v")).repartition(9)
+    values, n = distinct_sample(rows, "v", 512)
+    assert len(values) == 512 and n == pytest.approx(10_000, rel=0.2)
+    cuts = range_cuts(rows, "v", 500, sample=512)
+    assert 16 <= len(cuts) <= 25
+    held = [0] * (len(cuts) + 1)
+    for k in range(10_000):
+        held[bisect.bisect_right(cuts, math.sqrt(100 * k))] += 1
+    assert max(held) <= 2 * 10_000 / len(held)
+    found = percentiles(rows, "v", {"p50": 0.5, "p999": 0.999}, (), 500).first()
+    assert (found.p50, found.p999) == (0.0, pytest.approx(np.quantile([0.0] * 990_000 + [math.sqrt(100 * k) for k in range(10_000)], 0.999)))
+
+
+def test_tasks_send_their_sample_only(spark):
+    rows = spark.range(100_000, numPartitions=5).select((F.col("id") * 0.5).alias("v"))
+    seen = []
+    plain = type(rows).mapInArrow
+
+    def counted(frame, *args):
+        out = plain(frame, *args)
+        seen.append(out.count())
+        return out
+
+    type(rows).mapInArrow = counted
+    try:
+        distinct_sample(rows, "v", 100)
+    finally:
+        type(rows).mapInArrow = plain
+    assert seen == [500]
+
+
+def test_sample_of_few_or_no_values(spark):
+    rows = spark.createDataFrame([(v,) for v in (0.0, -0.0, 2.0, math.nan, math.inf, None, 2.0)], "v double")
+    assert distinct_sample(rows, "v") == ([0.0, 2.0], 2)
+    assert distinct_sample(rows.limit(0), "v") == ([], 0) and range_cuts(rows.limit(0), "v") == []
+
+
 def test_infinite_values(spark):
     values = [float(k) for k in range(200)] + [math.inf] * 3 + [-math.inf] * 2
     rows = spark.createDataFrame([(v,) for v in values], "v double")
