@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Mapping, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass, replace
@@ -161,6 +162,39 @@ def objective_history(model: Model) -> DataFrame:
     return _rows(rows, "iteration int, objective double")
 
 
+def optimality(
+    model: Model, rows: DataFrame, names: Sequence[str], regularisation: float, elastic_net: float, features: str = "features"
+) -> tuple[DataFrame, float]:
+    """How far a binary logistic model is from the optimum of its penalised likelihood on ``rows``.
+
+    One row per slot: its deviation, the slope of the mean loss along the scaled slot, and
+    ``violation``: by how much slope and penalty fail to cancel out (a slot of weight 0 may have any
+    slope within the penalty's edge). And the penalised objective. All from one aggregate over the
+    rows; what comes back are three numbers a slot.
+    """
+    scored = model.transform(rows)
+    p, x = positive_probability(model.getProbabilityCol()), F.col(features)
+    of_label = F.when(F.col("label") == 1, p).otherwise(1 - p)
+    found = scored.agg(
+        F.count(F.lit(1)).alias("n"),
+        Summarizer.sum(x, p).alias("expected"),
+        Summarizer.sum(x, F.col("label")).alias("seen"),
+        Summarizer.std(x).alias("deviation"),
+        F.avg(-F.log(of_label)).alias("loss"),
+    ).first()
+    edge, bend = regularisation * elastic_net, regularisation * (1 - elastic_net)
+    out, penalty = [], 0.0
+    for i, weight in enumerate(model.coefficients.toArray()):
+        deviation = float(found.deviation[i])
+        slope = float(found.expected[i] - found.seen[i]) / found.n / deviation if deviation else 0.0
+        scaled = float(weight) * deviation
+        penalty += edge * abs(scaled) + bend * scaled**2 / 2
+        violation = abs(slope + bend * scaled + math.copysign(edge, scaled)) if scaled else max(0.0, abs(slope) - edge)
+        out.append((i, names[i], float(weight), deviation, slope, violation))
+    table = _rows(out, "slot int, name string, coefficient double, deviation double, slope double, violation double")
+    return table, found.loss + penalty
+
+
 def _rows(rows: list[tuple], schema: str) -> DataFrame:
     return SparkSession.active().createDataFrame(rows, schema)
 

@@ -7,11 +7,13 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerline.operators.models import coefficients, fit, logistic, positive_probability
+from ledgerline.operators.models import coefficients, fit, logistic, objective_history, optimality, positive_probability
 from ledgerline.plans import models
 from ledgerline.session import settle
 
 TOLERANCE = 1e-3
+#: What slope and penalty of a slot may differ by at the optimum.
+VIOLATION = 1e-5
 
 
 def importances(spark: SparkSession, folder: str) -> DataFrame:
@@ -69,6 +71,34 @@ def optimum(spark: SparkSession, folder: str) -> DataFrame:
     return found.crossJoin(fitted)  # one row each
 
 
+def optimality_of_slots(spark: SparkSession, folder: str) -> DataFrame:
+    """Slope and penalty cancel out in every slot, so the coefficients are those of the one optimum."""
+    data = models._data(spark, folder)
+    model = fit(logistic(models.LIGHT_PENALTY, steps=100), data.train)
+    found, _ = optimality(model, data.train, data.names, models.LIGHT_PENALTY, 0.8)
+    return found.select(
+        "slot",
+        F.round("deviation", 6).alias("deviation"),
+        (F.col("violation") < VIOLATION).alias("is_optimal"),
+        ((F.col("coefficient") == 0) | (F.col("coefficient") * F.col("slope") < 0)).alias("is_downhill"),
+    )
+
+
+def last_objective(spark: SparkSession, folder: str) -> DataFrame:
+    """The last objective, computed anew from the rows; the first is that of the intercept alone."""
+    data = models._data(spark, folder)
+    model = fit(logistic(models.LIGHT_PENALTY), data.train)
+    _, objective = optimality(model, data.train, data.names, models.LIGHT_PENALTY, 0.8)
+    history = objective_history(model).agg(F.max_by("objective", "iteration").alias("last"), F.min_by("objective", "iteration").alias("first"))
+    share = data.train.agg(F.avg("label").alias("p"))
+    entropy = -F.col("p") * F.log("p") - (1 - F.col("p")) * F.log(1 - F.col("p"))
+    return history.crossJoin(share).select(  # one row each
+        F.round("first", 6).alias("first"),
+        (F.abs(F.col("last") - objective) < 1e-9).alias("is_last"),
+        (F.col("last") < entropy).alias("is_better"),
+    )
+
+
 def curves(spark: SparkSession, folder: str) -> DataFrame:
     """Each model's curve runs from the origin to all rows and never goes back."""
     earlier = Window.partitionBy("model").orderBy("fp", "tp")  # a curve of the test documents
@@ -114,6 +144,8 @@ QUERIES = {
     "model_score_properties": scores,
     "objective_history_properties": objectives,
     "logistic_coefficients_properties": optimum,
+    "logistic_optimality": optimality_of_slots,
+    "objective_recomputed": last_objective,
     "model_roc_properties": curves,
     "model_comparison_properties": comparison,
     "model_comparison_lines_properties": line_comparison,
@@ -160,6 +192,16 @@ ORACLE = {
         select n_slots, 1::bigint as n_intercepts, n_slots + 1 as n_names, round(p, 9) as share,
                true as is_optimum
         from slots, shares""",
+    "logistic_optimality": f"""
+        {models._LONG}
+        select cast(slot as integer) as slot,
+               round(sqrt((sum(x * x) - sum(x) * sum(x) / n) / (n - 1)), 6) as deviation,
+               true as is_optimal, true as is_downhill
+        from cells, (select cast(count(*) as double) as n from train)
+        where is_train group by slot, n""",
+    "objective_recomputed": f"""
+        {_DOCS}
+        select round(-p * ln(p) - (1 - p) * ln(1 - p), 6) as first, true as is_last, true as is_better from shares""",
     "model_roc_properties": f"""
         {_DOCS}
         select model, 1::bigint as n_origins, 0::bigint as n_back,

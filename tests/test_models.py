@@ -18,6 +18,7 @@ from ledgerline.operators.models import (
     naive_bayes,
     naive_bayes_parameters,
     objective_history,
+    optimality,
     prepare,
     random_forest,
     refit_on_top,
@@ -66,6 +67,26 @@ def test_a_tree_ranks_differently_by_its_raw_scores(data):
     assert found["random_forest"].auc == pytest.approx(found["random_forest"].auc_raw)
 
 
+def test_optimality(data):
+    """Against numpy; a model stopped early is seen to be off."""
+    rows = [(r.features.toArray(), r.label) for r in data.train.select("features", "label").collect()]
+    x, y = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    off = {}
+    for steps in (1, 100):
+        model = fit(logistic(0.01, 0.5, steps), data.train)
+        table, objective = optimality(model, data.train, data.names, 0.01, 0.5)
+        weight, deviation = model.coefficients.toArray(), x.std(axis=0, ddof=1)
+        p = 1 / (1 + np.exp(-(x @ weight + model.intercept)))
+        slope = ((p - y)[:, None] * x).mean(axis=0) / deviation
+        found = table.orderBy("slot").collect()
+        assert [r.slope for r in found] == pytest.approx(slope.tolist(), abs=1e-9)
+        scaled = weight * deviation
+        loss = -np.log(np.where(y == 1, p, 1 - p)).mean() + 0.005 * np.abs(scaled).sum() + 0.0025 * (scaled**2).sum()
+        assert objective == pytest.approx(loss) == pytest.approx(model.summary.objectiveHistory[-1])
+        off[steps] = max(r.violation for r in found)
+    assert off[100] < 1e-4 < off[1]
+
+
 def test_three_areas_agree(data):
     model = fit(random_forest(1), data.train)
     scored = score(model, data.test, "id")
