@@ -30,8 +30,11 @@ from pyspark.sql import types as T
 from ledgerline.llm.tables import read, stored
 
 KEY = b"ledgerline"
-#: Draws that keep the lengths of an address's parts; later ones may change them.
+#: Draws that keep an entity's length. Each later one makes the surrogate longer, so that there are
+#: ten times as many and all entities find one of their own.
 SHAPED_DRAWS = 8
+#: From this draw on, by when as many entities as there are IPv4 addresses would have met theirs.
+LONG_IP_DRAWS = 40
 
 # Given names by script and gender, and titles by gender.
 GIVEN = {
@@ -339,32 +342,36 @@ def _stand_ins(key: bytes, script: str, gender: str) -> tuple[list[str], list[st
 def surrogate(key: bytes, kind: str, normal: str, draw: int) -> str:
     """The ``draw``-th surrogate of an entity, in normal form."""
     draws = _Draws(key, kind, normal, draw)
+    longer = max(0, draw - SHAPED_DRAWS + 1)
     if kind == "email":
         local, _, domain = normal.partition("@")
+        local += "x" * longer
         labels = domain.split(".")
         top = labels[-2:] if labels[-2] == "example" else ["example", "com"]
         return f"{draws.letters(local)}@{'.'.join([*map(draws.letters, labels[:-2]), *top])}"
+    if kind == "ip" and draw >= LONG_IP_DRAWS:
+        return "2001:db8::" + ":".join(f"{draws.below(1 << 16):x}" for _ in range(4))
     if kind == "ip":
         least = {1: (1, 9), 2: (10, 90), 3: (100, 124)}
         parts = [least[len(p)] if draw < SHAPED_DRAWS else (1, 223) for p in normal.split(".")]
         return ".".join(str(a + draws.below(n)) for a, n in parts)
     if kind == "card":
-        body = normal[0] + draws.letters(normal[1:-1])
+        body = normal[0] + draws.letters(normal[1:-1] + "0" * longer)
         checked = next(d for d in "0123456789" if _luhn(body + d))
         return body + (checked if _luhn(normal) else str((int(checked) + 1 + draws.below(9)) % 10))
     if kind == "ssn":
-        return "9" + draws.letters(normal[1:])
+        return "9" + draws.letters(normal[1:] + "0" * longer)
     if kind == "phone":
         head = len(normal) - min(len(normal), 10)
-        rest = draws.letters(normal[head:])
+        rest = draws.letters(normal[head:] + "0" * longer)
         return normal[:head] + (str(2 + draws.below(8)) + rest[1:] if normal[head] != "0" else "0" + rest[1:])
     if kind == "iban":
-        rest = draws.letters(normal[4:])
+        rest = draws.letters(normal[4:] + "0" * longer)
         value = int("".join(str(int(c, 36)) for c in rest + normal[:2] + "00"))
         return f"{normal[:2]}{98 - value % 97:02d}{rest}"
     if kind == "secret":
         keep = re.match(r"AKIA|gh[pousr]_|", normal).group()
-        rest = normal[len(keep) :]
+        rest = normal[len(keep) :] + "0" * longer
         if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", rest):
             drawn = "".join("0123456789abcdef"[draws.below(16)] for _ in rest)
             return keep + (drawn.upper() if rest.isupper() else drawn)
@@ -397,7 +404,8 @@ def written(mention: str, kind: str, drawn: str) -> str:
     if kind == "ip":
         return drawn
     rest = iter(drawn)
-    return "".join(next(rest) if c.isalnum() or kind == "secret" else c for c in mention)
+    shaped = [next(rest) if c.isalnum() or kind == "secret" else c for c in mention]
+    return "".join([*shaped, *rest])
 
 
 MENTIONS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("normal", T.StringType())]))
@@ -419,14 +427,22 @@ def _with_mentions(docs: DataFrame, name: str) -> DataFrame:
 
 
 def surrogates(entities: DataFrame, key: bytes = KEY) -> DataFrame:
-    """kind, normal, surrogate for a table of distinct entities (kind, normal)."""
+    """kind, normal, surrogate for a table of distinct entities (kind, normal).
 
-    @F.udf("string")
-    def draw(kind: str, normal: str, n: int) -> str:
-        return surrogate(key, kind, normal, n)
+    Entities whose surrogate is a real entity or another one's draw again. Surrogates grow after
+    ``SHAPED_DRAWS`` draws, so few rounds follow, however few there are of the first shape.
+    """
+
+    def draw(rows: DataFrame) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                made = [surrogate(key, *x) for x in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.string())], [*batch.schema.names, "surrogate"])
+
+        return rows.select("kind", "normal", "draw").mapInArrow(run, "kind string, normal string, draw int, surrogate string")
 
     entities = stored(entities)
-    drawn = stored(entities.withColumn("draw", F.lit(0)).withColumn("surrogate", draw("kind", "normal", "draw")))
+    drawn = stored(draw(entities.withColumn("draw", F.lit(0))))
     while True:
         real = entities.select("kind", F.col("normal").alias("surrogate"), F.lit(True).alias("real"))
         # The smallest entity of those that drew one surrogate keeps it, unless it is a real entity.
@@ -437,9 +453,7 @@ def surrogates(entities: DataFrame, key: bytes = KEY) -> DataFrame:
         if checked.where("loses").isEmpty():
             return checked.select("kind", "normal", "surrogate")
         again = checked.where("loses").select("kind", "normal", (F.col("draw") + 1).alias("draw"))
-        drawn = stored(
-            checked.where("not loses").drop("loses").unionByName(again.withColumn("surrogate", draw("kind", "normal", "draw")))
-        )
+        drawn = stored(checked.where("not loses").drop("loses").unionByName(draw(again)))
 
 
 def pseudonymise(docs: DataFrame, key: bytes = KEY) -> DataFrame:

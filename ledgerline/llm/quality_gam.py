@@ -5,8 +5,9 @@ a lookup table per feature. Pairs of features whose binned residuals gain most g
 own, boosted the same way. A score is the logistic function of one table cell per feature and pair,
 added up for whole batches.
 
-The model is fitted on at most ``max_rows`` labelled rows, the first by a hash of doc_id, so the fit
-has a bound of its own whatever the corpus; every row is scored from its whole text. Nulls count as
+The model is fitted on at most ``max_rows`` labelled rows, the first by a hash of doc_id, and of
+those on the first ``max_rows`` rows of different text by a hash of id, text and label (repeated rows
+of a document are one), so the fit has a bound of its own whatever the corpus; every row is scored from its whole text. Nulls count as
 empty texts, whose features are all zero. Labels that are null or of unknown documents are left out;
 a document labelled twice counts twice; one class alone gives its share as constant score. Rows
 without doc_id are scored and not held out. Extra columns are left alone.
@@ -234,11 +235,18 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model
             raw, bounds = text_buffers(batch.column("text"))
             for a, z in row_chunks(bounds):
                 rows = features(raw, bounds[a : z + 1])
-                part = batch.slice(a, z - a)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("quality"), pa.array(list(rows))], ["doc_id", "quality", "x"])
-
-    # At most max_rows rows are broadcast, and as many rows of features come back.
-    rows = texts(docs).join(F.broadcast(sample), "doc_id").select("doc_id", "quality", "text").mapInArrow(run, "doc_id long, quality int, x array<double>").toArrow()
+                part = batch.slice(a, z - a).drop_columns(["text"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(list(rows))], [*part.schema.names, "x"])
+
+    # At most max_rows rows are broadcast, and as many rows of features come back: a document's rows
+    # of one text are one row, which comes once a label of the sample.
+    numbered = sample.groupBy("doc_id", "quality").agg(F.count(F.lit(1)).alias("times"))
+    found = texts(docs).join(F.broadcast(numbered), "doc_id").select("doc_id", "quality", "times", F.xxhash64("text").alias("mark"), "text")
+    found = found.mapInArrow(run, "doc_id long, quality int, times long, mark long, x array<double>")
+    once = found.groupBy("doc_id", "quality", "mark").agg(F.min("times").alias("times"), F.min("x").alias("x"))
+    each = once.select("doc_id", "quality", "mark", "x", F.explode(F.sequence(F.lit(1).cast("long"), "times")).alias("n"))
+    place = F.xxhash64("doc_id", "mark", "quality", "n")
+    rows = each.orderBy(place, "doc_id", "mark", "quality", "n").limit(max_rows).toArrow()
     x = np.array(rows.column("x").to_pylist()).reshape(-1, len(FEATURES))
     y = rows.column("quality").to_numpy().astype(np.float64)
     order = np.lexsort((*x.T, y, rows.column("doc_id").to_numpy()))

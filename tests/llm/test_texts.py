@@ -152,6 +152,53 @@ def test_surrogates_stay_distinct_where_shapes_are_few(spark):
     assert len(set(made)) == len(ips) and not set(made) & set(ips)
 
 
+def test_surrogates_end_where_a_shape_has_fewer_than_entities(spark):
+    """2,000 entities of every kind in spaces of 26 to some thousand."""
+    shapes = {
+        "email": [f"{chr(97 + i % 26)}@firm{i}.com" for i in range(2000)],
+        "phone": [str(i) for i in range(10, 2010)],
+        "secret": [f"{i:03x}" for i in range(2000)],
+        "card": [f"{i:04d}" for i in range(2000)],
+        "ssn": [f"{i:04d}" for i in range(2000)],
+        "iban": [f"DE00{i:03d}" for i in range(1000)] + [f"FR00{i:03d}" for i in range(1000)],
+        "given": [f"latin:f:name{i}" for i in range(2000)],
+        "surname": [f"latin:name{i}" for i in range(2000)],
+    }
+    entities = spark.createDataFrame([(k, x) for k, held in shapes.items() for x in held if k != "given"], "kind string, normal string")
+    made = pii.surrogates(entities).collect()
+    assert len(made) == entities.count()
+    for kind in shapes.keys() - {"given"}:
+        drawn = [r.surrogate for r in made if r.kind == kind]
+        assert len(set(drawn)) == len(drawn) == 2000 and not set(drawn) & set(shapes[kind])
+
+
+def test_short_mail_names_in_many_texts(table):
+    docs = table([(i, f"write to a@firm{i}.com now") for i in range(60)])
+    texts = [r.text for r in pii.pseudonymise(docs).collect()]
+    assert len(set(texts)) == 60 and not any("firm" in t for t in texts)
+
+
+def test_longer_surrogates_keep_their_signs():
+    assert pii.written("12-34", "phone", "567890") == "56-7890"
+    assert pii.written("12-34", "phone", "5678") == "56-78"
+
+
+def test_fit_is_bounded_where_one_document_has_many_rows(spark, monkeypatch):
+    from ledgerline.llm import quality_gam
+
+    kept = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 3 != 1)
+    others = [i for i in range(200, 320) if zlib.crc32(str(i).encode()) % 3 != 1]
+    many = spark.range(10_000).selectExpr(f"cast({kept} as long) as doc_id", "concat('text ', id) as text")
+    docs = many.unionByName(spark.createDataFrame([(i, f"some other text {i}") for i in others], many.schema)).repartition(4)
+    labels = spark.createDataFrame([(kept, 1)] + [(i, i % 2) for i in others], "doc_id long, quality int")
+    sizes = []
+    monkeypatch.setattr(quality_gam, "fit", lambda x, y: sizes.append(len(y)) or fit(x, y))
+    quality_gam.train(docs, labels, max_rows=40)
+    same = docs.unionByName(docs)
+    quality_gam.train(same, labels, max_rows=40)
+    assert sizes == [40, 40]
+
+
 def test_quality_model_on_held_out_rows(spark):
     folder = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
