@@ -463,9 +463,10 @@ def pseudonymise(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     mentions, row, found = f"mentions_{tag}", f"row_{tag}", f"found_{tag}"
     seen = _with_mentions(docs.withColumn("text", F.col("text").cast("string")), mentions)
     each = lambda df: df.select(F.explode(mentions).alias("m")).select("m.kind", "m.normal")
-    drawn = surrogates(each(seen).distinct(), key)
+    # Texts with entities, some percent of all, are stored: they are looked at once more to be written.
     # Rows are met again by a hash of id and text: equal ones hold the same entities.
-    held = seen.where(F.size(mentions) > 0).withColumn(row, F.sha2(F.concat_ws("\0", F.col("doc_id").cast("string"), "text"), 256))
+    held = stored(seen.where(F.size(mentions) > 0).withColumn(row, F.sha2(F.concat_ws("\0", F.col("doc_id").cast("string"), "text"), 256)))
+    drawn = surrogates(each(held).distinct(), key)
     wanted = held.select(F.col(row), F.explode(mentions).alias("m")).distinct().select(row, "m.kind", "m.normal")
     known = wanted.join(drawn, ["kind", "normal"]).groupBy(row).agg(F.collect_list(F.struct("kind", "normal", "surrogate")).alias(found))
 
