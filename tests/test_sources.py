@@ -1,3 +1,8 @@
+import csv
+import random
+
+import pytest
+
 from ledgerline.session import shared_path
 from ledgerline.sources import (
     preview,
@@ -44,6 +49,59 @@ def test_csv_keeps_every_value(spark):
     assert [r.n for r in back.where("t is null").collect()] == ["4"]
 
 
+@pytest.fixture
+def small_splits(spark):
+    """Splits of a few bytes, so that quoted breaks lie at all borders."""
+    before = {k: spark.conf.get(k, None) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum")}
+
+    def use(size):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", 0)
+        spark.conf.set("spark.sql.files.minPartitionNum", 1)
+
+    yield use
+    for k, v in before.items():
+        spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
+@pytest.mark.parametrize("size", [60, 333, 1 << 27])
+def test_splits_with_quoted_breaks_equal_whole_files(spark, tmp_path, small_splits, size):
+    pick = random.Random(6)
+    words = ["a", "line\nbreak", '"', 'say ""', "x,y", "", " blank ", "\n\n", "é日本", "long " * 20 + "\n" + "tail " * 20]
+    expected = []
+    for name in ("one.csv", "two.csv"):
+        with open(tmp_path / name, "w", newline="", encoding="utf-8") as file:
+            writer = csv.writer(file, lineterminator="\n")
+            writer.writerow(["id", "t", "u"])
+            for i in range(60):
+                row = [f"{name}{i}", "".join(pick.choices(words, k=3)) or "e", pick.choice(words) or "e"]
+                writer.writerow(row)
+                expected.append(tuple(row))
+    whole = spark.read.csv(str(tmp_path), header=True, multiLine=True, escape='"')
+    assert sorted(map(tuple, whole.collect())) == sorted(expected)
+    small_splits(size)
+    found = read_csv_text(spark, str(tmp_path), multi_line=True)
+    if size < 1000:
+        assert spark.read.text(str(tmp_path), lineSep="\n").rdd.getNumPartitions() > 20
+    assert found.columns == ["id", "t", "u"] and sorted(map(tuple, found.collect())) == sorted(expected)
+
+
+def test_one_record_over_many_splits(spark, tmp_path, small_splits):
+    path = tmp_path / "one.csv"
+    path.write_text('a,b\r\n1,"' + "\n".join(f"line {i}" for i in range(100)) + '"\r\n\n2,x\r\n')
+    small_splits(16)
+    found = {r.a: r.b for r in read_csv_text(spark, str(path), multi_line=True).collect()}
+    assert found == {"1": "\n".join(f"line {i}" for i in range(100)), "2": "x"}
+
+
+def test_types_inferred_over_breaks(spark, tmp_path):
+    path = tmp_path / "typed.csv"
+    path.write_text('i,l,d,day,at,flag,t,none\n1,3000000000,0.5,2024-01-02,2024-01-02 03:04:05,true,"x\ny",NA\n-2,1,NA,2024-02-03,2024-01-02 00:00:00,false,7,NA\n')
+    found = read_csv_inferred(spark, str(path), multi_line=True)
+    assert [k for _, k in found.dtypes] == ["int", "bigint", "double", "date", "timestamp", "boolean", "string", "string"]
+    assert sorted((r.i, r.d, r.t) for r in found.collect()) == [(-2, None, "7"), (1, 0.5, "x\ny")]
+
+
 def test_lines_as_r_writes_them(spark, tmp_path):
     """Quoted names with commas and doubled quotes, NA without quotes, row names first."""
     path = tmp_path / "r.csv"
