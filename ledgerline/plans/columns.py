@@ -62,6 +62,14 @@ def csv_text_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     return typed_projection(text, types)
 
 
+def csv_inferred_breaks(spark: SparkSession, folder: str) -> DataFrame:
+    """Types inferred beside a text column with line breaks."""
+    path = shared_path(spark, "csv-breaks")
+    write_csv(read_table(spark, folder, "documents").select("doc_id", "n_chars", "text"), path)
+    found = read_csv_inferred(spark, path, multi_line=True)
+    return found.select("doc_id", "n_chars", F.length("text").cast("bigint").alias("n"), F.md5("text").alias("digest"))
+
+
 def csv_na_scan(spark: SparkSession, folder: str) -> DataFrame:
     path = shared_path(spark, "orders-na")
     write_csv(_orders_by_day(blanked_orders(spark, folder)), path, missing="NA")
@@ -189,6 +197,7 @@ QUERIES = {
     "csv_roundtrip": csv_roundtrip,
     "csv_text_roundtrip": csv_text_roundtrip,
     "csv_na_scan": csv_na_scan,
+    "csv_inferred_breaks": csv_inferred_breaks,
     "csv_inferred": csv_inferred,
     "report_export": report_export,
     "preview_rows": preview_rows,
@@ -215,6 +224,7 @@ _SEGMENT = "string_split(string_split(url, '/')[-1], '&')[-1]"
 
 ORACLE = {
     "csv_text_roundtrip": "select doc_id, text, lang, source, n_chars from documents",
+    "csv_inferred_breaks": "select cast(doc_id as integer) as doc_id, cast(n_chars as integer) as n_chars, length(text) as n, md5(text) as digest from documents",
     "csv_roundtrip": _BY_DAY.format(price="o_totalprice"),
     "csv_na_scan": _BY_DAY.format(price=BLANKED_PRICE),
     "csv_inferred": f"""
