@@ -17,6 +17,9 @@ components are asked for, so:
    leader's component search R-trees of blocks of all its points; pairs within one component are
    not looked at, the others that pass the bound are verified.
 
+Shingles that one row has alone meet nobody and are left out; of shingles that the very same points
+share, one is kept (points are told by count, ends and a 64-bit hash of all).
+
 Every linked pair shares a shingle of step 3 or lies in one component already, so no link between
 components is lost, while a third of all rows being near copies of one text costs a few pairs a row.
 
@@ -101,7 +104,7 @@ def members(docs: DataFrame, size: int) -> DataFrame:
 
 
 def prefix_keys(docs: DataFrame, size: int, percent: int, rows: int, bits: int) -> DataFrame:
-    """(key, digest): the rare shingles under which a set meets others."""
+    """(key, digest): the rare shingles under which a set meets others; those of one row meet none."""
 
     def hashes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
         for _, sets in shingle_rows(batch, size):
@@ -126,8 +129,9 @@ def prefix_keys(docs: DataFrame, size: int, percent: int, rows: int, bits: int)
                 place = order(np.concatenate(sets))
                 keys, at = [], 0
                 for s in sets:
-                    rare = np.argsort(place[at : at + len(s)], kind="stable")  # sets are sorted: ties go by hash
-                    keys.append(s[rare[: prefix_length(len(s), percent)]])
+                    own = place[at : at + len(s)]
+                    rare = np.argsort(own, kind="stable")[: prefix_length(len(s), percent)]  # sets are sorted: ties go by hash
+                    keys.append(s[rare[own[rare] > 0]])  # the sketch never takes for unique what two rows have
                     at += len(s)
                 digests = np.repeat(np.array([digest_of(s) for s in sets], np.uint64), [len(k) for k in keys])
                 yield pa.RecordBatch.from_arrays([as_longs(np.concatenate(keys)), as_longs(digests)], ["key", "digest"])
@@ -294,8 +298,15 @@ def _with(pairs: DataFrame, held: DataFrame, value: str) -> DataFrame:
 def links_of(docs: DataFrame, size: int, percent: int, group_bits: int, leaf: int, block: int) -> DataFrame:
     """(a, b): links between classes, enough of them to connect every component."""
     keys = prefix_keys(docs, size, percent, ORDER_ROWS, ORDER_BITS)
-    met = keys.groupBy("key").agg(F.min("digest").alias("leader"), F.max("digest").alias("last")).where("leader < last")
-    shared = stored(keys.join(met.select("key", "leader"), "key").distinct())
+    met = stored(keys.distinct())
+    sets = (
+        met.groupBy("key")
+        .agg(F.min("digest").alias("leader"), F.max("digest").alias("last"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("digest")).alias("mark"))
+        .where("leader < last")
+    )
+    # Near copies share many shingles that nobody else has: of shingles with the same points one is enough.
+    one = sets.groupBy("leader", "last", "n", "mark").agg(F.min("key").alias("key"))
+    shared = stored(met.join(one.select("key", "leader"), "key"))
     held = stored(points(docs, shared.select("digest").distinct(), size, group_bits, FILTER_BITS))
 
     def verified(pairs: DataFrame) -> DataFrame:
