@@ -3,7 +3,9 @@
 A copy of an item of ``m`` bytes with at most ``k`` edits keeps ``m - q + 1 - k * q`` of its q-grams,
 all on diagonals (place in the text minus place in the item) that differ by at most ``k``. Shared
 q-grams are counted in bands of diagonals that overlap by half, so each such range lies in one band
-as a whole; bands that reach the bound are verified by an alignment within the band.
+as a whole. Long grams are found by an index but bound little; in bands that reach their bound the
+lemma is applied once more with short grams, which an opening that many items share does not pass.
+What is left is verified by an alignment within the band.
 
 Both sides are compared in lower case (ASCII and Latin-1), with anything but letters and digits as
 one space. The edit budget is a share of the item's length, and smaller where the lemma needs it;
@@ -32,6 +34,8 @@ Q = 10
 EDIT_PERCENT = 8
 SLICE_BYTES = 8 << 20
 FILTER_BITS = 22
+#: Short grams of the second count, and cells (band, diagonal, place) that are compared at once.
+SHORT, CELLS = 4, 1 << 22
 
 MATCH = "doc_id long, item_id long, start long, end long, edits int, passage string"
 
@@ -66,7 +70,7 @@ class Index:
         self.q = q
         self.ids = [i for i, _ in items]
         self.items = [normalised(np.frombuffer(t.strip().encode(), np.uint8))[0].tobytes().strip() for _, t in items]
-        sizes = np.array([len(x) for x in self.items], np.int64)
+        self.sizes = sizes = np.array([len(x) for x in self.items], np.int64)
         self.budget = np.maximum(np.minimum(sizes * percent // 100, (sizes - q) // q), 0)
         self.least = np.maximum(sizes - q + 1 - self.budget * q, 1)
         found = [grams(np.frombuffer(x, np.uint8), q) for x in self.items]
@@ -106,6 +110,37 @@ class Index:
             yield int(row[h]), int(item[h]), int(band[h] * (self.budget[item[h]] + 1))
 
 
+def short_gram_bound(index: Index, text: np.ndarray, starts: np.ndarray, stops: np.ndarray, items: np.ndarray, lows: np.ndarray) -> np.ndarray:
+    """Which bands (of items in the texts that lie from ``starts`` to ``stops``) keep enough short grams.
+
+    A gram counts once, on whichever diagonal of the band it stands.
+    """
+    kept = np.ones(len(items), bool)
+    budgets = index.budget[items]
+    sizes = index.sizes[items]
+    for budget in np.unique(budgets):
+        group = np.flatnonzero(budgets == budget)
+        width = 2 * (int(budget) + 1)
+        longest = int(sizes[group].max())
+        step = max(1, CELLS // (width * longest))
+        for a in range(0, len(group), step):
+            part = group[a : a + step]
+            letters = np.zeros((len(part), longest), np.uint8)  # 0 is in no text
+            for i, k in enumerate(items[part]):
+                letters[i, : sizes[part[i]]] = np.frombuffer(index.items[k], np.uint8)
+            at = starts[part][:, None] + lows[part][:, None] + np.arange(width + longest - 1)
+            inside = (at >= starts[part][:, None]) & (at < stops[part][:, None])
+            region = np.where(inside, text[np.clip(at, 0, len(text) - 1)], 1)  # nor is 1
+            diagonals = np.lib.stride_tricks.sliding_window_view(region, longest, axis=1)
+            same = diagonals == letters[:, None, :]
+            runs = same[..., SHORT - 1 :].copy()
+            for i in range(SHORT - 1):
+                runs &= same[..., i : same.shape[-1] - SHORT + 1 + i]
+            found = runs.any(axis=1).sum(axis=1)
+            kept[part] = found >= sizes[part] - SHORT + 1 - SHORT * budget
+    return kept
+
+
 def banded(item: np.ndarray, text: np.ndarray, low: int, width: int, free_start: bool) -> tuple[int, int]:
     """Fewest edits that turn ``item`` into a part of ``text``, and where the part ends.
 
@@ -160,7 +195,9 @@ def _leaks(batch: pa.RecordBatch, index: Index) -> Iterator[tuple[int, int, int,
         inside = at + index.q <= edges[row + 1]
         at, item, place, row = at[inside], item[inside], place[inside], row[inside]
         found: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
-        for r, k, low in index.bands(row, at - edges[row], item, place):
+        bands = np.array(list(index.bands(row, at - edges[row], item, place)), np.int64).reshape(-1, 3)
+        starts, stops = edges[bands[:, 0]], edges[bands[:, 0] + 1]
+        for r, k, low in bands[short_gram_bound(index, text, starts, stops, bands[:, 1], bands[:, 2])].tolist():
             hit = align(index.items[k], text[edges[r] : edges[r + 1]].tobytes(), low, int(index.budget[k]))
             if hit:
                 found.setdefault((r, k), []).append(hit)

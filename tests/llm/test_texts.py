@@ -152,6 +152,63 @@ def test_surrogates_stay_distinct_where_shapes_are_few(spark):
     assert len(set(made)) == len(ips) and not set(made) & set(ips)
 
 
+def test_shared_openings_are_ruled_out_before_alignment(monkeypatch):
+    """A text that repeats an opening of many items is not aligned with them; real copies are found."""
+    import random
+    import time
+
+    from ledgerline.llm import decontaminate
+
+    pick = random.Random(3)
+    word = lambda: "".join(pick.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    opening = "Which of the following statements about the natural sciences is correct here? "
+    items = [(i, opening + " ".join(word() for _ in range(12))) for i in range(300)]
+    index = decontaminate.Index(items, decontaminate.Q, decontaminate.EDIT_PERCENT)
+    copy = items[17][1].replace("natural", "naturel").replace(items[17][1][-8:-5], "xyz")
+    text = opening * 25 + copy + " " + opening * 24
+    calls = []
+    align = decontaminate.align
+    monkeypatch.setattr(decontaminate, "align", lambda *a: calls.append(1) or align(*a))
+    batch = pa.RecordBatch.from_arrays([pa.array([text, None, opening * 50])], ["text"])
+    start = time.process_time()
+    found = list(decontaminate._leaks(batch, index))
+    assert time.process_time() - start < 10 and len(calls) < 20
+    assert [(r, i) for r, i, *_ in found] == [(0, 17)]
+
+
+def test_short_grams_lose_no_copy():
+    """Any copy within the budget passes the second count in some band."""
+    import random
+
+    from ledgerline.llm import decontaminate
+
+    pick = random.Random(5)
+    letters = "abcdefgh "
+    items = [(i, "".join(pick.choice(letters) for _ in range(pick.randrange(40, 160)))) for i in range(60)]
+    index = decontaminate.Index(items, decontaminate.Q, decontaminate.EDIT_PERCENT)
+    texts, expected = [], set()
+    for n in range(200):
+        k = pick.randrange(60)
+        copy = list(index.items[k].decode())
+        for _ in range(int(index.budget[k])):
+            at = pick.randrange(len(copy))
+            kind = pick.randrange(3)
+            copy[at : at + (kind != 0)] = [] if kind == 1 else ["z"]
+        around = ["".join(pick.choice("mnopqrst ") for _ in range(pick.randrange(0, 80))) for _ in range(2)]
+        texts.append(around[0] + "".join(copy) + around[1])
+        expected.add((n, k))
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    plain = {}
+    keep_all = lambda index, text, starts, *rest: np.ones(len(starts), bool)
+    for name, bound in (("short", decontaminate.short_gram_bound), ("all", keep_all)):
+        old, decontaminate.short_gram_bound = decontaminate.short_gram_bound, bound
+        try:
+            plain[name] = sorted((r, i) for r, i, *_ in decontaminate._leaks(batch, index))
+        finally:
+            decontaminate.short_gram_bound = old
+    assert plain["short"] == plain["all"] and len(plain["all"]) > 150
+
+
 def test_surrogates_end_where_a_shape_has_fewer_than_entities(spark):
     """2,000 entities of every kind in spaces of 26 to some thousand."""
     shapes = {
