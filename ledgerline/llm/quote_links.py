@@ -5,9 +5,11 @@ are a passage. Passages, and their lines one by one, are normalised and hashed a
 first message of the conversation that says the same in its own words: one row per conversation and
 hash is what a quote can meet, however often a sentence is repeated. A message replies to the earlier
 message that the characters of its lowest matched quote level come from most (the later one of
-several). Threads are followed by doubling steps, so a long chain costs a few joins.
+several). Threads are followed by doubling steps, so a long chain costs a few joins. In a thread each
+reply stands under the message it answers, replies to one message by turn: a walk around the tree of
+replies, down into and up from every message, is a list, and doubling steps rank it.
 
-Every row of the table gives one row, ordered by conversation, thread and turn. Messages are told
+Every row of the table gives one row, ordered by conversation, thread and place in the thread. Messages are told
 apart by (conv_id, turn); rows that share both pool their quotes. Null texts are empty; rows without
 turn quote nothing and are quoted by nothing, rows without conv_id form one conversation; extra
 columns are left alone. Hashes are 64 bits, within one conversation.
@@ -19,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerline.llm.tables import read, stored
+from ledgerline.operators.positions import with_position
 
 MARKS = r"^((?:[ \t]{0,3}>)+)[ \t]?"
 #: A line that announces a quote; it goes if the quote follows.
@@ -106,16 +109,63 @@ def threads(links: DataFrame) -> DataFrame:
         at = at.drop("moved")
 
 
+def _same(a: str, b: str) -> Column:
+    return F.col(f"{a}.conv_id").eqNullSafe(F.col(f"{b}.conv_id"))
+
+
+def places(at: DataFrame) -> DataFrame:
+    """conv_id, turn, place: how many messages of its thread stand before each one, replies under what
+    they answer. ``at`` comes from ``threads``; the first messages of threads are added."""
+    replies = at.select("conv_id", "turn", F.col("reply_to").alias("parent"), "thread", "depth")
+    firsts = at.select("conv_id", F.col("thread").alias("turn"), F.lit(None).cast("long").alias("parent"), "thread", F.lit(0).cast("long").alias("depth"))
+    nodes = stored(replies.unionByName(firsts.distinct()))
+    answered = nodes.where("parent is not null").select("conv_id", "parent", "turn")
+    first_reply = answered.groupBy("conv_id", "parent").agg(F.min("turn").alias("first_reply"))
+    # The next reply to the same message stands next in this order, wherever its ranges are cut.
+    ordered = stored(with_position(answered, [F.asc("conv_id"), F.asc("parent"), F.asc("turn")]))
+    o, x = ordered.alias("o"), ordered.withColumn("position", F.col("position") - 1).alias("x")
+    beside = o.join(x, (F.col("o.position") == F.col("x.position")) & _same("o", "x") & (F.col("o.parent") == F.col("x.parent")))
+    beside = beside.select("o.conv_id", "o.turn", F.col("x.turn").alias("sibling"))
+
+    n, r, b = nodes.alias("n"), first_reply.alias("r"), beside.alias("b")
+    down = n.join(r, _same("n", "r") & (F.col("n.turn") == F.col("r.parent")), "left").select(
+        "n.conv_id", "n.turn", F.lit(False).alias("up"), F.coalesce("first_reply", "n.turn").alias("next"), F.col("first_reply").isNull().alias("next_up")
+    )
+    up = n.join(b, _same("n", "b") & (F.col("n.turn") == F.col("b.turn")), "left").select(
+        "n.conv_id", "n.turn", F.lit(True).alias("up"), F.coalesce("sibling", "n.parent").alias("next"), F.col("sibling").isNull().alias("next_up")
+    )
+    walk = down.unionByName(up)
+    walk = stored(walk.withColumn("steps", F.when(F.col("next").isNotNull(), F.lit(1)).otherwise(F.lit(0)).cast("long")))
+    while not walk.where("next is not null").isEmpty():
+        # What has come to the end of its walk moves no more; every other step has one successor.
+        a, z = walk.where("next is not null").alias("a"), walk.alias("z")
+        met = a.join(z, _same("a", "z") & (F.col("a.next") == F.col("z.turn")) & (F.col("a.next_up") == F.col("z.up")))
+        moved = met.select("a.conv_id", "a.turn", "a.up", "z.next", "z.next_up", (F.col("a.steps") + F.col("z.steps")).alias("steps"))
+        walk = stored(walk.where("next is null").unionByName(moved))
+    left = walk.where("not up").select("conv_id", "turn", "steps")
+    w, f = left.alias("w"), left.alias("f")
+    # A walk that is ``steps`` long and ends ``depth`` deep has gone down into half of both.
+    return (
+        n.join(w, _same("n", "w") & (F.col("n.turn") == F.col("w.turn")))
+        .join(f, _same("n", "f") & (F.col("n.thread") == F.col("f.turn")))
+        .select("n.conv_id", "n.turn", F.floor((F.col("f.steps") - F.col("w.steps") + F.col("n.depth")) / 2).alias("place"))
+    )
+
+
 def reply_ordered(table: DataFrame) -> DataFrame:
-    """conv_id, turn, role, text, quote_depth, reply_to, thread, depth for every row, in reply order."""
+    """conv_id, turn, role, text, quote_depth, reply_to, thread, depth, place for every row, in reply order."""
     said = messages(table)
-    m, r = said.drop("lines").alias("m"), threads(reply_links(said)).alias("r")
-    same = F.col("m.conv_id").eqNullSafe(F.col("r.conv_id")) & (F.col("m.turn") == F.col("r.turn"))
+    at = threads(reply_links(said))
+    m, r, p = said.drop("lines").alias("m"), at.alias("r"), places(at).alias("p")
     return (
-        m.join(r, same, "left")
-        .select("m.*", "r.reply_to", F.coalesce("r.thread", "m.turn").alias("thread"), F.coalesce("r.depth", F.lit(0).cast("long")).alias("depth"))
-        .orderBy("conv_id", "thread", "turn")
-    )
+        m.join(r, _same("m", "r") & (F.col("m.turn") == F.col("r.turn")), "left")
+        .join(p, _same("m", "p") & (F.col("m.turn") == F.col("p.turn")), "left")
+        .select(
+            "m.*", "r.reply_to", F.coalesce("r.thread", "m.turn").alias("thread"), F.coalesce("r.depth", F.lit(0).cast("long")).alias("depth"),
+            F.coalesce("p.place", F.lit(0).cast("long")).alias("place"),
+        )
+        .orderBy("conv_id", "thread", "place", "turn")
+    )
 
 
 def chat_text(ordered: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import hashlib
 import os
+import random
 import struct
 
 import brute
@@ -11,7 +12,7 @@ from compare import open_tables, spark_rows, spark_types, sql_rows, sql_types
 
 import __spark_entry__
 import corpus_pipeline
-from ledgerline.llm import catalog, pii, warc
+from ledgerline.llm import catalog, pii, quote_links, warc
 from ledgerline.llm.decontaminate import normalised
 from ledgerline.llm.quality_rules import judge
 from ledgerline.llm.quote_links import chat_text, reply_ordered
@@ -153,5 +154,41 @@ def memoryview_of(text):
 
 def test_registered():
     names = __spark_entry__.queries()
-    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{k}" for k in range(1, 11)}
+    assert {n.split("_")[0] for n in names if n.startswith("op")} == {f"op{k}" for k in range(1, 14)}
     assert "pipeline" in names
+
+
+def test_replies_stand_under_what_they_answer(spark):
+    """Against a plain walk, on random trees, a long chain and a message with many replies."""
+    pick = random.Random(12)
+    parents = {}
+    for conv in range(6):
+        for turn in range(1, 60):
+            if pick.random() < 0.8:
+                parents[conv, turn] = pick.randrange(turn)
+    parents |= {(10, t): t - 1 for t in range(1, 150)} | {(11, t): 0 for t in range(1, 150)} | {(None, t): t // 2 for t in range(1, 20)}
+    links = spark.createDataFrame([(c, t, p) for (c, t), p in parents.items()], "conv_id long, turn long, reply_to long").repartition(5)
+    found = {(r.conv_id, r.turn): r.place for r in quote_links.places(quote_links.threads(links)).collect()}
+    replies = {}
+    for (c, t), p in sorted(parents.items(), key=lambda x: (str(x[0][0]), x[0][1])):
+        replies.setdefault((c, p), []).append((c, t))
+    expected = {}
+    for root in sorted({*replies} - {*parents}, key=str):
+        open_, place = [root], 0
+        while open_:
+            node = open_.pop()
+            expected[node] = place
+            place += 1
+            open_ += reversed(replies.get(node, []))
+    assert found == expected
+    assert quote_links.places(quote_links.threads(links.limit(0))).collect() == []
+
+
+def test_branches_do_not_interleave(spark):
+    said = ["A question about sorting rows.", "First answer with words.", "Second answer with words."]
+    rows = [(1, 0, "user", said[0])]
+    rows += [(1, 1, "a", f"> {said[0]}\n{said[1]}"), (1, 2, "b", f"> {said[0]}\n{said[2]}")]
+    rows += [(1, 3, "user", f"> {said[1]}\nReply to the first."), (1, 4, "user", f"> {said[2]}\nReply to the second.")]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    found = quote_links.reply_ordered(table).collect()
+    assert [(r.turn, r.depth, r.place) for r in found] == [(0, 0, 0), (1, 1, 1), (3, 2, 2), (2, 1, 3), (4, 2, 4)]
