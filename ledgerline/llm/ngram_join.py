@@ -290,6 +290,9 @@ def _bounded(percent: int):
 
 
 def _with(pairs: DataFrame, held: DataFrame, value: str) -> DataFrame:
+    """Stored pairs with the values of both points; only points that are in a pair are moved."""
+    needed = pairs.select(F.col("a").alias("digest")).unionByName(pairs.select(F.col("b").alias("digest"))).distinct()
+    held = held.join(needed, "digest", "left_semi")
     left = held.select(F.col("digest").alias("a"), F.col(value).alias("x"), F.col("n").alias("p"))
     right = held.select(F.col("digest").alias("b"), F.col(value).alias("y"), F.col("n").alias("q"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y", (F.col("p") + F.col("q")).cast("long").alias("n"))
@@ -313,7 +316,7 @@ def links_of(docs: DataFrame, size: int, percent: int, group_bits: int, leaf: in
         return _with(pairs, held, "shingles").select("a", "b", "x", "y").mapInArrow(_verified(percent), "a long, b long")
 
     def linked(pairs: DataFrame) -> DataFrame:
-        return stored(verified(_with(pairs, held, "counts").mapInArrow(_bounded(percent), "a long, b long")))
+        return stored(verified(stored(_with(pairs, held, "counts").mapInArrow(_bounded(percent), "a long, b long"))))
 
     def still_apart(links: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Links from points to their roots; points of the shingles that lie in several components."""
@@ -328,7 +331,7 @@ def links_of(docs: DataFrame, size: int, percent: int, group_bits: int, leaf: in
         stars = found.select(F.col("root").alias("a"), F.col("node").alias("b"))
         return stars, placed.join(mixed.select("key", "n_points", "main"), "key")
 
-    star = shared.where("digest <> leader").select(F.col("leader").alias("a"), F.col("digest").alias("b")).distinct()
+    star = stored(shared.where("digest <> leader").select(F.col("leader").alias("a"), F.col("digest").alias("b")).distinct())
     stars, apart = still_apart(linked(star))
 
     own = Window.partitionBy("digest").orderBy(F.xxhash64("key", "digest"))  # the shingles of one set
