@@ -166,7 +166,7 @@ def points(docs: DataFrame, wanted: DataFrame, size: int, group_bits: int, filte
                     [
                         as_longs(found[kept]),
                         pa.array([len(sets[i]) for i in kept], pa.int32()),
-                        pa.array([c.astype(np.uint32).tobytes() for c in counts], pa.binary()),
+                        pa.array([_packed_counts(c) for c in counts], pa.binary()),
                         pa.array([sets[i].tobytes() for i in kept], pa.binary()),
                     ],
                     ["digest", "n", "counts", "shingles"],
@@ -220,9 +220,21 @@ class CountTree:
         return tuple(np.concatenate(x) for x in zip(*pairs, strict=True))
 
 
+def _packed_counts(counts: np.ndarray) -> bytes:
+    """The counts of a vector in a byte each, and what is above in three more where any count needs it."""
+    low = counts.astype(np.uint8).tobytes()
+    high = (counts >> 8).astype(np.uint32)
+    return low + (high.tobytes() if high.any() else b"")
+
+
 def _vectors(column: pa.Array) -> np.ndarray:
     cells = column.to_pylist()
-    return np.frombuffer(b"".join(cells), np.uint32).astype(np.int64).reshape(len(cells), -1)
+    width = next((len(c) if len(c) & (len(c) - 1) == 0 else len(c) // 5 for c in cells), 1)
+    out = np.frombuffer(b"".join(c[:width] for c in cells), np.uint8).astype(np.int64).reshape(len(cells), width)
+    for i, c in enumerate(cells):
+        if len(c) > width:
+            out[i] += np.frombuffer(c[width:], np.uint32).astype(np.int64) << 8
+    return out
 
 
 def _pair_rows(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:

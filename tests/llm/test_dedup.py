@@ -128,3 +128,14 @@ def test_window_dedup_of_odd_rows(table, odd_rows):
     made = remove_repeated_windows(table(odd_rows), sketch_bits=19)
     assert tuples(made, "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(brute.window_dedup(odd_rows, 35), key=repr)
     assert remove_repeated_windows(table([]), sketch_bits=19).collect() == []
+
+
+def test_counts_of_any_size_are_packed():
+    from ledgerline.llm.ngram_join import _packed_counts, _vectors
+
+    for width in (1, 8, 128):
+        counts = [np.array([n] * width) for n in (3, 300, 0, 1 << 20)]
+        for order in (counts, counts[::-1]):
+            found = _vectors(pa.array([_packed_counts(c) for c in order], pa.binary()))
+            assert (found == np.array(order)).all()
+    assert len(_vectors(pa.array([], pa.binary()))) == 0
