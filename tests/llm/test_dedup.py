@@ -3,6 +3,8 @@
 import random
 
 import brute
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from ledgerline.llm.ngram_join import CountTree, jaccard_groups, one_of_each_group
