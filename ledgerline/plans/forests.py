@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.operators.features import split_part
 from ledgerline.operators.forest import Forest, Slots, grow, importances, weights, with_leaves, with_shares
-from ledgerline.session import settle
+from ledgerline.session import settle_columns
 from ledgerline.sources import read_table
 
 NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_linenumber"]
@@ -25,10 +25,12 @@ def _lines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _binned(spark: SparkSession, folder: str) -> tuple[Slots, DataFrame, DataFrame]:
-    rows = settle(_lines(spark, folder).withColumn("part", split_part("line")))
+    """Slots, and the training and test rows by their bins; the training rows are settled, as every level reads them."""
+    rows = settle_columns(_lines(spark, folder).withColumn("part", split_part("line")))
     train = rows.where("part = 'train'")
     slots = Slots.fit(train, NUMBERS, TEXTS)
-    return slots, slots.transform(train), slots.transform(rows.where("part = 'test'"))
+    binned = slots.transform(train).select("line", "returned", "l_discount", *slots.names)
+    return slots, settle_columns(binned), slots.transform(rows.where("part = 'test'"))
 
 
 def _forest(slots: Slots, train: DataFrame) -> Forest:
