@@ -1,10 +1,11 @@
+import hashlib
 import math
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerline.operators.chained import draw_donors, impute_chained_forests
+from ledgerline.operators.chained import count_donors, draw_donors, impute_chained_forests
 from ledgerline.operators.impute import (
     fill_constant,
     fill_group_median,
@@ -202,3 +203,25 @@ def test_imputation_does_not_depend_on_the_pieces_of_the_input(spark):
         return sorted(map(tuple, filled.collect()))
 
     assert run(rows.coalesce(1)) == run(rows.repartition(11))
+
+
+@pytest.mark.parametrize("cuts, asked, most", [([], 1, 1 << 20), (None, None, 1 << 20), ([3.0, 3.5, 40.0], 10**6, 3)])
+def test_donors_are_packed_by_ranges_of_values(spark, cuts, asked, most):
+    """A row a donor and tree took the longest; drawn is what plain lists give."""
+    made = [(i, [i % 3, None if i % 5 == 0 else -(i % 7), 9], None if i % 4 == 0 else float(i * 37 % 60)) for i in range(900)]
+    rows = spark.createDataFrame([*made, (900, [77, None, 78], None), (901, [0, 0, 9], math.nan)], "id int, leaves array<int>, x double").repartition(4)
+    known = F.col("x").isNotNull()
+    donors = count_donors(rows.where(known), "x", cuts)
+    assert donors.count() < 400
+    wanted = rows.where(~known)
+    got = {r.id: r.x for r in draw_donors(wanted, donors, "x", "id", ["s", 3], asked, 20, cuts, max_sizes=most).collect()}
+    assert len(got) == 226 and got.pop(900) is None
+    pools = {}
+    for _, leaves, x in made:
+        for t, leaf in enumerate(leaves):
+            if x is not None and leaf is not None:
+                pools.setdefault((t, leaf), []).append(x)
+    for i, leaves, x in made:
+        if x is None:
+            pool = [v for t, leaf in enumerate(leaves) if leaf is not None for v in sorted(pools.get((t, leaf), []))]
+            assert got[i] == pool[int(hashlib.md5(f"{i}:s:3".encode()).hexdigest()[:15], 16) % len(pool)]
