@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerline.operators.models import coefficients, fit, logistic, objective_history, optimality, positive_probability
+from ledgerline.operators.ranks import running_counts
 from ledgerline.plans import models
 from ledgerline.session import settle
 
@@ -117,12 +118,12 @@ def _compared(found: DataFrame, scored: DataFrame) -> DataFrame:
     """How many areas differ from the rank sums of the models' scores, ranked anew."""
 
     def rank_sum(score: str, name: str) -> DataFrame:
-        by_score = Window.partitionBy("model").orderBy(score)
-        ties = Window.partitionBy("model", score)
-        placed = scored.withColumn("place", F.rank().over(by_score) + (F.count(F.lit(1)).over(ties) - 1) / 2)
-        p, q = F.sum("label"), F.sum(1 - F.col("label"))
-        over = F.sum(F.when(F.col("label") == 1, F.col("place"))) - p * (p + 1) / 2
-        return placed.groupBy("model").agg((over / (p * q)).alias(name))
+        """Ranks come from counts of equal scores, added up range by range: no task holds a model's rows."""
+        counts = {"n": F.lit(1), "pos": F.col("label")}
+        placed = running_counts(scored, score, counts, ["model"])
+        twice = F.sum(F.col("pos") * (2 * F.col("cum_n") - F.col("n") + 1))  # ties share their mean place
+        p, q = F.sum("pos"), F.sum(F.col("n") - F.col("pos"))
+        return placed.groupBy("model").agg(((twice / 2 - p * (p + 1) / 2) / (p * q)).alias(name))
 
     ranked = rank_sum("probability", "by_probability").join(rank_sum("raw", "by_raw"), "model")
     near = lambda a, b: F.abs(F.col(a) - F.col(b)) < 1e-9

@@ -212,3 +212,23 @@ def test_many_levels_are_slots_too(spark):
     rows = spark.range(21_000).selectExpr("id", "cast(id % 7 as double) as x", "cast(id as string) as c", "cast(id % 2 as int) as y")
     data = prepare(rows, "id", "y", ["x"], ["c"])
     assert len(data.names) > 14_000 and data.test.count() > 6_000
+
+
+def test_areas_are_ranked_anew_without_a_window_over_a_model(spark):
+    from ledgerline.plans.model_properties import _compared
+
+    scored = spark.range(400).selectExpr(
+        "if(id % 2 = 0, 'a', 'b') as model", "cast(id % 3 = 0 as double) as label", "cast(id * 7 % 11 as double) as probability", "cast(id * 13 % 97 as double) as raw"
+    )
+
+    def area(rows, score):
+        above = [(p[score] > n[score]) + (p[score] == n[score]) / 2 for p in rows if p.label for n in rows if not n.label]
+        return sum(above) / len(above)
+
+    held = scored.collect()
+    of = {m: [r for r in held if r.model == m] for m in "ab"}
+    found = spark.createDataFrame([("a", 2, area(of["a"], "probability"), area(of["a"], "raw")), ("b", 2, area(of["b"], "raw"), area(of["b"], "raw"))], "model string, n_features int, auc double, auc_raw double")
+    got = _compared(found, scored)
+    assert {r.model: (r.is_area, r.is_raw_area) for r in got.collect()} == {"a": (True, True), "b": (False, True)}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "rank(" not in plan
