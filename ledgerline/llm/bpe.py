@@ -13,6 +13,7 @@ from __future__ import annotations
 import functools
 import heapq
 import json
+import re
 import unicodedata
 from array import array
 from collections.abc import Iterator
@@ -56,7 +57,7 @@ class Codec:
         strings = {i: s for s, i in chain(self.vocab.items(), self.special.items())}
         self.strings = pa.array([strings.get(i, "") for i in range(max(strings) + 1)])
         self.parts = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split
-        self.words = regex.compile(f"[^{WHITE}]+").findall
+        self.words = re.compile(f"[^{WHITE}]+").findall
         self.pieces = regex.compile(PIECE).findall
         self.word = functools.lru_cache(CACHED_WORDS)(self._word)
         self.piece = functools.lru_cache(CACHED_WORDS)(self._piece)
@@ -88,15 +89,17 @@ class Codec:
                 heapq.heappush(heap, (found[0], h, found[1]))
         return array("i", [i for i in ids if i >= 0]).tobytes()
 
-    def _word(self, word: str) -> bytes:
-        return b"".join(map(self.piece, self.pieces(word)))
+    def _word(self, word: str | bytes) -> bytes:
+        return b"".join(map(self.piece, self.pieces(word if isinstance(word, str) else word.decode("ascii"))))
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of a text."""
         out = []
-        for part in self.parts(text):
+        for part in self.parts(text) if any(s in text for s in self.special) else (text,):
             if part in self.special:
                 out.append(array("i", [self.special[part]]).tobytes())
+            elif part.isascii():  # bytes split at the ASCII characters of WHITE, and at no others
+                out += map(self.word, part.encode("ascii").lower().split())
             else:
                 # Letter by letter: the end of a word changes no sigma.
                 lower = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
