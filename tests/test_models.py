@@ -232,3 +232,15 @@ def test_areas_are_ranked_anew_without_a_window_over_a_model(spark):
     assert {r.model: (r.is_area, r.is_raw_area) for r in got.collect()} == {"a": (True, True), "b": (False, True)}
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "rank(" not in plan
+
+
+def test_scores_are_kept_by_column(spark):
+    """What ranks the scores of all models reads them more than once, one column at a time."""
+    from ledgerline.operators.models import fit, naive_bayes, prepare, score_all
+
+    rows = spark.range(200).selectExpr("cast(id as string) as k", "cast(id % 3 = 0 as int) as y", "cast(id % 7 as double) as x", "concat('c', id % 2) as c")
+    data = prepare(rows, "k", "y", ["x"], ["c"])
+    model = fit(naive_bayes(), data.train)
+    found = score_all({"a": model, "b": model}, data.test, "k")
+    assert found.columns == ["k", "label", "model", "raw", "probability", "prediction"]
+    assert found.count() == 2 * data.test.count() and found.inputFiles()
