@@ -15,7 +15,12 @@ components are asked for, so:
    of a few small random parts of its shingles, and components are formed again;
 3. under every shingle whose points still lie in several components, the points outside the
    leader's component search R-trees of blocks of all its points; pairs within one component are
-   not looked at, the others that pass the bound are verified.
+   not looked at, pairs that met under a shingle shortly before are left to that one, the others
+   that pass the bound are verified.
+
+Before sets are moved for a check, pairs are held against a second bound: bits that tell of which
+cells a set holds an odd number. Sets differ by at least as many shingles as their bits do, and the
+bits grow with the set, so few pairs but the linked ones are left, and only the sets of those move.
 
 Shingles that one row has alone meet nobody and are left out; of shingles that the very same points
 share, one is kept (points are told by count, ends and a 64-bit hash of all).
@@ -57,10 +62,14 @@ PART = 8
 ROWS = 256
 LEAF = 32
 BLOCK = 4096
+#: Shingles before the one that a pair meets under, of which it must not share any.
+EARLIER = 4
+#: Cells a shingle, at least, of the bits of a set.
+SPREAD = 4
 
 MEMBER = "doc_id long, mark long, n_shingles long, digest long"
 KEY = "key long, digest long"
-POINT = "digest long, n int, counts binary, shingles binary"
+POINT = "digest long, n int, counts binary, odd binary, shingles binary"
 
 
 def shingle_rows(batch: pa.RecordBatch, size: int) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -139,6 +148,22 @@ def prefix_keys(docs: DataFrame, size: int, percent: int, rows: int, bits: int)
     return docs.select("text").mapInArrow(run, KEY)
 
 
+def odd_cells(shingles: np.ndarray) -> bytes:
+    """A bit for every cell: does it hold an odd number of the shingles? Their number is a power of two."""
+    cells = max(64, 1 << (SPREAD * len(shingles) - 1).bit_length())
+    odd = np.bincount((shingles >> np.uint64(16) & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def least_apart(x: bytes, y: bytes) -> int:
+    """Shingles that are in one of two sets only, at least, by their odd cells."""
+    x, y = (np.frombuffer(v, np.uint64) for v in (x, y))
+    if len(x) < len(y):
+        x, y = y, x
+    x = np.bitwise_xor.reduce(x.reshape(-1, len(y)), axis=0)  # cells are low bits of a hash: larger bits fold
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def points(docs: DataFrame, wanted: DataFrame, size: int, group_bits: int, filter_bits: int) -> DataFrame:
     """Sets and count vectors of the classes in ``wanted`` (digest), one row a class.
 
@@ -167,13 +192,14 @@ def points(docs: DataFrame, wanted: DataFrame, size: int, group_bits: int, filte
                         as_longs(found[kept]),
                         pa.array([len(sets[i]) for i in kept], pa.int32()),
                         pa.array([_packed_counts(c) for c in counts], pa.binary()),
+                        pa.array([odd_cells(sets[i]) for i in kept], pa.binary()),
                         pa.array([sets[i].tobytes() for i in kept], pa.binary()),
                     ],
-                    ["digest", "n", "counts", "shingles"],
+                    ["digest", "n", "counts", "odd", "shingles"],
                 )
 
     found = docs.select("text").mapInArrow(run, POINT)
-    one = found.groupBy("digest").agg(F.min("n").alias("n"), F.min("counts").alias("counts"), F.min("shingles").alias("shingles"))
+    one = found.groupBy("digest").agg(*[F.min(c).alias(c) for c in ("n", "counts", "odd", "shingles")])
     return one.join(wanted, "digest", "left_semi")
 
 
@@ -241,38 +267,63 @@ def _pair_rows(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
 
+def _earlier(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Lists of at most ``EARLIER`` keys side by side, and which places are taken."""
+    sizes = column.value_lengths().to_numpy(zero_copy_only=False)
+    taken = np.arange(EARLIER) < sizes[:, None]
+    out = np.zeros(taken.shape, np.int64)
+    out[taken] = column.flatten().to_numpy()
+    return out, taken
+
+
+def met_before(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], q: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Whether rows ``q`` of ``a`` and ``row`` of ``b`` share one of their earlier keys."""
+    out = np.zeros(len(q), bool)
+    for i in range(EARLIER):
+        key, taken = a[0][q, i], a[1][q, i]
+        for j in range(EARLIER):
+            out |= (key == b[0][row, j]) & taken & b[1][row, j]
+    return out
+
+
 def tree_join(percent: int, leaf: int):
-    """Candidate pairs from rows sorted by key, block and role (points before probes)."""
+    """Candidate pairs from rows sorted by key, block and role (points before probes).
+
+    A pair meets under all shingles that both sets have here. It is given under the first of them
+    and under those where none of the few before, of either set, is shared.
+    """
     names = ("key", "block", "probe", "digest", "component", "n")
 
     def held(batch: pa.RecordBatch):
-        return [batch.column(c).to_numpy(zero_copy_only=False) for c in names], _vectors(batch.column("counts"))
+        return [batch.column(c).to_numpy(zero_copy_only=False) for c in names], _vectors(batch.column("counts")), _earlier(batch.column("earlier"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, gathered, tree = None, [], None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            (key, block, probe, digest, component, n), counts = held(batch)
+            (key, block, probe, digest, component, n), counts, (earlier, taken) = held(batch)
             new = (np.diff(key) != 0) | (np.diff(block) != 0) | (np.diff(probe) != 0)
             cuts = np.concatenate([[0], np.flatnonzero(new) + 1, [len(key)]])
             for s, e in zip(cuts[:-1], cuts[1:], strict=True):
                 if (key[s], block[s]) != group:
                     group, gathered, tree = (key[s], block[s]), [], None
-                rows = (digest[s:e], component[s:e], n[s:e].astype(np.int64), counts[s:e])
+                rows = (digest[s:e], component[s:e], n[s:e].astype(np.int64), counts[s:e], earlier[s:e], taken[s:e])
                 if not probe[s]:
                     gathered.append(rows)  # a block of points, at most a few batches
                     continue
                 if not gathered:
                     continue
                 if tree is None:
-                    ids, comps, sizes, vectors = (np.concatenate(x) for x in zip(*gathered, strict=True))
+                    ids, comps, sizes, vectors, *before = (np.concatenate(x) for x in zip(*gathered, strict=True))
                     tree = CountTree(vectors, sizes, leaf)
                 for p in range(0, e - s, 1024):
                     q, row = tree.search(rows[3][p : p + 1024], rows[2][p : p + 1024], percent)
                     q = q + p
                     apart = rows[1][q] != comps[row]
-                    yield _pair_rows(rows[0][q][apart], ids[row][apart])
+                    q, row = q[apart], row[apart]
+                    first = ~met_before(rows[4:], before, q, row)
+                    yield _pair_rows(rows[0][q][first], ids[row][first])
 
     return run
 
@@ -294,8 +345,9 @@ def _verified(percent: int):
 def _bounded(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(a, ROWS) for b in batches for a in range(0, b.num_rows, ROWS)):
-            shared = np.minimum(_vectors(batch.column("x")), _vectors(batch.column("y"))).sum(axis=1)
             total = batch.column("n").to_numpy(zero_copy_only=False)
+            apart = [least_apart(x, y) for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)]
+            shared = (total - np.array(apart, np.int64)) // 2
             yield batch.select(["a", "b"]).filter(pa.array(may_link(shared, total, percent)))
 
     return run
@@ -321,11 +373,11 @@ def links_of(docs: DataFrame, size: int, percent: int, group_bits: int, leaf: in
     shared = stored(met.join(one.select("key", "leader"), "key"))
     held = stored(points(docs, shared.select("digest").distinct(), size, group_bits, FILTER_BITS))
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        return _with(pairs, held, "shingles").select("a", "b", "x", "y").mapInArrow(_verified(percent), "a long, b long")
-
     def linked(pairs: DataFrame) -> DataFrame:
-        return stored(verified(_with(pairs, held, "counts").mapInArrow(_bounded(percent), "a long, b long")))
+        near = stored(_with(pairs, held, "odd").mapInArrow(_bounded(percent), "a long, b long"))
+        ends = stored(near.select(F.explode(F.array("a", "b")).alias("digest")).distinct())
+        sets = held.join(ends, "digest", "left_semi")  # the other sets stay where they are
+        return stored(_with(near, sets, "shingles").select("a", "b", "x", "y").mapInArrow(_verified(percent), "a long, b long"))
 
     def still_apart(links: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Links from points to their roots; points of the shingles that lie in several components."""
@@ -358,22 +410,23 @@ def links_of(docs: DataFrame, size: int, percent: int, group_bits: int, leaf: in
     stars, apart = still_apart(stars.unionByName(linked(second)))
 
     blocks = F.ceil(F.col("n_points") / block)
-    rows = stored(apart.select("key", "digest", "component", "main", blocks.alias("blocks")))
-    as_points = rows.select("key", "digest", "component", F.pmod(F.xxhash64("digest"), "blocks").alias("block"), F.lit(0).alias("probe"))
+    before = Window.partitionBy("digest").orderBy("key").rowsBetween(-EARLIER, -1)
+    rows = stored(apart.select("key", "digest", "component", "main", blocks.alias("blocks"), F.collect_list("key").over(before).alias("earlier")))
+    as_points = rows.select("key", "digest", "component", "earlier", F.pmod(F.xxhash64("digest"), "blocks").alias("block"), F.lit(0).alias("probe"))
     probes = rows.where("component <> main").select(
-        "key", "digest", "component", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("probe")
+        "key", "digest", "component", "earlier", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("probe")
     )
     pairs = (
         as_points.unionByName(probes)
         .join(held.select("digest", "n", "counts"), "digest")
-        .select("key", "block", "probe", "digest", "component", "n", "counts")
+        .select("key", "block", "probe", "digest", "component", "n", "counts", "earlier")
         .repartition("key", "block")
         .sortWithinPartitions("key", "block", "probe")
         .mapInArrow(tree_join(percent, leaf), "a long, b long")
         .distinct()
         .join(star.unionByName(second), ["a", "b"], "left_anti")
     )
-    return stars.unionByName(verified(stored(pairs)))
+    return stars.unionByName(linked(pairs))
 
 
 def jaccard_groups(

@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from ledgerline.llm.ngram_join import CountTree, jaccard_groups, one_of_each_group
+from ledgerline.llm.ngram_join import EARLIER, CountTree, jaccard_groups, least_apart, odd_cells, one_of_each_group, tree_join
 from ledgerline.llm.suffix_dedup import longest_previous_factors, remove_later_copies, suffix_array
 from ledgerline.llm.window_dedup import remove_repeated_windows
 
@@ -141,3 +141,43 @@ def test_counts_of_any_size_are_packed():
             found = _vectors(pa.array([_packed_counts(c) for c in order], pa.binary()))
             assert (found == np.array(order)).all()
     assert len(_vectors(pa.array([], pa.binary()))) == 0
+
+
+def met(keys_of):
+    """Pairs that the trees give for points (number -> keys), each its own component, all with equal counts."""
+    rows = []
+    for point, keys in keys_of.items():
+        keys = sorted(keys)
+        rows += [(k, 0, probe, point, point, 8, b"\1" * 8, keys[max(0, i - EARLIER) : i]) for i, k in enumerate(keys) for probe in (0, 1)]
+    names = ("key", "block", "probe", "digest", "component", "n", "counts", "earlier")
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.int64()))
+    columns = [pa.array(c, t) for c, t in zip(zip(*sorted(rows), strict=True), kinds, strict=True)]
+    found = tree_join(80, 32)(iter([pa.RecordBatch.from_arrays(columns, names)]))
+    return [p for b in found for p in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+
+
+def test_a_pair_that_meets_under_many_shingles_is_given_once():
+    """Apart near copies met under every shingle they share: a hundred rows a pair, in groups that grow with the corpus."""
+    pairs = met({point: range(100) for point in range(12)})
+    assert set(pairs) == {(a, b) for b in range(12) for a in range(b)}
+    assert len(pairs) == 2 * len(set(pairs))  # from both ends
+
+
+def test_no_pair_that_shares_a_shingle_is_left_out():
+    pick = random.Random(4)
+    keys_of = {point: pick.sample(range(60), pick.randrange(1, 40)) for point in range(40)}
+    expected = {(a, b) for b in keys_of for a in range(b) if set(keys_of[a]) & set(keys_of[b])}
+    pairs = met(keys_of)
+    assert set(pairs) == expected and len(pairs) < 10 * len(expected)
+
+
+def test_odd_cells_never_overstate_what_is_apart():
+    pick = np.random.default_rng(5)
+    for n, m, both in ((0, 3, 0), (1, 1, 1), (40, 90, 30), (500, 510, 450), (500, 3000, 400), (1024, 1025, 0)):
+        pool = pick.integers(0, 1 << 64, n + m - both, dtype=np.uint64)
+        x, y = pool[:n], pool[n - both :]
+        least = least_apart(odd_cells(x), odd_cells(y))
+        assert least == least_apart(odd_cells(y), odd_cells(x)) <= n + m - 2 * both
+    # Three quarters shared: too little for a link, and told so without the sets.
+    pool = pick.integers(0, 1 << 64, 1250, dtype=np.uint64)
+    assert 180 * (2000 - least_apart(odd_cells(pool[:1000]), odd_cells(pool[250:]))) / 2 < 80 * 2000
