@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerline.llm.bpe import decode, encode
+from ledgerline.llm.bpe import encode_and_decode
 from ledgerline.llm.decontaminate import without_leaks
 from ledgerline.llm.ngram_join import one_of_each_group
 from ledgerline.llm.pii import pseudonymise
@@ -42,7 +42,7 @@ def surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids, and digests of ids and of the text they decode to."""
     path = public_tokenizers.path("word_bpe_49k.json")
-    return decode(encode(docs, path), path).select(
+    return encode_and_decode(docs, path).select(
         "doc_id",
         "n_tokens",
         "ids",

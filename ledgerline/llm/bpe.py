@@ -31,6 +31,11 @@ from ledgerline.llm.tables import read, texts
 #: Words, and pieces of words, that a worker remembers; their ids are held as packed bytes.
 CACHED_WORDS = 1 << 17
 WORD_END = "</w>"
+#: Rows that are worked through at once.
+PART = 1000
+
+ENCODED = "doc_id long, n_tokens long, ids array<int>"
+DECODED = f"{ENCODED}, decoded string"
 
 # White space of the vocabulary's patterns, and its pattern for pieces of words.
 WHITE = "\t-\r \x85\xa0  -     　"
@@ -118,21 +123,37 @@ def vocabulary(spark, path: str):
         return spark.sparkContext.broadcast(file.read())
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a in range(0, batch.num_rows, PART):
+            yield batch.slice(a, PART)
+
+
+def _encoded(codec: Codec, part: pa.RecordBatch) -> pa.RecordBatch:
+    ids = [codec.encode(t or "") for t in part.column("text").to_pylist()]
+    cuts = np.cumsum([0, *map(len, ids)])
+    lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
+    return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(cuts), pa.int64()), lists], ["doc_id", "n_tokens", "ids"])
+
+
+def _decoded(codec: Codec, part: pa.RecordBatch) -> pa.RecordBatch:
+    ids = part.column("ids").fill_null([])
+    words = pa.LargeListArray.from_arrays(
+        pa.array(np.append(0, np.cumsum(pc.list_value_length(ids).to_numpy(zero_copy_only=False))), pa.int64()), codec.strings.take(ids.flatten())
+    )
+    return pa.RecordBatch.from_arrays([*part.columns, pc.binary_join(words.cast(pa.list_(pa.string())), " ")], [*part.schema.names, "decoded"])
+
+
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids for every row of ``docs``."""
     vocab = vocabulary(docs.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(vocab.value)
-        for batch in batches:
-            for a in range(0, batch.num_rows, 1000):
-                part = batch.slice(a, 1000)
-                ids = [codec.encode(t or "") for t in part.column("text").to_pylist()]
-                cuts = np.cumsum([0, *map(len, ids)])
-                lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(cuts), pa.int64()), lists], ["doc_id", "n_tokens", "ids"])
+        for part in _parts(batches):
+            yield _encoded(codec, part)
 
-    return texts(docs).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>")
+    return texts(docs).mapInArrow(run, ENCODED)
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -140,24 +161,30 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     vocab = vocabulary(encoded.sparkSession, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        strings = _codec(vocab.value).strings
-        for batch in batches:
-            for a in range(0, batch.num_rows, 1000):
-                part = batch.slice(a, 1000)
-                ids = part.column("ids").fill_null([])
-                words = pa.LargeListArray.from_arrays(
-                    pa.array(np.append(0, np.cumsum(pc.list_value_length(ids).to_numpy(zero_copy_only=False))), pa.int64()), strings.take(ids.flatten())
-                )
-                yield pa.RecordBatch.from_arrays([*part.columns, pc.binary_join(words.cast(pa.list_(pa.string())), " ")], [*part.schema.names, "decoded"])
+        codec = _codec(vocab.value)
+        for part in _parts(batches):
+            yield _decoded(codec, part)
+
+    return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(run, DECODED)
+
+
+def encode_and_decode(docs: DataFrame, path: str) -> DataFrame:
+    """What ``decode(encode(docs))`` gives, in one pass: a task has one Python worker and one codec, not two."""
+    vocab = vocabulary(docs.sparkSession, path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = _codec(vocab.value)
+        for part in _parts(batches):
+            yield _decoded(codec, _encoded(codec, part))
 
-    return encoded.select("doc_id", "n_tokens", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, decoded string")
+    return texts(docs).mapInArrow(run, DECODED)
 
 
 def op6_bpe(spark, folder: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("word_bpe_49k.json")
-    coded = decode(encode(read(spark, folder, "documents"), path), path)
+    coded = encode_and_decode(read(spark, folder, "documents"), path)
     return coded.select(
         "doc_id",
         "n_tokens",
