@@ -11,7 +11,8 @@ so far, so a text refines its own mix as it is read.
 Counts are whole numbers, so the table depends on no order. Weights are fitted by a Newton step over
 all training texts, each half of the texts on the counts of the other half (equal texts fall into
 one half), from sums of fixed size; they are rounded, so the order of the sums does not show. Within
-a stretch equal contexts before equal bytes are looked up once, which changes no result.
+a stretch equal contexts before equal bytes are looked up once, which changes no result. Those of the
+training texts are gathered once, with how often they occur, and written; counts and sums read that.
 
 The unigram base counts all words of the training texts. A text finds the most frequent words, a
 fixed number, in its task, and the others by a join in which no word is hot.
@@ -59,9 +60,13 @@ PIECE = 1 << 21
 SLICE = 1 << 12
 #: Distinct contexts that a task holds.
 HELD = 1 << 20
+#: Distinct contexts in a row of those written.
+PORTION = 1 << 16
 FREQUENT = 1 << 19
 END, END_KEY = 255, 0
 
+CONTEXTS = "before binary, word binary, codes binary, times binary"
+
 _PREDICTORS = len(ORDERS) + 1
 _GATES = 8 * 4
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -129,20 +134,21 @@ def _since(marks: np.ndarray, size: int) -> np.ndarray:
 
 
 class Contexts:
-    """The distinct contexts and bytes of a stretch, and which of them each own byte is."""
+    """The distinct contexts and bytes of a stretch, and the own bytes that are each of them, side by side."""
 
     def __init__(self, stretch: Stretch, bits: int):
         codes = stretch.codes
         padded = np.concatenate([np.zeros(REACH, np.uint8), codes])
         # The bytes before each byte as one number, the nearest highest; none from before its text.
-        before = np.ndarray(len(codes), "<u8", padded, strides=(1,)) & _LAST[_since(stretch.starts, len(codes))]
-        word = _since(np.concatenate([stretch.starts, np.flatnonzero(_APART[codes[:-1]]) + 1]), len(codes))
+        before = np.ndarray(len(codes), "<u8", padded, strides=(1,)) & _LAST.take(_since(stretch.starts, len(codes)))
+        word = _since(np.concatenate([stretch.starts, np.flatnonzero(_APART.take(codes[:-1])) + 1]), len(codes))
         reach = np.maximum(word, max(ORDERS))
-        whole = before & _LAST[reach]
-        whole ^= _REACHES[reach]
-        whole += _BYTES[codes]
+        whole = before & _LAST.take(reach)
+        whole ^= _REACHES.take(reach)
+        whole += _BYTES.take(codes)
         hashes = mix(whole)[stretch.back :]
-        at, self.which = _distinct(hashes)
+        self.places, self.heads = _runs(hashes)
+        at = self.places[self.heads]
         self.hashes = hashes[at]
         at += stretch.back
         self.before, self.word, self.codes = before[at], word[at], codes[at]
@@ -178,9 +184,10 @@ class Gathered(Contexts):
     def add(self, stretch: Stretch, half: np.ndarray) -> bool:
         """Add a stretch; whether there are enough distinct ones to be worked off."""
         found = Contexts(stretch, self.bits)
-        of_one = np.bincount(found.which, np.repeat(half[stretch.rows], stretch.sizes), len(found)).astype(np.int64)
-        found.times = np.stack([np.bincount(found.which, minlength=len(found)) - of_one, of_one])
-        found.which = None
+        of_one = np.repeat(half[stretch.rows].astype(np.uint8), stretch.sizes).take(found.places)
+        of_one = np.add.reduceat(of_one, found.heads, dtype=np.int64)
+        found.times = np.stack([np.diff(found.heads, append=len(found.places)) - of_one, of_one])
+        found.places = found.heads = None
         self.pending.append(found)
         if sum(map(len, self.pending)) > max(HELD // 4, len(self)):
             self.fold()
@@ -190,9 +197,10 @@ class Gathered(Contexts):
         held = [self, *self.pending]
         hashes, before, word, codes = (np.concatenate([getattr(x, n) for x in held]) for n in ("hashes", "before", "word", "codes"))
         times = np.concatenate([x.times for x in held], axis=1)
-        first, which = _distinct(hashes)
+        places, heads = _runs(hashes)
+        first = places[heads]
         self.hashes, self.before, self.word, self.codes = hashes[first], before[first], word[first], codes[first]
-        self.times = np.stack([np.bincount(which, t, len(first)).astype(np.int64) for t in times])
+        self.times = np.stack([np.add.reduceat(t.take(places), heads) if len(heads) else t for t in times])
         self.pending = []
 
 
@@ -209,20 +217,44 @@ def gathered(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[Gathered]
     yield found
 
 
-def _distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Where each distinct hash stands once, and which of them every hash is.
+def contexts_of(training: DataFrame, bits: int) -> DataFrame:
+    """The distinct contexts and bytes of all training texts, portion by portion, and their times."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in gathered(batches, bits):
+            for first in range(0, len(found), PORTION):
+                at = slice(first, first + PORTION)
+                held = found.before[at], found.word[at], found.codes[at], found.times[:, at].ravel()
+                yield pa.RecordBatch.from_arrays([pa.array([packed(x)]) for x in held], ["before", "word", "codes", "times"])
+
+    return training.mapInArrow(run, CONTEXTS)
+
+
+def portions(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[Gathered]:
+    """What ``contexts_of`` has gathered."""
+    for batch in batches:
+        for before, word, codes, times in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            found = Gathered(bits)
+            found.before, found.word, found.codes = unpacked(before, np.uint64), unpacked(word, np.uint8), unpacked(codes, np.uint8)
+            found.times = unpacked(times, np.int64).reshape(2, -1)
+            yield found
+
+
+def _runs(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the hashes, equal ones side by side, and where each run of equal ones begins.
 
     Places are sorted along with the upper bits of the hashes; hashes that agree in those are
-    compared whole. Equal ones might stay apart where others lie between, which only costs time.
+    compared in the others too. Equal ones might stay apart where others lie between, which only
+    costs time.
     """
     low = np.uint64((1 << (len(hashes) - 1).bit_length()) - 1) if len(hashes) > 1 else np.uint64(0)
-    order = np.sort((hashes & ~low) | np.arange(len(hashes), dtype=np.uint64)) & low
-    order = order.view(np.int64)
-    in_order = hashes[order]
-    new = np.append(True, in_order[1:] != in_order[:-1]) if len(hashes) else np.zeros(0, bool)
-    which = np.empty(len(hashes), np.int64)
-    which[order] = np.cumsum(new) - 1
-    return order[new], which
+    kept = (hashes & low).astype(np.uint32 if low < 1 << 32 else np.uint64)
+    sorted_ = np.sort((hashes & ~low) | np.arange(len(hashes), dtype=np.uint64))
+    places = (sorted_ & low).view(np.int64)
+    kept = kept.take(places)
+    new = np.ones(len(hashes), bool)
+    new[1:] = ((sorted_[1:] ^ sorted_[:-1]) > low) | (kept[1:] != kept[:-1])
+    return places, np.flatnonzero(new)
 
 
 def log_odds(counts: np.ndarray) -> np.ndarray:
@@ -234,6 +266,11 @@ def log_odds(counts: np.ndarray) -> np.ndarray:
 
 
 def tables(training: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``tables_of`` the contexts of training texts."""
+    return tables_of(contexts_of(training, bits), bits)
+
+
+def tables_of(contexts: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Log odds per cell from the counts of half 0, of half 1 and of all training texts.
 
     Tasks send the cells they have filled, compressed, by slices; what reaches the driver are three
@@ -244,12 +281,14 @@ def tables(training: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray, np.n
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(4 << bits, np.int32)
-        for found in gathered(batches, bits):
+        for found in portions(batches, bits):
             for at, cells, ones in found.parts():
                 cells *= 4
                 cells += ones[:, :, None]
                 for h in range(2):  # counts of a cell lie side by side
-                    np.add.at(counts, (cells + 2 * h).ravel(), np.repeat(found.times[h, at].astype(np.int32), 8 * _PREDICTORS))
+                    times = found.times[h, at]
+                    some = np.flatnonzero(times)
+                    np.add.at(counts, (cells[some] + 2 * h).ravel(), np.repeat(times[some].astype(np.int32), 8 * _PREDICTORS))
         for k in range(slices):
             part = counts[4 * k * width : 4 * (k + 1) * width]
             filled = np.flatnonzero(part)
@@ -270,7 +309,7 @@ def tables(training: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray, np.n
             odds = np.stack([log_odds(halves[:, 0]), log_odds(halves[:, 1]), log_odds(halves.sum(axis=1))])
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([packed(odds.ravel())])], ["slice", "odds"])
 
-    parts = training.mapInArrow(partial, "slice int, cells binary, counts binary").repartition(slices, "slice").mapInArrow(total, "slice int, odds binary")
+    parts = contexts.mapInArrow(partial, "slice int, cells binary, counts binary").repartition(slices, "slice").mapInArrow(total, "slice int, odds binary")
     out = np.zeros((3, slices, width), np.int16)
     for r in parts.collect():  # a row a slice
         out[:, r["slice"]] = unpacked(r.odds, np.int16).reshape(3, width)
@@ -288,20 +327,23 @@ def inputs(cells: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def _add_sums(total: np.ndarray, times: np.ndarray, ones: np.ndarray, x: np.ndarray, gates: np.ndarray, weights: np.ndarray) -> None:
     """Add slope and bend of the log probability by the weights, for every gate."""
     k = x.shape[2]
-    p = 1 / (1 + np.exp(-np.einsum("dbk,dbk->db", x, weights[gates])))
-    n = times[:, None]
-    slope, bend = n * (ones - p), n * (p * (1 - p))
-    order = np.argsort(gates.ravel(), kind="stable")
-    x, slope, bend = x.reshape(-1, k)[order], slope.ravel()[order], bend.ravel()[order]
-    cuts = np.append(0, np.cumsum(np.bincount(gates.ravel(), minlength=_GATES)))
-    for g, (a, z) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
-        total[g, :k] += slope[a:z] @ x[a:z]
-        total[g, k:] += ((x[a:z] * bend[a:z, None]).T @ x[a:z]).ravel()
-
-
-def fitted(training: DataFrame, halves: tuple[np.ndarray, np.ndarray], bits: int, steps: int) -> np.ndarray:
-    """Weights per gate and predictor: Newton steps on sums over all training texts."""
-    context = training.sparkSession.sparkContext
+    gates = gates.ravel()
+    order, sizes = np.argsort(gates, kind="stable"), np.bincount(gates, minlength=_GATES)
+    x = x.reshape(-1, k).take(order, axis=0).astype(np.float64)
+    p = 1 / (1 + np.exp(-sum(x[:, i] * np.repeat(weights[:, i], sizes) for i in range(k))))
+    n = np.repeat(times, 8).take(order)
+    parts = np.empty((k + 1, len(p)))
+    parts[0] = n * (ones.ravel().take(order) - p)
+    np.multiply(x.T, n * (p * (1 - p)), out=parts[1:])
+    cuts = np.append(0, np.cumsum(sizes))
+    for g in np.flatnonzero(sizes):
+        a, z = cuts[g], cuts[g + 1]
+        total[g] += (parts[:, a:z] @ x[a:z]).ravel()
+
+
+def fitted(contexts: DataFrame, halves: tuple[np.ndarray, np.ndarray], bits: int, steps: int) -> np.ndarray:
+    """Weights per gate and predictor: Newton steps on sums over the contexts of all training texts."""
+    context = contexts.sparkSession.sparkContext
     shared = context.broadcast(halves)
     weights = np.tile(np.array(START), (_GATES, 1))
     k = _PREDICTORS
@@ -311,16 +353,16 @@ def fitted(training: DataFrame, halves: tuple[np.ndarray, np.ndarray], bits: int
 
         def sums(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
             total = np.zeros((_GATES, k + k * k))
-            for found in gathered(batches, bits):
+            for found in portions(batches, bits):
                 for at, cells, ones in found.parts():
                     for h in range(2):
                         times = found.times[h, at]
-                        some = times > 0
+                        some = np.flatnonzero(times)
                         _add_sums(total, times[some], ones[some], *inputs(cells[some], shared.value[1 - h]), now.value)
             cells = np.arange(total.size)
             yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total.ravel())], ["cell", "value"])
 
-        found = training.mapInArrow(sums, "cell long, value double").groupBy("cell").agg(F.sum("value").alias("value"))
+        found = contexts.mapInArrow(sums, "cell long, value double").groupBy("cell").agg(F.sum("value").alias("value"))
         total = np.zeros(_GATES * (k + k * k))
         for r in found.collect():  # a fixed number of sums
             total[r.cell] = r.value
@@ -342,21 +384,27 @@ class Scorer:
     def losses(self, stretch: Stretch) -> tuple[np.ndarray, np.ndarray]:
         """Rows of a stretch and minus the natural logarithm of the probability of their own bytes."""
         found = Contexts(stretch, self.bits)
-        each = np.empty((len(found), len(VARIANTS)))
+        each = np.empty((len(VARIANTS), len(found)))
         for at, cells, ones in found.parts():
             x, gates = inputs(cells, self.table)
-            mixed = np.einsum("dbk,dbk->db", x, self.weights[gates])
+            gates = gates.astype(np.intp)
+            by = [x[:, :, k] * w.take(gates) for k, w in enumerate(self.weights.T)]
+            while len(by) > 1:  # two by two
+                by = [sum(by[i : i + 2]) for i in range(0, len(by), 2)]
+            mixed = by[0]
             against = np.where(ones == 1, -mixed, mixed)  # log odds of the bit that did not come
             for i, v in enumerate(VARIANTS):
                 loss = np.log(1 + np.exp(np.minimum(against * np.float32(v), 60)))
-                each[at, i] = np.ascontiguousarray(loss.T).sum(axis=0, dtype=np.float64)  # bit after bit, in every slice
+                each[i, at] = np.ascontiguousarray(loss.T).sum(axis=0, dtype=np.float64)  # bit after bit, in every slice
         # Loss of every variant on every block of every text.
         n_blocks = -(-stretch.sizes // BLOCK)
         ends = np.cumsum(n_blocks)
         text = np.repeat(np.arange(len(n_blocks)), n_blocks)
         number = np.arange(len(text)) - (ends - n_blocks)[text]
         begin = (np.cumsum(stretch.sizes) - stretch.sizes)[text] + number * BLOCK
-        blocks = np.add.reduceat(each[found.which], begin, axis=0)
+        block = np.repeat(np.arange(len(text), dtype=np.int32), np.diff(begin, append=len(found.places))).take(found.places).astype(np.intp)
+        runs = np.diff(found.heads, append=len(found.places))
+        blocks = np.stack([np.bincount(block, np.repeat(loss, runs), len(text)) for loss in each], axis=1)
         # The texts side by side, a block each: those with most blocks first, so that the rest drop out.
         order = np.argsort(-n_blocks, kind="stable")
         first, counts = (ends - n_blocks)[order], n_blocks[order]
@@ -432,8 +480,9 @@ def scores(docs: DataFrame, bits: int = BITS, steps: int = STEPS, frequent: int
     whole = sums.n + 0.5 * (sums.distinct + 1)
     head, rare = head_and_tail(counts, "n_all", frequent)
     training = rows.where(~F.col("held_out")).select("text", "half")
-    *halves, table = tables(training, bits)
-    shared = context.broadcast(Model(table, fitted(training, tuple(halves), bits, steps), bits, head, whole))
+    contexts = stored(contexts_of(training, bits))
+    *halves, table = tables_of(contexts, bits)
+    shared = context.broadcast(Model(table, fitted(contexts, tuple(halves), bits, steps), bits, head, whole))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -449,11 +498,15 @@ def scores(docs: DataFrame, bits: int = BITS, steps: int = STEPS, frequent: int
             others = []
             for a, keys, stops in _tokens(batch):
                 z, heads = a + len(stops) - 1, stops[:-1]
-                held, at = model.head.find(keys)
+                places, runs = _runs(keys.view(np.uint64))  # a word is looked up once
+                held, at = model.head.find(keys[places[runs]])
                 c = np.append(model.head.columns["n"], 0)[np.where(held, at, -1)]
+                which = np.empty(len(keys), np.int64)
+                which[places] = np.repeat(np.arange(len(runs)), np.diff(runs, append=len(keys)))
                 n_tokens[a:z] = np.diff(stops)
-                n_known[a:z] = np.add.reduceat((c > 0).astype(np.int64), heads)
-                base[a:z] = np.add.reduceat(np.where(held, np.log10((c + 0.5) / model.whole), 0.0), heads)
+                n_known[a:z] = np.add.reduceat((c > 0).astype(np.int64).take(which), heads)
+                base[a:z] = np.add.reduceat(np.where(held, np.log10((c + 0.5) / model.whole), 0.0).take(which), heads)
+                held = held.take(which)
                 left = np.append(0, np.cumsum(~held))[stops]
                 others.append(pa.ListArray.from_arrays(pa.array(left, pa.int32()), pa.array(keys[~held])))
             yield pa.RecordBatch.from_arrays(

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 
 from ledgerline.llm import context_mixing
-from ledgerline.llm.context_mixing import BLOCK, END, ORDERS, REACH, SHARE, SMALL, VARIANTS, Scorer, log_odds, op12_context_mixing, scores, split, stretches, tables
+from ledgerline.llm.context_mixing import BLOCK, END, ORDERS, REACH, SHARE, SMALL, VARIANTS, Scorer, contexts_of, fitted, gathered, log_odds, op12_context_mixing, portions, scores, split, stretches, tables
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -159,3 +159,21 @@ def test_partitions_do_not_matter(table, odd_rows, prose):
     rows = odd_rows + [(i + 100, prose(i, 80)) for i in range(20)]
     order = lambda df: sorted((str(r.doc_id), r.n_bytes, r.score) for r in df.collect())
     assert order(scores(table(rows).repartition(1), bits=16)) == order(scores(table(rows).repartition(7), bits=16))
+
+
+def test_contexts_are_gathered_once(spark, table, monkeypatch):
+    """Counts and the Newton step each gathered those of all training texts anew."""
+    docs = split(table([(i, t) for i, t in enumerate(TEXTS)])).select("text", "half").coalesce(1)
+    monkeypatch.setattr(context_mixing, "PORTION", 100)
+    rows = docs.toArrow().to_batches()
+    (whole,) = gathered(iter(rows), 22)
+    found = list(portions(iter(contexts_of(docs, 22).toArrow().to_batches()), 22))
+    assert len(found) == -(-len(whole) // 100)
+    for name in ("before", "word", "codes"):
+        assert np.concatenate([getattr(f, name) for f in found]).tolist() == getattr(whole, name).tolist()
+    assert np.concatenate([f.times for f in found], axis=1).tolist() == whole.times.tolist()
+    assert whole.times.sum() == sum(len((t or "").encode()) + 1 for t in TEXTS)
+
+    *halves, _ = tables(docs, 16)
+    held = spark.createDataFrame(contexts_of(docs, 16).toArrow())
+    assert fitted(held, tuple(halves), 16, 1).shape == (32, 4)
