@@ -127,6 +127,7 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a in range(0, batch.num_rows, PART):
             yield batch.slice(a, PART)
+    pa.default_memory_pool().release_unused()  # the worker stays; what Arrow holds for later would too
 
 
 def _encoded(codec: Codec, part: pa.RecordBatch) -> pa.RecordBatch:

@@ -397,7 +397,8 @@ def links_of(docs: DataFrame, size: int, percent: int, group_bits: int, leaf: in
 
     own = Window.partitionBy("digest").orderBy(F.xxhash64("key", "digest"))  # the shingles of one set
     tried = apart.where(F.col("n_points") > PART).withColumn("try", F.row_number().over(own)).where(F.col("try") <= TRIES)
-    parted = tried.withColumn("part", F.pmod(F.xxhash64("digest", "key"), F.ceil(F.col("n_points") / PART)))
+    part = F.pmod(F.xxhash64("digest", "key"), F.ceil(F.col("n_points") / PART))
+    parted = stored(tried.select("key", "digest", "component", part.alias("part")))
     heads = parted.groupBy("key", "part").agg(F.min(F.struct("digest", "component")).alias("head"))
     second = (
         parted.join(heads, ["key", "part"])
