@@ -6,8 +6,8 @@ the sum of the smaller counts. An R-tree of such points rules out whole boxes by
 
 Points meet under the rare shingles that two sets above the threshold must share: of every set in
 one order of all shingles, the first ``n - ceil(t * n) + 1``. The order puts first what a merged
-sketch of fixed size takes for unique in the corpus; a bad estimate costs time, never a link. Only
-components are asked for, so:
+sketch of fixed size takes for unique in the corpus, and last what it takes for the most common; a
+bad estimate costs time, never a link. Only components are asked for, so:
 
 1. each point is held against the leader of the shingle it shares, pairs under the bound go, the
    rest is verified on the sets, and components are formed;
@@ -45,15 +45,15 @@ from pyspark.sql import functions as F
 
 from ledgerline.llm.components import components
 from ledgerline.llm.hashing import WORD_POWERS, Spans, Words, mix, row_chunks, text_buffers
-from ledgerline.llm.sketch import Cells, Repeats, merged
+from ledgerline.llm.sketch import Cells, Commonness, merged
 from ledgerline.llm.tables import read, stored
 from ledgerline.llm.window_dedup import as_longs, marked
 
 SHINGLE = 5
 PERCENT = 80
 GROUP_BITS = 7
-#: Cells of the sketch that tells unique shingles; it follows the half of them with an even hash.
-ORDER_ROWS, ORDER_BITS = 2, 27
+#: Cells of the sketch that tells unique and common shingles; it follows the half of them with an even hash.
+ORDER_BITS = 28
 FILTER_BITS = 26
 #: In step 2: shingles a point, and points a part; smaller groups were one part in step 1 already.
 TRIES = 16
@@ -64,6 +64,8 @@ LEAF = 32
 BLOCK = 4096
 #: Shingles before the one that a pair meets under, of which it must not share any.
 EARLIER = 4
+#: Places in the order of shingles by how common the sketch takes them for.
+PLACES = np.array([0, 1, 2, 4], np.int8)
 #: Cells a shingle, at least, of the bits of a set.
 SPREAD = 4
 
@@ -112,7 +114,7 @@ def members(docs: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, MEMBER)
 
 
-def prefix_keys(docs: DataFrame, size: int, percent: int, rows: int, bits: int) -> DataFrame:
+def prefix_keys(docs: DataFrame, size: int, percent: int, bits: int) -> DataFrame:
     """(key, digest): the rare shingles under which a set meets others; those of one row meet none."""
 
     def hashes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
@@ -120,13 +122,14 @@ def prefix_keys(docs: DataFrame, size: int, percent: int, rows: int, bits: int)
             found = np.concatenate(sets)
             yield found[found & np.uint64(1) == 0]
 
-    repeats = docs.sparkSession.sparkContext.broadcast(Repeats.of(docs.select("text"), hashes, rows, bits))
+    common = docs.sparkSession.sparkContext.broadcast(Commonness.of(docs.select("text"), hashes, bits))
 
     def order(shingles: np.ndarray) -> np.ndarray:
-        """0: followed and unique so far as the sketch tells, 1: not followed, 2: repeated."""
-        place = np.ones(len(shingles), np.int8)
+        """0: followed and unique so far as the sketch tells, 1 and 2: in few texts and in more,
+        3: not followed, 4: in most texts of all."""
+        place = np.full(len(shingles), 3, np.int8)
         even = np.flatnonzero(shingles & np.uint64(1) == 0)
-        place[even] = 2 * repeats.value(shingles[even])
+        place[even] = PLACES[common.value(shingles[even])]
         return place
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,37 +212,50 @@ def may_link(shared: np.ndarray, total: np.ndarray, percent: int) -> np.ndarray:
 
 
 class CountTree:
-    """An R-tree of count vectors, packed by halving the widest coordinate."""
+    """An R-tree of count vectors, packed by halving the widest coordinate or the sizes."""
 
     def __init__(self, counts: np.ndarray, sizes: np.ndarray, leaf: int = LEAF):
-        self.counts, self.sizes = counts, sizes
+        # What a query has above the largest count here is never shared.
+        self.most = int(counts.max(initial=0))
+        self.kind = np.uint8 if self.most < 256 else np.int64
+        self.counts, self.sizes = counts.astype(self.kind), sizes
         self.root = self._pack(np.arange(len(sizes)), leaf)
 
     def _pack(self, rows: np.ndarray, leaf: int):
-        held = self.counts[rows]
-        box = (held.max(axis=0), int(self.sizes[rows].min()))
+        held, sizes = self.counts[rows], self.sizes[rows]
+        upper = held.max(axis=0)
+        box = (upper, int(sizes.min()), int(sizes.max()))
         if len(rows) <= leaf:
             return box, rows, None
-        widest = int(np.argmax(held.max(axis=0) - held.min(axis=0)))
-        order, half = rows[np.argsort(held[:, widest], kind="stable")], len(rows) // 2
+        spread = upper - held.min(axis=0)
+        widest = int(np.argmax(spread))
+        by = sizes if box[2] - box[1] > spread[widest] else held[:, widest]
+        order, half = rows[np.argsort(by, kind="stable")], len(rows) // 2
         return box, None, (self._pack(order[:half], leaf), self._pack(order[half:], leaf))
 
     def search(self, counts: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
         """Pairs of query and point whose summed coordinate minima allow the threshold."""
+        counts = np.minimum(counts, self.most).astype(self.kind)
         pairs: list[tuple[np.ndarray, np.ndarray]] = []
         open_ = [(self.root, np.arange(len(sizes)))]
+
+        def near(queries: np.ndarray, upper: np.ndarray, least: int, largest: int) -> np.ndarray:
+            """Those that may link; two sets share no more than the smaller one has, which is told first."""
+            own = sizes[queries]
+            queries = queries[may_link(np.minimum(own, largest), own + least, percent)]
+            shared = np.minimum(counts[queries], upper).sum(axis=1, dtype=np.int64)
+            return queries[may_link(shared, sizes[queries] + least, percent)]
+
         while open_:
-            ((upper, least), rows, below), queries = open_.pop()
-            shared = np.minimum(counts[queries], upper).sum(axis=1)
-            queries = queries[may_link(shared, sizes[queries] + least, percent)]
+            (box, rows, below), queries = open_.pop()
+            queries = near(queries, *box)
             if not len(queries):
                 continue
             if below:
                 open_ += [(below[0], queries), (below[1], queries)]
                 continue
             for row in rows:
-                shared = np.minimum(counts[queries], self.counts[row]).sum(axis=1)
-                passed = queries[may_link(shared, sizes[queries] + self.sizes[row], percent)]
+                passed = near(queries, self.counts[row], self.sizes[row], self.sizes[row])
                 pairs.append((passed, np.full(len(passed), row)))
         if not pairs:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -361,16 +377,15 @@ def _with(pairs: DataFrame, held: DataFrame, value: str) -> DataFrame:
 
 def links_of(docs: DataFrame, size: int, percent: int, group_bits: int, leaf: int, block: int) -> DataFrame:
     """(a, b): links between classes, enough of them to connect every component."""
-    keys = prefix_keys(docs, size, percent, ORDER_ROWS, ORDER_BITS)
+    keys = prefix_keys(docs, size, percent, ORDER_BITS)
     met = stored(keys.distinct())
-    sets = (
-        met.groupBy("key")
-        .agg(F.min("digest").alias("leader"), F.max("digest").alias("last"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("digest")).alias("mark"))
-        .where("leader < last")
-    )
+    # Most keys are of one set: only least and last are found for all of them.
+    ends = met.groupBy("key").agg(F.min("digest").alias("leader"), F.max("digest").alias("last")).where("leader < last")
+    several = stored(met.join(ends, "key"))
+    sets = several.groupBy("key", "leader", "last").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("digest")).alias("mark"))
     # Near copies share many shingles that nobody else has: of shingles with the same points one is enough.
     one = sets.groupBy("leader", "last", "n", "mark").agg(F.min("key").alias("key"))
-    shared = stored(met.join(one.select("key", "leader"), "key"))
+    shared = stored(several.join(one.select("key"), "key", "left_semi").select("key", "digest", "leader"))
     held = stored(points(docs, shared.select("digest").distinct(), size, group_bits, FILTER_BITS))
 
     def linked(pairs: DataFrame) -> DataFrame:

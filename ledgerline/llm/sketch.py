@@ -7,6 +7,7 @@ single. As a corpus outgrows the sketch, fewer items are ruled out early; result
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -132,3 +133,43 @@ class Repeats:
             at = self.cells.of(hashes, row)
             kept &= (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
         return kept
+
+
+#: Neighbouring cells whose counts are added up to tell how common an item is.
+FOLD = 16
+
+
+def _levels(counts: np.ndarray) -> np.ndarray:
+    """Three bit planes: cells of two items or more, then groups of cells far above the usual count,
+    and those again eight times above that. The usual count follows the corpus."""
+    sums = counts.reshape(-1, min(FOLD, len(counts))).sum(axis=1, dtype=np.int64)
+    usual = float(np.median(sums))
+    common = math.ceil(usual + 6 * math.sqrt(usual) + 8)
+    return np.concatenate([twice(counts), *(np.packbits(sums > most, bitorder="little") for most in (common, 8 * common))])
+
+
+class Commonness:
+    """A merged sketch of one row, cut down to how common an item is: 0 if it occurs once, else 1 to 3.
+
+    Items are only ever taken for too common. As the cells fill up, fewer single items are told; the
+    common ones still are.
+    """
+
+    def __init__(self, planes: np.ndarray, bits: int):
+        self.cells, self.width = Cells(1, bits), 1 << min(bits, SLICE_BITS)
+        self.fold = min(FOLD, self.width)
+        cuts = np.cumsum([-(-self.width // 8), -(-self.width // self.fold // 8)])
+        self.planes = np.split(planes.reshape((1 << bits) // self.width, -1), cuts, axis=1)
+
+    @classmethod
+    def of(cls, docs: DataFrame, hashes, bits: int) -> Commonness:
+        return cls(merged(docs, hashes, 1, bits, finish=_levels)[0], bits)
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        part, at = np.divmod(self.cells.of(hashes, 0), self.width)
+        folded = at // self.fold
+        often, common, most = (
+            (plane[part, place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(np.int8)
+            for plane, place in zip(self.planes, (at, folded, folded), strict=True)
+        )
+        return often * (1 + common + most)

@@ -181,3 +181,49 @@ def test_odd_cells_never_overstate_what_is_apart():
     # Three quarters shared: too little for a link, and told so without the sets.
     pool = pick.integers(0, 1 << 64, 1250, dtype=np.uint64)
     assert 180 * (2000 - least_apart(odd_cells(pool[:1000]), odd_cells(pool[250:]))) / 2 < 80 * 2000
+
+
+def test_common_shingles_are_told_from_rare_ones_in_a_full_sketch(table):
+    """Once a sketch was full, it took all items alike, and passages that many texts share came first."""
+    import numpy as np
+
+    from ledgerline.llm.hashing import mix
+    from ledgerline.llm.sketch import Commonness
+
+    rare, common = (mix(np.arange(a, z, dtype=np.uint64)) for a, z in ((1, 60_001), (10**6, 10**6 + 20)))
+
+    def hashes(batch):
+        ids = batch.column("doc_id").to_numpy()
+        yield np.concatenate([rare[i * 300 : i * 300 + 300] for i in ids] + [common] * len(ids))
+
+    docs = table([(i, "") for i in range(200)], extra=False)
+    roomy, full = Commonness.of(docs, hashes, 20), Commonness.of(docs, hashes, 14)
+    assert (roomy(rare) == 0).mean() > 0.9 and (full(rare) == 0).mean() < 0.1  # 60,000 items in 16,384 cells
+    for told in (roomy, full):
+        assert told(common).min() >= 2
+        assert (told(rare) >= 2).mean() < 0.05
+
+
+def test_prefixes_leave_out_a_passage_that_many_texts_share(table, prose, monkeypatch):
+    """Every text has a near copy and shares a passage with all others; all of them met under it."""
+    from ledgerline.llm import ngram_join
+
+    passage = prose(1, 40)
+    texts = [passage + " " + prose(10 + k, 80, 10**6) for k in range(70)]
+    rows = [*enumerate(texts), *((1000 + k, "one more " + t) for k, t in enumerate(texts))]
+    docs = table(rows, extra=False)
+    keys = ngram_join.prefix_keys(docs, 5, 80, bits=20).distinct().groupBy("key").count()
+    assert keys.where("count > 40").count() == 0 and keys.where("count > 1").count() > 70
+    for bits in (20, 9):  # the latter is full
+        monkeypatch.setattr(ngram_join, "ORDER_BITS", bits)
+        assert groups(jaccard_groups(docs)) == plain_groups(rows)
+
+
+def test_count_tree_by_size_and_with_large_counts():
+    pick = np.random.default_rng(5)
+    for top in (3, 400):
+        sizes = pick.integers(20, 2000, 300)
+        counts = np.stack([np.bincount(pick.integers(0, 16 if top > 3 else 128, n), minlength=128) for n in sizes])
+        q, p = CountTree(counts, sizes, leaf=4).search(counts, sizes, 80)
+        shared = np.minimum(counts[:, None], counts[None]).sum(axis=2)
+        assert set(zip(q.tolist(), p.tolist())) == set(zip(*(x.tolist() for x in np.nonzero(180 * shared >= 80 * (sizes[:, None] + sizes[None])))))
