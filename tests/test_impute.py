@@ -225,3 +225,35 @@ def test_donors_are_packed_by_ranges_of_values(spark, cuts, asked, most):
         if x is None:
             pool = [v for t, leaf in enumerate(leaves) if leaf is not None for v in sorted(pools.get((t, leaf), []))]
             assert got[i] == pool[int(hashlib.md5(f"{i}:s:3".encode()).hexdigest()[:15], 16) % len(pool)]
+
+
+def test_chained_queries_take_repeated_and_missing_keys(spark, tmp_path, monkeypatch):
+    """They ended with an error where a key comes twice, as in copies of a table, or is missing."""
+    from compare import open_tables, spark_rows, sql_rows
+    from ledgerline.plans import imputation
+
+    made = spark.range(600).selectExpr(
+        "id % 250 as o_orderkey",
+        "id % 40 as o_custkey",
+        "if(id % 3 = 0, 'F', 'O') as o_orderstatus",
+        "cast(id * 7 % 101 as double) as o_totalprice",
+        "timestamp_ntz'1995-01-01 00:00:00' + make_dt_interval(cast(id % 900 as int)) as o_orderdate",
+        "if(id % 2 = 0, '1-URGENT', '5-LOW') as o_orderpriority",
+    )
+    made = made.unionByName(made.where("o_orderkey in (17, 26, 30)"))  # rows that come twice
+    made.coalesce(1).write.parquet(f"{tmp_path}/parts")
+    folder = tmp_path / "repeated"
+    folder.mkdir()
+    next((tmp_path / "parts").glob("*.parquet")).rename(folder / "orders.parquet")
+    tables = open_tables(str(folder))
+    copies = imputation.QUERIES["impute_copies_properties"](spark, str(folder))
+    assert spark_rows(copies) == sql_rows(tables, imputation.ORACLE["impute_copies_properties"])
+    monkeypatch.setattr(imputation, "CHAINED", imputation.CHAINED | {"iterations": 1, "trees": 2})
+    properties = imputation.QUERIES["impute_chained_properties"](spark, str(folder))
+    assert spark_rows(properties) == sql_rows(tables, imputation.ORACLE["impute_chained_properties"])
+
+    nameless = made.where("o_orderkey < 60").withColumn("o_orderkey", F.expr("if(o_orderkey < 5, null, o_orderkey)"))
+    monkeypatch.setattr(imputation, "read_table", lambda *_: nameless)
+    filled = imputation.QUERIES["impute_chained_rf"](spark, "")
+    assert filled.columns == ["o_orderkey", "customer", "order_year", "o_orderpriority", "o_totalprice", "o_orderstatus"]
+    assert filled.count() == nameless.count() and filled.where("o_totalprice is null or o_orderstatus is null").count() == 0
