@@ -257,3 +257,23 @@ def test_chained_queries_take_repeated_and_missing_keys(spark, tmp_path, monkeyp
     filled = imputation.QUERIES["impute_chained_rf"](spark, "")
     assert filled.columns == ["o_orderkey", "customer", "order_year", "o_orderpriority", "o_totalprice", "o_orderstatus"]
     assert filled.count() == nameless.count() and filled.where("o_totalprice is null or o_orderstatus is null").count() == 0
+
+
+def test_draws_when_rows_come_in_another_order_each_time(spark, monkeypatch):
+    """On several machines each run of a query gives its rows in another order; sizes of leaves were
+    gathered column by column, a run each, and no longer fitted together."""
+    rows = spark.range(400).selectExpr("id", "array(cast(id % 3 as int), cast(id % 5 as int)) as leaves", "if(id % 4 = 0, null, cast(id * 37 % 60 as double)) as x")
+    known = F.col("x").isNotNull()
+    donors = count_donors(rows.where(known), "x", [10.0, 30.0, 50.0])
+
+    def drawn():
+        return sorted((r.id, r.x) for r in draw_donors(rows.where(~known), donors, "x", "id", ["s"], 100, cuts=[10.0, 30.0, 50.0]).collect())
+
+    plain, gather, pick = drawn(), type(rows).toArrow, np.random.default_rng(3)
+
+    def mixed(frame):
+        table = gather(frame)
+        return table.take(pick.permutation(table.num_rows))
+
+    monkeypatch.setattr(type(rows), "toArrow", mixed)
+    assert drawn() == plain
